@@ -17,7 +17,7 @@ import pyarrow as pa
 
 BLOCK_BYTES = 4 << 20
 _SEGMENT = 1 << 18
-_BASE = 0x9E3779B97F4A7C15 | 1
+BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
 SPACE = np.zeros(256, dtype=bool)
@@ -39,7 +39,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def seeds(n: int, salt: int = 1) -> np.ndarray:
     """``n`` odd 64-bit multipliers from a counter; the same on every machine."""
-    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_BASE) + np.uint64(salt)) | np.uint64(1)
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(BASE) + np.uint64(salt)) | np.uint64(1)
 
 
 class _Powers:
@@ -52,8 +52,8 @@ class _Powers:
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > len(self.pow):
             n = 1 << (n - 1).bit_length()
-            inverse = pow(_BASE, -1, 1 << 64)
-            for name, base in (("pow", _BASE), ("inv", inverse)):
+            inverse = pow(BASE, -1, 1 << 64)
+            for name, base in (("pow", BASE), ("inv", inverse)):
                 factors = np.full(n, base & _MASK, dtype=np.uint64)
                 factors[0] = 1
                 setattr(self, name, np.multiply.accumulate(factors))
@@ -63,6 +63,11 @@ class _Powers:
 _POWERS = _Powers()
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of the hash base and of its inverse."""
+    return _POWERS.upto(n)
+
+
 class Words:
     """The words of a block of texts.
 

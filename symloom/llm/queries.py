@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symloom.llm.bpe_codec import bpe_encode
 from symloom.llm.exact_dedup import exact_dedup
 from symloom.llm.line_dedup import line_dedup
 from symloom.llm.sharding import assign_shards, lookup_table
+from symloom.llm.token_counts import token_counts
 
 #: Shards of the sharding query.
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
@@ -19,6 +21,21 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def word_vocabulary() -> str:
+    """The vocabulary file of the token queries."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_documents(spark, sf_dir), word_vocabulary())
+
+
+def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_encode(_documents(spark, sf_dir), word_vocabulary(), digests=True)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup(_documents(spark, sf_dir))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
@@ -34,7 +51,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op3_line_dedup": op3_line_dedup,
+    "op4_bpe_codec": op4_bpe_codec,
     "op7_sharding": op7_sharding,
     "op10_exact_dedup": op10_exact_dedup,
 }
