@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from symloom.llm.bpe_codec import bpe_encode
 from symloom.llm.exact_dedup import exact_dedup
 from symloom.llm.line_dedup import line_dedup
+from symloom.llm.minhash_dedup import near_dedup
 from symloom.llm.sharding import assign_shards, lookup_table
 from symloom.llm.token_counts import token_counts
 
@@ -36,6 +37,10 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(_documents(spark, sf_dir), word_vocabulary(), digests=True)
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_documents(spark, sf_dir), k=2, percent=80)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup(_documents(spark, sf_dir))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
@@ -52,6 +57,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_minhash_dedup": op2_minhash_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_bpe_codec": op4_bpe_codec,
     "op7_sharding": op7_sharding,
@@ -79,6 +85,28 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
 FROM marked GROUP BY doc_id"""
 
 
+def _near_sql() -> str:
+    return f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {_LOWER}), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM documents
+), shingles AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) >= 2 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])
+    WHEN len(ws) = 1 THEN ws ELSE [] END)) AS s FROM words
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), sized AS (
+  SELECT s.doc_id, s.s, z.n FROM shingles s JOIN sizes z USING (doc_id)
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM sized a JOIN sized b ON a.s = b.s AND a.doc_id <> b.doc_id
+    AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach(a, b) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, r.c AS component_id, d.doc_id = r.c AS kept
+FROM documents d JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = d.doc_id LEFT JOIN sizes z ON z.doc_id = d.doc_id"""
+
+
 def _shard_sql() -> str:
     table = lookup_table(SHARDS)
     hashed = "CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT)"
@@ -88,6 +116,7 @@ FROM (SELECT doc_id, {hashed} % {len(table)} AS slot FROM documents)"""
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_minhash_dedup": _near_sql(),
     "op3_line_dedup": _line_sql(),
     "op7_sharding": _shard_sql(),
     "op10_exact_dedup": """
