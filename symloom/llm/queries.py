@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from symloom.llm.bpe_codec import bpe_encode
 from symloom.llm.exact_dedup import exact_dedup
+from symloom.llm.html_extract import extract_text
+from symloom.llm.language_id import language_id
 from symloom.llm.line_dedup import line_dedup
 from symloom.llm.minhash_dedup import near_dedup
 from symloom.llm.sharding import assign_shards, lookup_table
@@ -46,6 +48,14 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_documents(spark, sf_dir))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id")
     return assign_shards(docs, "doc_id", lookup_table(SHARDS)).select("doc_id", "slot", "shard")
@@ -60,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_bpe_codec": op4_bpe_codec,
+    "op5_html_extract": op5_html_extract,
+    "op6_language_id": op6_language_id,
     "op7_sharding": op7_sharding,
     "op10_exact_dedup": op10_exact_dedup,
 }
