@@ -152,3 +152,46 @@ def text_blocks(texts: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tup
 
 
 assert sys.byteorder == "little"
+
+
+PUNCTUATION = np.zeros(256, dtype=bool)
+PUNCTUATION[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
+
+
+def plain(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The block without ASCII punctuation, in lower case (A-Z and the capitals of Latin-1)."""
+    keep = ~PUNCTUATION[data]
+    upto = np.zeros(len(data) + 1, dtype=np.int64)
+    np.cumsum(keep, out=upto[1:])
+    data = LOWER[data[keep]]
+    high = np.flatnonzero(data[:-1] == 0xC3) + 1
+    high = high[(data[high] >= 0x80) & (data[high] <= 0x9E) & (data[high] != 0x97)]
+    data[high] += 0x20
+    return data, upto[offsets]
+
+
+class Runs:
+    """Hashes of runs of consecutive words, of any length, from prefix sums."""
+
+    def __init__(self, hashes: np.ndarray):
+        power, self._inverse = powers(len(hashes) + 1)
+        self._upto = np.zeros(len(hashes) + 1, dtype=np.uint64)
+        np.cumsum(hashes * power[: len(hashes)], out=self._upto[1:])
+
+    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self._upto[end] - self._upto[begin]) * self._inverse[begin])
+
+
+def stretches(equal: np.ndarray, gain: int, loss: int) -> list[tuple[int, int]]:
+    """Maximal runs of true entries, joined while gain * hits - loss * misses stays at 0 or more."""
+    edge = np.flatnonzero(np.diff(np.r_[0, equal.astype(np.int8), 0]))
+    out: list[list[int]] = []
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        out.append([a, b, b - a])
+        while len(out) > 1:
+            begin, _, hits = out[-2]
+            total = hits + out[-1][2]
+            if gain * total < loss * (out[-1][1] - begin - total):
+                break
+            out[-2:] = [[begin, out[-1][1], total]]
+    return [(a, b) for a, b, _ in out]

@@ -8,20 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom.llm.bpe_codec import bpe_encode
+from symloom.llm.decontaminate import overlaps
 from symloom.llm.exact_dedup import exact_dedup
 from symloom.llm.html_extract import extract_text
 from symloom.llm.language_id import language_id
 from symloom.llm.line_dedup import line_dedup
 from symloom.llm.minhash_dedup import near_dedup
 from symloom.llm.sharding import assign_shards, lookup_table
+from symloom.llm.substring_dedup import repeated_passages
 from symloom.llm.token_counts import token_counts
+from symloom.session import ship_package
 
 #: Shards of the sharding query.
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return _table(spark, sf_dir, "documents")
 
 
 def word_vocabulary() -> str:
@@ -49,7 +57,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return extract_text(_table(spark, sf_dir, "pages"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +69,14 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(docs, "doc_id", lookup_table(SHARDS)).select("doc_id", "slot", "shard")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_documents(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir), keep="largest")
 
@@ -73,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_html_extract": op5_html_extract,
     "op6_language_id": op6_language_id,
     "op7_sharding": op7_sharding,
+    "op8_decontamination": op8_decontamination,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
