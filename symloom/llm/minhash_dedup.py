@@ -7,9 +7,11 @@ estimates their similarity most precisely where it is high, so it sorts out
 nearly all false proposals; what is left is confirmed on the full sets.
 
 Texts with equal sets form a class first and take part once.  In a bucket only
-pairs with its smallest member are proposed, which is linear in its size.  A
-second pass then joins the members of different components that still share a
-bucket, so no link that could connect two components is lost.
+pairs with one pivot are proposed, which is linear in its size: first with its
+smallest member, then, in buckets whose members are in different components,
+twice with a pivot drawn by a hash.  A last pass joins the members of different
+components that still share a bucket, under the estimate of finer sketches, so
+no link that could connect two components is lost.
 
 Words are runs of other characters than space and \\t to \\r, with A-Z
 lower-cased.  A text with fewer than ``k`` words is one shingle; texts without
@@ -18,7 +20,7 @@ share a class; rows with a null id are in no component and are kept; an empty
 table gives an empty result and extra columns are ignored.
 
 At similarity 0.8, a pair shares no band with probability (1 - 0.8**5)**32 =
-3e-6, and the sketch filter errs at the same order.
+3e-6, and both sketch filters err at the same order.
 """
 
 from __future__ import annotations
@@ -39,6 +41,10 @@ BANDS, ROWS = 32, 5
 SKETCH_BITS = 512
 #: Pairs whose sketches estimate a lower similarity are not confirmed.
 SKETCH_FLOOR = 0.5
+#: The finer sketches of the last pass, more than 4 standard deviations below 0.8.
+FINE_SAMPLES, FINE_BITS, FINE_FLOOR = 640, 2048, 0.72
+#: Rounds with drawn pivots.
+PIVOT_ROUNDS = 2
 
 _SKETCH = "id long, n_shingles long, s1 long, s2 long, bands array<long>, odd array<long>"
 
@@ -110,11 +116,40 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int = B
     return plain.mapInArrow(_sketch(k, bands, rows), _SKETCH)
 
 
+def _fine(k: int):
+    factors = seeds(FINE_SAMPLES, 8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offsets in text_blocks(batch.column(1)):
+                sets = shingle_sets(Words(data, offsets), k)
+                size = np.fromiter(map(len, sets), dtype=np.int64)
+                minima = np.zeros((len(sets), FINE_SAMPLES), dtype=np.uint64)
+                full = np.flatnonzero(size)
+                if len(full):
+                    flat, start = np.concatenate([sets[k] for k in full]), np.cumsum(size[full]) - size[full]
+                    for m, a in enumerate(factors):
+                        minima[full, m] = np.minimum.reduceat(flat * a, start)
+                odd = odd_sketches(minima, FINE_BITS)
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(odd.ravel()), odd.shape[1]).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], names=["id", "fine"])
+
+    return run
+
+
+def _sizes_fit(percent: int) -> Column:
+    return 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+
+
+def _close(name: str, bits: int, most: int) -> Column:
+    """Whether the sketches ``name``_a and ``name``_b differ in at most ``most`` bits."""
+    each = [F.bit_count(F.get(f"{name}_a", F.lit(i)).bitwiseXOR(F.get(f"{name}_b", F.lit(i)))) for i in range(bits // 64)]
+    return sum(each[1:], each[0]) <= most
+
+
 def _alike(percent: int) -> Column:
     """Sizes allow the similarity and the sketches do not rule it out."""
-    differ = sum((F.bit_count(F.get("odd_a", F.lit(i)).bitwiseXOR(F.get("odd_b", F.lit(i)))) for i in range(SKETCH_BITS // 64)), F.lit(0))
-    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return sizes & (differ <= max_xor())
+    return _sizes_fit(percent) & _close("odd", SKETCH_BITS, max_xor())
 
 
 def _confirm(k: int, percent: int):
@@ -156,22 +191,31 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     light_a = reps.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("odd").alias("odd_a"))
     light_b = light_a.toDF("b", "n_b", "odd_b")
 
-    led = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    led = written(led.join(light_a, "a").join(light_b, "b").where(_alike(percent)).select("a", "b"), "pairs")
-    links = written(confirmed(led, docs, id_col, text_col, k, percent), "links")
+    def tried(pairs: DataFrame) -> DataFrame:
+        return written(pairs.join(light_a, "a").join(light_b, "b").where(_alike(percent)).select("a", "b"), "pairs")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return confirmed(pairs, docs, id_col, text_col, k, percent)
+
+    led = tried(members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
+    links = written(linked(led), "links")
     labels = components(links)
+    for number in range(PIVOT_ROUNDS):
+        mixed = _mixed(members, labels)
+        drawn = F.xxhash64(F.lit(number), "key", "id")
+        pivots = mixed.groupBy("key").agg(F.min(F.struct(drawn.alias("drawn"), F.col("id").alias("pivot"), F.col("label").alias("pivot_label"))).alias("p")).select("key", "p.pivot", "p.pivot_label")
+        pairs = mixed.join(pivots, "key").where("label <> pivot_label").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+        more = tried(pairs.join(led, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            break
+        led = led.union(more)
+        links = written(links.union(linked(more)), "links")
+        labels = components(links)
 
-    placed = members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    placed = written(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    mixed = placed.join(mixed, "key", "left_semi").join(light_a.withColumnRenamed("a", "id"), "id")
-    mixed = written(mixed, "mixed")
-    one = mixed.select("key", F.col("id").alias("a"), F.col("label").alias("label_a"), "n_a", "odd_a")
-    two = one.toDF("other", "b", "label_b", "n_b", "odd_b")
-    rest = one.join(two, (F.col("key") == F.col("other")) & (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & _alike(percent))
-    rest = written(rest.select("a", "b").distinct().join(led, ["a", "b"], "left_anti"), "pairs")
+    rest = _rest(_mixed(members, labels), reps, docs, id_col, text_col, k, percent)
+    rest = written(rest.join(led, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
-        links = written(links.union(confirmed(rest, docs, id_col, text_col, k, percent)), "links")
+        links = written(links.union(linked(rest)), "links")
         labels = components(links)
 
     classed = every.select("id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2", "n_shingles"], "left")
@@ -180,8 +224,40 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return classed.join(labels, "rep", "left").select("id", "n_shingles", F.coalesce("label", "rep").alias("component"))
 
 
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, id, label) of the buckets whose members are in different components, written."""
+    placed = written(members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")), "placed")
+    mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    return written(placed.join(mixed, "key", "left_semi"), "mixed")
+
+
+def _rest(mixed: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket and whose fine sketches are close.
+
+    A pair is told in the first bucket that it shares only.
+    """
+    ids = written(mixed.select("id").distinct(), "mixed-ids")
+    small = broadcast_if_small(ids, ids.count(), 16)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body")).join(small, "id", "left_semi")
+    fine = texts.dropDuplicates(["id"]).mapInArrow(_fine(k), "id long, fine array<long>").join(reps.drop("odd"), "id")
+    rows = written(mixed.join(fine, "id"), "mixed-sketches")
+    one = rows.select("key", F.col("id").alias("a"), F.col("label").alias("label_a"), F.col("n_shingles").alias("n_a"), F.col("fine").alias("fine_a"), F.col("bands").alias("bands_a"))
+    two = one.toDF("other", "b", "label_b", "n_b", "fine_b", "bands_b")
+    first = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True)
+    here = F.get("bands_a", (first - 1).cast("int")) == F.col("key")
+    near = _close("fine", FINE_BITS, max_xor(FINE_BITS, FINE_SAMPLES, FINE_FLOOR))
+    return one.join(two, (F.col("key") == F.col("other")) & (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & _sizes_fit(percent) & near & here).select("a", "b")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept): the smallest id of each component is kept."""
     found = near_components(docs, id_col, text_col, k, percent)
     kept = F.coalesce(F.col("id") == F.col("component"), F.lit(True))
     return found.select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component, the one of smallest id; columns stay as they are."""
+    gone = written(near_dedup(docs, id_col, text_col, k, percent).where("not kept").select(F.col(id_col).alias("__gone")).distinct(), "near-duplicates")
+    small = broadcast_if_small(gone, gone.count(), 16)
+    return docs.join(small, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
