@@ -339,6 +339,23 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     return out.select(F.col("id").alias(id_col), (fold(F.col("id")) == 0).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose language is rejected; one scan, columns stay as they are."""
+    if model is None:
+        return docs.limit(0)
+    named = _Named(docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex)
+    column = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict = _predict(named)
+        for batch in batches:
+            plain = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(column).cast(pa.string())], names=["id", "body"])
+            rejected = [r for part in predict(iter([plain])) for r in part.column(4).to_pylist()]
+            yield batch.filter(pa.array([not r for r in rejected], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 @dataclass
 class _Named:
     """A broadcast with a key by which workers keep their scorer."""
