@@ -30,6 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symloom.llm.common import written
 from symloom.llm.token_counts import share_vocabulary
 from symloom.llm.wordbpe import MEMO_WORDS, Memo, WordBpe, load, rows_of
 
@@ -37,6 +38,8 @@ from symloom.llm.wordbpe import MEMO_WORDS, Memo, WordBpe, load, rows_of
 LEXICON_WORDS = 50_000
 #: Distinct words that a task counts before it hands them on.
 _COUNTED_AT_ONCE = 400_000
+#: Counts up to this one are told apart, larger ones by a logarithmic scale, so that levels are few.
+_FINE = 1000
 
 
 def _minimal(words: Iterable[bytes]) -> tuple[list[list[tuple[int, int]]], list[int], int]:
@@ -192,11 +195,21 @@ def _counted(counts: Counter) -> pa.RecordBatch:
 
 
 def frequent_words(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", size: int = LEXICON_WORDS) -> list[str]:
-    """The ``size`` most frequent words of all texts, ties by the word; sent to the driver by that bound."""
+    """The most frequent words of all texts, at most ``size``: all above the count that this allows.
+
+    The driver gets how many words have each count, then the words themselves.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
     counted = rows.mapInArrow(_count_words(share_vocabulary(docs, vocabulary)), "word string, n long")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return [r.word for r in top.collect()]
+    counted = written(counted.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    level = F.least(F.col("n"), F.lit(_FINE) + F.floor(F.log2(F.col("n")) * 64)).cast("long")
+    left, above = size, None
+    for row in counted.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("level")).toLocalIterator():
+        left -= row.words
+        if left < 0:
+            break
+        above = row.level
+    return [] if above is None else sorted(r.word for r in counted.where(level >= above).select("word").toLocalIterator())
 
 
 def build_lexicon(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", size: int = LEXICON_WORDS) -> bytes:
@@ -207,12 +220,20 @@ def build_lexicon(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
 
 
 def share_lexicon(docs: DataFrame, compiled: bytes) -> str:
-    """Hand the compiled file to every executor, also to those that come later; its name there."""
+    """Hand the compiled file to every executor, also to those that come later; its name there.
+
+    Equal lexicons are handed out once for each context.
+    """
     name = f"symloom-lexicon-{hashlib.sha256(compiled).hexdigest()[:16]}.bin"
+    sc = docs.sparkSession.sparkContext
+    shared = sc.__dict__.setdefault("_symloom_lexicons", set())
+    if name in shared:
+        return name
     path = os.path.join(tempfile.mkdtemp(), name)
     with open(path, "wb") as file:
         file.write(compiled)
-    docs.sparkSession.sparkContext.addFile(path)
+    sc.addFile(path)
+    shared.add(name)
     return name
 
 
