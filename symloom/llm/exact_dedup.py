@@ -11,8 +11,9 @@ finished subtree is emitted and dropped as soon as the resident bytes pass
 ``SUBTREE_BYTES``.  Rows waiting for their subtree live in Spark's external
 sorter, which spills them; nothing is kept per group in a task or the driver.
 
-Nulls count as empty texts, ties and repeated rows count towards the group, an
-empty table gives an empty result and extra columns are ignored.
+Nulls count as empty texts; ties and repeated rows count towards the group; rows
+with a null id never own a text, and are kept only where all of the group are
+such; an empty table gives an empty result and extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -59,7 +60,10 @@ class RadixTrie:
                 child = self._split(node, child, key, at)
                 label = child[0]
             node, at = child, at + len(label)
-        node[2] = owner if not node[3] else self.pick(node[2], owner)
+        if node[2] is None or owner is None:
+            node[2] = owner if node[2] is None else node[2]
+        else:
+            node[2] = self.pick(node[2], owner)
         node[3] += copies
 
     @staticmethod
@@ -155,5 +159,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     owned = owners(docs, id_col, text_col, keep, subtree_bytes)
     return keyed.join(owned, ["digest", "n_bytes"], "left").select(
         F.col("id").alias(id_col), F.col("owner").alias("keep_id"), F.col("copies").alias("group_size"),
-        (F.col("id") == F.col("owner")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
+        F.coalesce(F.col("id") == F.col("owner"), F.col("owner").isNull()).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
     )

@@ -9,19 +9,18 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import regex
+from tokenizers import Regex, Tokenizer
+from tokenizers.pre_tokenizers import Split
 
 #: Entries of a worker's word memo; it is emptied when full.
 MEMO_WORDS = 300_000
 
-_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
-# The same pattern for lower-cased texts below U+0180, which are in NFC.
+# The usual word pattern for lower-cased texts below U+0180, which are in NFC.
 _LETTERS = "a-zªµºß-öø-ſ"
 _DIGITS, _WHITE = "0-9²³¹¼½¾", "\t-\r \x85\xa0"
 _FAST_WORD = re.compile(rf"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_DIGITS}]|[^{_WHITE}{_DIGITS}{_LETTERS}]+")
@@ -35,15 +34,6 @@ def printable_bytes() -> list[str]:
     return [chr(b) if b in own else chr(next(other)) for b in range(256)]
 
 
-def words_of(text: str) -> list[str]:
-    """The normalised words of a text without special strings."""
-    if text.isascii() or not _HIGH.search(text):
-        return _FAST_WORD.findall(text.lower())
-    text = unicodedata.normalize("NFC", text)
-    low = text.lower() if "Σ" not in text else "".join(map(str.lower, text))
-    return _WORD.findall(low)
-
-
 class WordBpe:
     """Vocabulary, merges and special strings."""
 
@@ -60,16 +50,26 @@ class WordBpe:
         self.rank = {(self.vocab[a], self.vocab[b]): k for k, (a, b) in enumerate(pairs)}
         self.made = [self.vocab[a + b] for a, b in pairs]
         self.shown = printable_bytes()
+        # Other texts are normalised and split by the library, whose Unicode tables decide.
+        self._normalise = Tokenizer.from_str(raw).normalizer.normalize_str
+        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self._pieces = Split(Regex(pattern), "removed", invert=True).pre_tokenize_str
         self._split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._mark = next(iter(self.special), "")[:2]
 
+    def words_of(self, text: str) -> list[str]:
+        """The normalised words of a text without special strings."""
+        if text.isascii() or not _HIGH.search(text):
+            return _FAST_WORD.findall(text.lower())
+        return [word for word, _ in self._pieces(self._normalise(text))]
+
     def split(self, text: str) -> list[str]:
         """Words and special strings of a text, in order."""
         if self._split is None or self._mark not in text:
-            return words_of(text)
+            return self.words_of(text)
         out: list[str] = []
         for k, part in enumerate(self._split.split(text)):
-            out.extend([part] if k % 2 else words_of(part))
+            out.extend([part] if k % 2 else self.words_of(part))
         return out
 
     def symbols(self, word: str) -> list[str]:
