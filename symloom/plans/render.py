@@ -28,11 +28,15 @@ def _is_struct(df: DataFrame, name: str) -> bool:
     return name in df.columns and "struct" in df.schema[name].dataType.simpleString()
 
 
+def _of_severity(severity: str):
+    return lambda claim: claim["severity"] == severity
+
+
 def _intent(depth: str) -> Column:
     intent = F.col("intent")
     some = F.size(intent) > 0
     if depth == "summary":
-        counts = [F.size(F.filter(intent, lambda c, s=s: c["severity"] == s)) for s in ("hard", "soft", "context")]
+        counts = [F.size(F.filter(intent, _of_severity(s))) for s in ("hard", "soft", "context")]
         top = F.get(intent, F.lit(0))
         line = _text("  INTENT hard:", counts[0], " soft:", counts[1], " context:", counts[2], "; top=", quote(top["claim"]), " (", top["source"], ")")
         return F.when(some, F.array(line))

@@ -19,10 +19,10 @@ def _scan(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     path = hadoop.Path(root)
     if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], "abs_path string, below string, content binary")
-    top = F.lit(path.toUri().getPath().rstrip("/") + "/")
+    top = path.toUri().getPath().rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     plain = F.regexp_replace("path", "^[a-z]+:/+", "/")
-    return files.select(plain.alias("abs_path"), F.substring_index(plain, top, -1).alias("below"), "content")
+    return files.select(plain.alias("abs_path"), F.substring(plain, len(top) + 1, 1 << 20).alias("below"), "content")
 
 
 def _hashed(rows: DataFrame) -> DataFrame:

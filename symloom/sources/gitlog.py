@@ -20,7 +20,7 @@ def parse_git_log(logs: DataFrame, text: Column | str = "value") -> DataFrame:
     whole = F.replace(F.col(text) if isinstance(text, str) else text, F.lit("\r\n"), F.lit("\n"))
     blocks = logs.select(F.explode(F.split(F.regexp_replace(whole, r"\n+\z", ""), "\n\n")).alias("block"))
     lines = blocks.select(F.split("block", "\n").alias("lines")).select(F.split(F.get("lines", F.lit(0)), FIELD).alias("head"), "lines")
-    files = F.array_sort(F.filter(F.transform(F.slice("lines", 2, F.size("lines")), F.trim), lambda f: f != ""))
+    files = F.array_sort(F.filter(F.transform(F.slice("lines", 2, F.size("lines")), lambda f: F.btrim(f, F.lit(" \t\r"))), lambda f: f != ""))
     head = F.col("head")
     return lines.where(F.size(head) >= 4).select(
         head[0].alias("sha"), head[1].alias("date"), F.array_join(F.slice(head, 4, F.size(head)), FIELD).alias("message"), head[2].alias("author_email"), files.alias("files"),
