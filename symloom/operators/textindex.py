@@ -19,6 +19,8 @@ from symloom.functions.text import TOKEN_BREAK, dual_form, fold, fold_text, quer
 
 # The published constants, and the weight of terms in half the rows or more.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Decimals of a score: equal scores stay equal whatever order their terms are added in.
+DIGITS = 12
 
 
 def phrases(query: str) -> list[list[str]]:
@@ -81,7 +83,7 @@ def score(corpus: DataFrame, query: str, id_col: str, fields: Sequence[str]) ->
     stats = counted.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("mean"), *[F.count_if(F.col(f"tf{k}") > 0).cast("double").alias(f"df{k}") for k in range(len(terms))])
     matching = counted.where(sum((F.col(f"tf{k}") for k in range(len(terms))), F.lit(0)) > 0)
     total = sum((idf(F.col("n"), F.col(f"df{k}")) * weight(F.col(f"tf{k}"), F.col("dl"), F.col("mean")) for k in range(len(terms))), F.lit(0.0))
-    return matching.join(F.broadcast(stats)).select("id", (-total).alias("bm25"))  # one row of statistics
+    return matching.join(F.broadcast(stats)).select("id", F.round(-total, DIGITS).alias("bm25"))  # one row of statistics
 
 
 def _once(df: DataFrame, key: Column, *columns: Column) -> DataFrame:
@@ -118,7 +120,7 @@ class TextIndex:
         df = tf.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).cast("double").alias("df"))
         scored = tf.join(F.broadcast(df), ["query_id", "phrase"]).join(self.lengths, "id").join(F.broadcast(stats))
         part = idf(F.col("n"), F.col("df")) * weight(F.col("tf"), F.col("dl"), F.col("mean"))
-        found = scored.groupBy("query_id", "id").agg((-F.sum(part)).alias("bm25"))
+        found = scored.groupBy("query_id", "id").agg(F.round(-F.sum(part), DIGITS).alias("bm25"))
         if limit is None:
             return found
         order = W.partitionBy("query_id").orderBy("bm25", "id")

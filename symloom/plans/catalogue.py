@@ -160,7 +160,7 @@ def bm25_sql(query: str, fields: tuple[str, ...] = ("claim",), source: str = "cl
 toks AS (SELECT claim_id, {lists} FROM {source}),
 tf AS (SELECT claim_id, CAST({" + ".join(map(size, n))} AS DOUBLE) AS dl, {counts} FROM toks),
 st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(dl) AS mean, {dfs} FROM tf),
-scored AS (SELECT claim_id, -({total}) AS bm25 FROM tf, st WHERE {" + ".join(f"tf{k}" for k in ks)} > 0)"""
+scored AS (SELECT claim_id, round(-({total}), 12) AS bm25 FROM tf, st WHERE {" + ".join(f"tf{k}" for k in ks)} > 0)"""
 
 
 def _top(scored: DataFrame, n: int = 20) -> DataFrame:
@@ -216,7 +216,7 @@ firsts AS (
   QUALIFY row_number() OVER (PARTITION BY symbol_id ORDER BY bm25, claim_id) = 1
 ), matches AS (SELECT f.*, s.name, s.path, {words} AS name_overlap FROM firsts f JOIN symbols s ON s.id = f.symbol_id)
 SELECT row_number() OVER (ORDER BY {order}) AS rank, symbol_id, name, path, claim_id, severity, name_overlap, round(bm25, 6) AS bm25
-FROM matches ORDER BY {order} LIMIT {limit}"""
+FROM matches QUALIFY rank <= {limit}"""
 
 
 @_query(_intent_sql(QUERY, 10))
