@@ -49,12 +49,15 @@ def match_expression(query: str) -> str | None:
 def dual_form(text: Column | str) -> Column:
     """The text, and once more with ``_`` and ``-`` as spaces; null counts as empty."""
     plain = F.coalesce(_column(text), F.lit(""))
-    return F.concat(plain, F.lit(" "), F.translate(plain, "_-", "  "))
+    joined = plain.contains("_") | plain.contains("-")
+    return F.concat(plain, F.lit(" "), F.when(joined, F.translate(plain, "_-", "  ")).otherwise(plain))
 
 
 def fold(text: Column | str) -> Column:
-    """Lower case without the accents of the table."""
-    return F.translate(F.lower(_column(text)), ACCENTED, FOLDED)
+    """Lower case without the accents of the table; texts of one byte a character have none."""
+    column = _column(text)
+    low = F.lower(column)
+    return F.when(F.octet_length(column) == F.length(column), low).otherwise(F.translate(low, ACCENTED, FOLDED))
 
 
 def tokens(text: Column | str) -> Column:

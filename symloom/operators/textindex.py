@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from symloom.functions.text import TOKEN_BREAK, dual_form, fold, fold_text, query_words, sanitize_query, tokens
+from symloom.functions.text import ACCENTED, FOLDED, TOKEN_BREAK, dual_form, fold_text, query_words, sanitize_query, tokens
 
 # The published constants, and the weight of terms in half the rows or more.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -31,12 +31,14 @@ def phrases(query: str) -> list[list[str]]:
 
 def spaced(text: Column | str) -> Column:
     """The tokens of the dual form, each with a space before and after it: plain text search finds phrases."""
-    plain = F.trim(F.regexp_replace(fold(dual_form(text)), TOKEN_BREAK, "  "))
-    return F.when(plain == "", F.lit("")).otherwise(F.concat(F.lit(" "), plain, F.lit(" ")))
+    column = F.col(text) if isinstance(text, str) else text
+    low = F.lower(dual_form(column))
+    folded = F.when(F.octet_length(column) == F.length(column), low).otherwise(F.translate(low, ACCENTED, FOLDED))
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(folded, TOKEN_BREAK, "  ")), F.lit(" "))
 
 
 def n_tokens(spaced_text: Column) -> Column:
-    return F.when(spaced_text == "", 0).otherwise((F.length(spaced_text) - F.length(F.replace(spaced_text, F.lit("  "), F.lit("")))) / 2 + 1)
+    return F.when(F.trim(spaced_text) == "", 0).otherwise((F.length(spaced_text) - F.length(F.replace(spaced_text, F.lit("  "), F.lit("")))) / 2 + 1)
 
 
 def overlaps_itself(phrase: Sequence[str]) -> bool:
