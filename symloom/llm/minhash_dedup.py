@@ -7,9 +7,10 @@ estimates their similarity most precisely where it is high, so it sorts out
 nearly all false proposals; what is left is confirmed on the full sets.
 
 Texts with equal sets form a class first and take part once.  In a bucket only
-pairs with one pivot are proposed, which is linear in its size: first with its
-smallest member, then, in buckets whose members are in different components,
-twice with a pivot drawn by a hash.  A last pass joins the members of different
+pairs with one pivot are proposed, and of a text's pivots only the one that it
+shares most buckets with is tried, so a round tries one pair for each text:
+first with the smallest member, then, in buckets whose members are in different
+components, twice with a pivot drawn by a hash.  A last pass joins the members of different
 components that still share a bucket, under the estimate of finer sketches, so
 no link that could connect two components is lost.
 
@@ -197,14 +198,14 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def linked(pairs: DataFrame) -> DataFrame:
         return confirmed(pairs, docs, id_col, text_col, k, percent)
 
-    led = tried(members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
+    led = tried(_most_shared(members.where("id <> leader").select("id", F.col("leader").alias("pivot"))))
     links = written(linked(led), "links")
     labels = components(links)
     for number in range(PIVOT_ROUNDS):
         mixed = _mixed(members, labels)
         drawn = F.xxhash64(F.lit(number), "key", "id")
         pivots = mixed.groupBy("key").agg(F.min(F.struct(drawn.alias("drawn"), F.col("id").alias("pivot"), F.col("label").alias("pivot_label"))).alias("p")).select("key", "p.pivot", "p.pivot_label")
-        pairs = mixed.join(pivots, "key").where("label <> pivot_label").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+        pairs = _most_shared(mixed.join(pivots, "key").where("label <> pivot_label").select("id", "pivot"))
         more = tried(pairs.join(led, ["a", "b"], "left_anti"))
         if more.isEmpty():
             break
@@ -224,6 +225,14 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return classed.join(labels, "rep", "left").select("id", "n_shingles", F.coalesce("label", "rep").alias("component"))
 
 
+def _most_shared(pairs: DataFrame) -> DataFrame:
+    """(a, b): each id with the pivot that it shares most buckets with, ties by the smaller."""
+    counted = pairs.groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("n"))
+    best = counted.groupBy("id").agg(F.max(F.struct("n", (-F.col("pivot")).alias("minus"))).alias("p"))
+    pivot = -F.col("p.minus")
+    return best.select(F.least("id", pivot).alias("a"), F.greatest("id", pivot).alias("b")).distinct()
+
+
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, id, label) of the buckets whose members are in different components, written."""
     placed = written(members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")), "placed")
