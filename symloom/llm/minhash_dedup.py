@@ -171,7 +171,8 @@ def _confirm(k: int, percent: int):
 
 def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """Those of the written ``pairs`` (a, b) whose full shingle sets are similar enough."""
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
+    ids = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).distinct()
+    wanted = written(ids, "pair-ids")
     small = broadcast_if_small(wanted, wanted.count(), 16)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
     texts = written(texts.join(small, "id", "left_semi"), "pair-texts")
