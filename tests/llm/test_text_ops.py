@@ -288,6 +288,19 @@ def test_passages(spark):
     assert repeated_passages(docs_of(spark, [])).count() == 0
 
 
+def test_passages_around_a_frequent_phrase(spark):
+    rng = random.Random(11)
+    make = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, want = {}, set()
+    for group in range(120):
+        phrase, before, after = make(46), make(5), make(5)
+        for k in range(12):
+            rows[12 * group + k] = make(45) + (before + phrase + after if k in (7, 9) else make(5) + phrase + make(5)) + make(45)
+        want.add((12 * group + 9, 12 * group + 7, 45, 101))
+    found = repeated_passages(docs_of(spark, [(i, " ".join(w)) for i, w in rows.items()]).repartition(4)).collect()
+    assert {tuple(r)[:4] for r in found} == want and len(found) == len(want)
+
+
 def test_blocks_of_words_follow_the_pattern():
     text = "A b\x0bc d e f"
     for _, _, data, offsets in text_blocks(pa.array([text])):
