@@ -301,6 +301,30 @@ def test_passages_around_a_frequent_phrase(spark):
     assert {tuple(r)[:4] for r in found} == want and len(found) == len(want)
 
 
+@pytest.mark.parametrize("edit", ["insert", "delete", "insert three", "both"])
+def test_passages_with_insertions_and_deletions(spark, edit):
+    rng = random.Random(12)
+    make = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, want = {}, set()
+    for k in range(30):
+        own, other = make(90), None
+        if edit == "insert":
+            other = own[:45] + make(1) + own[45:]
+        elif edit == "delete":
+            other = own[:45] + own[46:]
+        elif edit == "insert three":
+            other = own[:45] + make(3) + own[45:]
+        else:
+            other = own[:30] + make(1) + own[30:60] + own[61:]
+        rows[2 * k], rows[2 * k + 1] = make(40) + own + make(40), make(30) + other + make(50)
+        want.add((2 * k + 1, 2 * k, 30, 30 + len(other), 40, 130))
+    # Halves that are far apart are no passage.
+    half, rest = make(40), make(40)
+    rows[100], rows[101] = half + make(30) + rest, half + rest
+    found = {tuple(r) for r in repeated_passages(docs_of(spark, [(i, " ".join(w)) for i, w in rows.items()]).repartition(4)).collect()}
+    assert found <= want and len(found) >= 28
+
+
 def test_blocks_of_words_follow_the_pattern():
     text = "A b\x0bc d e f"
     for _, _, data, offsets in text_blocks(pa.array([text])):
