@@ -11,9 +11,11 @@ lowest cross-entropy per character wins.
 Training takes whole texts of a bounded sample: about ``TRAIN_DOCS`` documents
 of each language (by a hash of the id) whose crc32(id) mod 5 is not 0.  A fifth
 of the sample is left out of the counts and calibrates rejection: a text is
-rejected where its cross-entropy lies further above the language's mean than
-``REJECT_Z`` (or 1.5 times the largest distance in the calibration texts)
-standard deviations for its length, or where it has no letter.
+rejected where its cross-entropy lies further above the language's median than
+``REJECT_Z`` (or 1.5 times the distance that ``CALIBRATED`` of the language's
+calibration texts keep) standard deviations for its length, or where it has no
+letter.  Medians and quantiles over the calibration texts whose best language is
+their label keep a few mislabelled or garbage rows from moving the limit.
 
 Null texts and texts without a letter get ``und`` and score 0 and are rejected,
 as are all texts where nothing could be learned.  Ties go to the language that
@@ -44,6 +46,8 @@ ORDER = 5
 #: Bound of the training sample: documents of a language.
 TRAIN_DOCS = 400
 REJECT_Z = 6.0
+#: Share of a language's calibration texts that its limit is taken from; the rest may be garbage.
+CALIBRATED = 0.9
 #: Texts of a language are taken to differ by so much cross-entropy at least, as mixed and noisy ones do.
 MIN_SPREAD = 0.25
 #: Characters that an unknown character is taken to be one of.
@@ -127,7 +131,7 @@ class Model:
     mean: np.ndarray
     spread: np.ndarray
     char_spread: np.ndarray
-    z: float = REJECT_Z
+    z: float | np.ndarray = REJECT_Z  # for each language once calibrated
 
     def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log-probability of each padded word in each language; its characters with the final pad."""
@@ -156,7 +160,8 @@ class Model:
         chars = size - (ORDER - 1)
         return np.add.reduceat(total, np.cumsum(chars) - chars), chars
 
-    def limit(self, best: np.ndarray, chars: np.ndarray, z: float) -> np.ndarray:
+    def limit(self, best: np.ndarray, chars: np.ndarray, z: float | np.ndarray) -> np.ndarray:
+        z = z[best] if isinstance(z, np.ndarray) else z
         return self.mean[best] + z * (self.spread[best] + self.char_spread[best] / np.sqrt(np.maximum(chars, 1)))
 
 
@@ -259,7 +264,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return None
     model = build_model(counts)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    checked = sample.where("calibrates").select("lang", "body").mapInArrow(_calibration(shared), "lang string, chars long, entropy double, spread double").toArrow()
+    checked = sample.where("calibrates").select("lang", "body").mapInArrow(_calibration(shared), "lang string, chars long, entropy double, spread double, best boolean").toArrow()
     _calibrate(model, checked)
     return model
 
@@ -278,30 +283,30 @@ def _calibration(shared):
                 length = scorer.chars[rows]
                 away = -scorer.scores[rows, own[k]] - entropy[k, own[k]] * length
                 spread.append(float(np.sqrt((away**2).sum() / length.sum())))
-            columns = [pa.array([langs[k] for k in keep.tolist()], pa.string()), pa.array(chars[keep]), pa.array(entropy[keep, own[keep]]), pa.array(spread, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "chars", "entropy", "spread"])
+            best = entropy[keep].argmin(axis=1) == own[keep]
+            columns = [pa.array([langs[k] for k in keep.tolist()], pa.string()), pa.array(chars[keep]), pa.array(entropy[keep, own[keep]]), pa.array(spread, pa.float64()), pa.array(best)]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "chars", "entropy", "spread", "best"])
 
     return run
 
 
 def _calibrate(model: Model, checked: pa.Table) -> None:
-    """Mean and spread of the cross-entropy of each language's calibration texts, and the distance that rejects."""
-    lang, chars, entropy, spread = (np.array(checked[c].to_pylist()) for c in ("lang", "chars", "entropy", "spread"))
-    widest = 0.0
-    mean, doc, char = (np.zeros(len(model.langs)) for _ in range(3))
+    """Middle and spread of the cross-entropy of each language's calibration texts, and the distance that rejects."""
+    lang, chars, entropy, spread, best = (np.array(checked[c].to_pylist()) for c in ("lang", "chars", "entropy", "spread", "best"))
+    mean, doc, char, z = (np.zeros(len(model.langs)) for _ in range(4))
     for k, name in enumerate(model.langs):
-        own = lang == name if len(lang) else np.zeros(0, dtype=bool)
+        own = (lang == name) & best if len(lang) else np.zeros(0, dtype=bool)
         if not own.any():  # nothing to judge by: never reject
             mean[k], doc[k], char[k] = math.inf, 0.0, 0.0
             continue
-        mean[k] = np.average(entropy[own], weights=np.minimum(chars[own], 2000))
+        mean[k] = np.median(entropy[own])
         char[k] = np.median(spread[own])
-        long = own & (chars >= 500)
-        doc[k] = max(MIN_SPREAD, float(np.std(entropy[long])) if long.sum() > 1 else 0.0)
+        long = entropy[own & (chars >= 500)]
+        # 1.4826 times the median distance is the standard deviation of normal values.
+        doc[k] = max(MIN_SPREAD, float(1.4826 * np.median(np.abs(long - np.median(long)))) if len(long) > 1 else 0.0)
         away = (entropy[own] - mean[k]) / (doc[k] + char[k] / np.sqrt(chars[own]))
-        widest = max(widest, float(away.max()))
-    model.mean, model.spread, model.char_spread = mean, doc, char
-    model.z = max(REJECT_Z, 1.5 * widest)
+        z[k] = max(REJECT_Z, 1.5 * float(np.quantile(away, CALIBRATED)))
+    model.mean, model.spread, model.char_spread, model.z = mean, doc, char, z
 
 
 _SCORERS: dict[str, Scorer] = {}

@@ -14,7 +14,7 @@ from symloom.llm.bpe_codec import Codec, Lexicon, bpe_encode, compile_lexicon  #
 from symloom.llm.decontaminate import decontaminate, overlaps  # noqa: E402
 from symloom.llm.html_extract import Page, extract_text, style_trees  # noqa: E402
 from symloom.llm.kernels import Words, text_blocks  # noqa: E402
-from symloom.llm.language_id import build_model, grams_of, identify, keep_identified, language_id, train, words_of  # noqa: E402
+from symloom.llm.language_id import _calibrate, build_model, grams_of, identify, keep_identified, language_id, train, words_of  # noqa: E402
 from symloom.llm.sharding import assign_shards, lookup_table, next_prime, write_shards  # noqa: E402
 from symloom.llm.substring_dedup import repeated_passages, wide_nodes  # noqa: E402
 from symloom.llm.token_counts import PrefixTable, TextPrefixes, prefix_tables, token_counts  # noqa: E402
@@ -152,6 +152,17 @@ def test_language_id(spark):
     assert kept.columns == ["doc_id", "text", "lang", "id", "n_tokens"] and {r.doc_id for r in kept.collect()} == {i for i, r in found.items() if not r.rejected}
 
 
+def test_garbage_among_the_calibration_texts_does_not_end_rejection():
+    rng = np.random.default_rng(4)
+    model = build_model({lang: grams_of([lang * 3]) for lang in ("ab", "cd")})
+    own = [(lang, 600, e, 0.5, True) for lang in model.langs for e in rng.normal(1.4, 0.1, 80)]
+    odd = [("ab", 600, 11.6, 0.5, False), ("ab", 600, 5.8, 0.5, True), ("ab", 600, 5.8, 0.5, True)]
+    names = ["lang", "chars", "entropy", "spread", "best"]
+    _calibrate(model, pa.table([list(c) for c in zip(*(own + odd), strict=True)], names=names))
+    limits = model.limit(np.array([0, 1]), np.array([600, 600]), model.z)
+    assert (limits < 4).all() and (limits > 1.9).all()
+
+
 def test_nothing_to_learn(spark):
     empty = docs_of(spark, [(1, "text", None)])
     assert train(empty) is None and language_id(empty).first().lang_pred == "und" and keep_identified(empty, None).count() == 0
