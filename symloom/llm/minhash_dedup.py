@@ -6,13 +6,16 @@ every min-hash flips one bit.  The population count of two sketches' XOR
 estimates their similarity most precisely where it is high, so it sorts out
 nearly all false proposals; what is left is confirmed on the full sets.
 
-Texts with equal sets form a class first and take part once.  In a bucket only
-pairs with one pivot are proposed, and of a text's pivots only the one that it
-shares most buckets with is tried, so a round tries one pair for each text:
-first with the smallest member, then, in buckets whose members are in different
-components, twice with a pivot drawn by a hash.  A last pass joins the members of different
-components that still share a bucket, under the estimate of finer sketches, so
-no link that could connect two components is lost.
+Texts with equal sets form a class first and take part once.  Every bucket has a
+leader, and the buckets of one leader make a star.  First each text is compared
+with the leader that it shares most buckets with: one pair for each text.  What
+is then still in different components of a star is compared in tiles: the
+star's rows are dealt into blocks of bounded size, and a task gets two blocks,
+skips pairs of one component, sorts out the others by sketches and confirms on
+full sets.  It gives out links only, and only those that join components, so no
+row stands for a pair that is not a link and no link between two components is
+lost.  Rows of a star's largest component meet the other rows only, so the work
+grows with the rows outside of it times the star.
 
 Words are runs of other characters than space and \\t to \\r, with A-Z
 lower-cased.  A text with fewer than ``k`` words is one shingle; texts without
@@ -28,6 +31,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +48,8 @@ SKETCH_BITS = 512
 SKETCH_FLOOR = 0.5
 #: The finer sketches of the last pass, more than 4 standard deviations below 0.8.
 FINE_SAMPLES, FINE_BITS, FINE_FLOOR = 640, 2048, 0.72
-#: Rounds with drawn pivots.
-PIVOT_ROUNDS = 2
+#: A block of a tile has about so many shingles (8 bytes each), or rows where only sketches are compared.
+TILE_SHINGLES, TILE_ROWS = 400_000, 4096
 
 _SKETCH = "id long, n_shingles long, s1 long, s2 long, bands array<long>, odd array<long>"
 
@@ -117,27 +121,6 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int = B
     return plain.mapInArrow(_sketch(k, bands, rows), _SKETCH)
 
 
-def _fine(k: int):
-    factors = seeds(FINE_SAMPLES, 8)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, data, offsets in text_blocks(batch.column(1)):
-                sets = shingle_sets(Words(data, offsets), k)
-                size = np.fromiter(map(len, sets), dtype=np.int64)
-                minima = np.zeros((len(sets), FINE_SAMPLES), dtype=np.uint64)
-                full = np.flatnonzero(size)
-                if len(full):
-                    flat, start = np.concatenate([sets[k] for k in full]), np.cumsum(size[full]) - size[full]
-                    for m, a in enumerate(factors):
-                        minima[full, m] = np.minimum.reduceat(flat * a, start)
-                odd = odd_sketches(minima, FINE_BITS)
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(odd.ravel()), odd.shape[1]).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], names=["id", "fine"])
-
-    return run
-
-
 def _sizes_fit(percent: int) -> Column:
     return 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
 
@@ -153,31 +136,171 @@ def _alike(percent: int) -> Column:
     return _sizes_fit(percent) & _close("odd", SKETCH_BITS, max_xor())
 
 
-def _confirm(k: int, percent: int):
-    def sets_of(texts: pa.Array) -> Iterator[np.ndarray]:
-        for _, _, data, offsets in text_blocks(texts):
-            yield from shingle_sets(Words(data, offsets), k)
+def _sets(k: int, fine: bool):
+    """(id, grams, sketch): a text's sorted shingle hashes and, with ``fine``, its finer odd sketch, as bytes."""
+    factors = seeds(FINE_SAMPLES, 8)
+
+    def sketched(sets: list[np.ndarray]) -> np.ndarray:
+        size = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+        minima = np.zeros((len(sets), FINE_SAMPLES), dtype=np.uint64)
+        full = np.flatnonzero(size)
+        if len(full):
+            flat, start = np.concatenate([sets[k] for k in full]), np.cumsum(size[full]) - size[full]
+            for m, a in enumerate(factors):
+                minima[full, m] = np.minimum.reduceat(flat * a, start)
+        return odd_sketches(minima, FINE_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
-            for x, y in zip(sets_of(batch.column(2)), sets_of(batch.column(3)), strict=True):
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
+            for i, j, data, offsets in text_blocks(batch.column(1)):
+                sets = shingle_sets(Words(data, offsets), k)
+                sketch = [row.tobytes() for row in sketched(sets)] if fine else [b""] * len(sets)
+                columns = [batch.column(0).slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(sketch, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "grams", "sketch"])
+
+    return run
+
+
+def shingles_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, fine: bool) -> DataFrame:
+    """(id, grams, sketch) of the documents in ``ids`` (id, distinct and written), written."""
+    small = broadcast_if_small(ids, ids.count(), 16)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body")).join(small, "id", "left_semi")
+    return written(texts.dropDuplicates(["id"]).mapInArrow(_sets(k, fine), "id long, grams binary, sketch binary"), "shingles")
+
+
+def tiles(rows: DataFrame, group: str, minor: str, weight: Column, most: int) -> DataFrame:
+    """Deal the rows of each group into blocks and the blocks into tiles, so that no task holds a group.
+
+    Rows marked ``minor`` meet all others of their group; the rest meet minor ones
+    only.  A tile (i, j) is two blocks of about ``most`` in ``weight`` each, side 0
+    of which is minor; (i, i) is a minor block with itself.
+    """
+    total = [F.sum(F.when(side, weight)).alias(name) for side, name in ((F.col(minor), "low"), (~F.col(minor), "high"))]
+    sizes = rows.groupBy(group).agg(*total).where("low is not null")
+    parts = [F.ceil(F.coalesce(F.col(c), F.lit(0)) / F.lit(most)).alias(c) for c in ("low", "high")]
+    dealt = rows.join(sizes.select(group, *parts), group)
+    own = F.when(F.col(minor), F.pmod(F.xxhash64("id"), "low")).otherwise(F.col("low") + F.pmod(F.xxhash64("id"), "high"))
+    dealt = dealt.withColumn("block", own)
+    before = F.transform(F.sequence(F.lit(0).cast("long"), F.least("block", F.col("low") - 1)), lambda i: F.struct(i.alias("i"), F.col("block").alias("j")))
+    after = F.transform(F.sequence("block", F.col("low") + F.col("high") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j")))
+    every = F.when(F.col(minor), F.array_distinct(F.concat(before, after))).otherwise(before)
+    out = dealt.withColumn("tile", F.explode(every))
+    return out.select(*[c for c in rows.columns if c != minor], "tile.i", "tile.j", F.when(F.col("tile.i") == F.col("block"), 0).otherwise(1).alias("side"))
+
+
+@dataclass
+class Tile:
+    """Two blocks of rows of one group; ``one`` is the number of rows of side 0."""
+
+    ids: np.ndarray
+    labels: np.ndarray
+    sizes: np.ndarray
+    sketches: np.ndarray
+    grams: pa.Array
+    one: int
+    itself: bool
+
+    def close(self, k: int, most: int, percent: int) -> np.ndarray:
+        """Rows that row ``k`` of side 0 is to be compared with: other label, fitting size, near sketch."""
+        start = k + 1 if self.itself else self.one
+        apart = self.labels[start:] != self.labels[k]
+        low, high = np.minimum(self.sizes[start:], self.sizes[k]), np.maximum(self.sizes[start:], self.sizes[k])
+        at = np.flatnonzero(apart & (100 * low >= percent * high)) + start
+        if self.sketches.shape[1]:
+            far = np.bitwise_count(self.sketches[at] ^ self.sketches[k]).sum(axis=1)
+            near = far <= most
+            at = at[near][np.argsort(far[near], kind="stable")]
+        return at
+
+    def set_of(self, k: int) -> np.ndarray:
+        return np.frombuffer(self.grams[k].as_buffer(), dtype=np.uint64)
+
+
+def _tiles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Tile]:
+    """The tiles of sorted rows (group, i, j, side, id, label, n_shingles, sketch, grams)."""
+
+    def built(parts: list[pa.RecordBatch]) -> Tile:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        column = lambda name: table.column(name).to_numpy()
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64).reshape(table.num_rows, -1)
+        grams = table.column("grams").combine_chunks()
+        one = int((column("side") == 0).sum())
+        return Tile(column("id"), column("label").copy(), column("n_shingles"), sketch, grams, one, bool(column("i")[0] == column("j")[0]))
+
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(k).to_numpy() for k in range(3)])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            key = tuple(keys[:, a].tolist())
+            if held and key != last:
+                yield built(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield built(held)
+
+
+def _active(most: int, percent: int):
+    """(id) of rows with a near sketch of another label in their tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in _tiles_of(batches):
+            active = np.zeros(len(tile.ids), dtype=bool)
+            for k in range(tile.one):
+                near = tile.close(k, most, percent)
+                active[near] = True
+                active[k] |= len(near) > 0
+            yield pa.RecordBatch.from_arrays([pa.array(tile.ids[active])], names=["id"])
+
+    return run
+
+
+#: Rows whose sets are intersected with one set at a time.
+_AT_ONCE = 32
+
+
+def _linked(most: int, percent: int):
+    """(a, b): links that join rows of different labels, fewer than the rows of the tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in _tiles_of(batches):
+            links: list[tuple[int, int]] = []
+            for k in range(tile.one):
+                left = tile.close(k, most, percent)
+                own = tile.set_of(k) if len(left) else None
+                while len(left):
+                    now, left = left[:_AT_ONCE], left[_AT_ONCE:]
+                    shared = _shared(own, [tile.set_of(i) for i in now.tolist()])
+                    similar = 100 * shared >= percent * (len(own) + tile.sizes[now] - shared)
+                    for i in now[similar].tolist():
+                        if tile.labels[i] != tile.labels[k]:
+                            links.append((int(tile.ids[k]), int(tile.ids[i])))
+                            tile.labels[tile.labels == tile.labels[i]] = tile.labels[k]
+                    left = left[tile.labels[left] != tile.labels[k]]
+            a, b = zip(*links, strict=True) if links else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """Those of the written ``pairs`` (a, b) whose full shingle sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).distinct()
-    wanted = written(ids, "pair-ids")
-    small = broadcast_if_small(wanted, wanted.count(), 16)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
-    texts = written(texts.join(small, "id", "left_semi"), "pair-texts")
-    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_confirm(k, percent), "a long, b long")
+def _shared(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many of the sorted ``own`` are in each of the ``others``, none of which is empty."""
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+    size = np.fromiter(map(len, others), dtype=np.int64, count=len(others))
+    return np.add.reduceat((own[at] == flat).astype(np.int64), np.cumsum(size) - size)
+
+
+def _in_tiles(rows: DataFrame, weight: Column, most: int, payload: DataFrame, run, schema: str) -> DataFrame:
+    """``run`` over the tiles of (leader, id, label, n_shingles, minor); ``payload``: (id, sketch, grams)."""
+    full = tiles(rows, "leader", "minor", weight, most).join(payload, "id")
+    dealt = full.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "side", "id")
+    return dealt.select("leader", "i", "j", "side", "id", "label", "n_shingles", "sketch", "grams").mapInArrow(run, schema)
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -187,38 +310,30 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(ided.groupBy("s1", "s2", "n_shingles").agg(F.min("id").alias("rep")), "classes")
     reps = ided.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     reps = written(reps.select("id", "n_shingles", "bands", "odd"), "reps")
-    keys = reps.select("id", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = written(keys.join(shared, "key"), "members")
-    light_a = reps.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("odd").alias("odd_a"))
-    light_b = light_a.toDF("b", "n_b", "odd_b")
-
-    def tried(pairs: DataFrame) -> DataFrame:
-        return written(pairs.join(light_a, "a").join(light_b, "b").where(_alike(percent)).select("a", "b"), "pairs")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        return confirmed(pairs, docs, id_col, text_col, k, percent)
-
-    led = tried(_most_shared(members.where("id <> leader").select("id", F.col("leader").alias("pivot"))))
-    links = written(linked(led), "links")
+    light, size = reps.select("id", "n_shingles", "odd"), reps.select("id", "n_shingles")
+    stars = written(_stars(reps.select("id", F.explode("bands").alias("key"))), "stars")
+
+    # One pair for each text: with the leader that it shares most buckets with.
+    pairs = stars.where("id <> leader").groupBy("id").agg(F.max(F.struct("shared", (-F.col("leader")).alias("minus"))).alias("best"))
+    pairs = pairs.select("id", (-F.col("best.minus")).alias("leader")).join(light.toDF("id", "n_a", "odd_a"), "id").join(light.toDF("leader", "n_b", "odd_b"), "leader")
+    pairs = written(pairs.where(_alike(percent)).select("leader", "id", F.lit(False).alias("minor")), "pairs")
+    led = pairs.union(pairs.select("leader", F.col("leader").alias("id"), F.lit(True)).distinct())
+    grams = shingles_of(written(led.select("id").distinct(), "pair-ids"), docs, id_col, text_col, k, fine=False)
+    rows = led.join(size, "id").withColumn("label", F.col("id"))
+    links = written(_in_tiles(rows, F.col("n_shingles"), TILE_SHINGLES, grams, _linked(0, percent), "a long, b long"), "links")
     labels = components(links)
-    for number in range(PIVOT_ROUNDS):
-        mixed = _mixed(members, labels)
-        drawn = F.xxhash64(F.lit(number), "key", "id")
-        pivots = mixed.groupBy("key").agg(F.min(F.struct(drawn.alias("drawn"), F.col("id").alias("pivot"), F.col("label").alias("pivot_label"))).alias("p")).select("key", "p.pivot", "p.pivot_label")
-        pairs = _most_shared(mixed.join(pivots, "key").where("label <> pivot_label").select("id", "pivot"))
-        more = tried(pairs.join(led, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            break
-        led = led.union(more)
-        links = written(links.union(linked(more)), "links")
-        labels = components(links)
-
-    rest = _rest(_mixed(members, labels), reps, docs, id_col, text_col, k, percent)
-    rest = written(rest.join(led, ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        links = written(links.union(linked(rest)), "links")
-        labels = components(links)
+
+    # What is in different components of a star: sketches tell who may be linked, full sets who is.
+    packed = light.select("id", _packed("odd").alias("sketch"), F.lit(b"").alias("grams"))
+    active = _in_tiles(_mixed(stars, labels).join(size, "id"), F.lit(1), TILE_ROWS, packed, _active(max_xor(), percent), "id long")
+    active = written(active.distinct(), "active")
+    n = active.count()
+    if n:
+        fine = shingles_of(active, docs, id_col, text_col, k, fine=True)
+        rows = _mixed(stars.join(broadcast_if_small(active, n, 16), "id", "left_semi"), labels).join(size, "id")
+        most = max_xor(FINE_BITS, FINE_SAMPLES, FINE_FLOOR)
+        more = _in_tiles(rows, F.col("n_shingles"), TILE_SHINGLES, fine, _linked(most, percent), "a long, b long")
+        labels = components(written(links.union(more), "links"))
 
     classed = every.select("id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2", "n_shingles"], "left")
     classed = classed.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
@@ -226,37 +341,37 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return classed.join(labels, "rep", "left").select("id", "n_shingles", F.coalesce("label", "rep").alias("component"))
 
 
-def _most_shared(pairs: DataFrame) -> DataFrame:
-    """(a, b): each id with the pivot that it shares most buckets with, ties by the smaller."""
-    counted = pairs.groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("n"))
-    best = counted.groupBy("id").agg(F.max(F.struct("n", (-F.col("pivot")).alias("minus"))).alias("p"))
-    pivot = -F.col("p.minus")
-    return best.select(F.least("id", pivot).alias("a"), F.greatest("id", pivot).alias("b")).distinct()
+def _packed(column: str) -> Column:
+    """An array of longs as the little-endian bytes that NumPy reads."""
+    hexed = [F.lpad(F.hex(F.get(column, F.lit(i))), 16, "0") for i in range(SKETCH_BITS // 64)]
+    return F.unhex(F.concat(*hexed))
+
 
+def _stars(keys: DataFrame) -> DataFrame:
+    """(leader, id, shared): the members of all buckets that an id leads, and how many buckets they share.
 
-def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, id, label) of the buckets whose members are in different components, written."""
-    placed = written(members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    return written(placed.join(mixed, "key", "left_semi"), "mixed")
+    A bucket is led by the member that is in most shared buckets, which in a
+    group of near copies is one for nearly all buckets.  Members of a bucket have
+    its leader in common, so every pair that shares a bucket is in one star.
+    """
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    members = written(keys.join(shared, "key"), "members")
+    degree = members.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    ranked = members.join(degree, "id")
+    leaders = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("best"))
+    led = members.join(leaders.select("key", (-F.col("best.minus")).alias("leader")), "key")
+    return led.groupBy("leader", "id").agg(F.count(F.lit(1)).alias("shared"))
 
 
-def _rest(mixed: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and whose fine sketches are close.
+def _mixed(stars: DataFrame, labels: DataFrame) -> DataFrame:
+    """(leader, id, label, minor) of the stars with members of different components.
 
-    A pair is told in the first bucket that it shares only.
+    A row is minor unless its star has most members of its label.
     """
-    ids = written(mixed.select("id").distinct(), "mixed-ids")
-    small = broadcast_if_small(ids, ids.count(), 16)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body")).join(small, "id", "left_semi")
-    fine = texts.dropDuplicates(["id"]).mapInArrow(_fine(k), "id long, fine array<long>").join(reps.drop("odd"), "id")
-    rows = written(mixed.join(fine, "id"), "mixed-sketches")
-    one = rows.select("key", F.col("id").alias("a"), F.col("label").alias("label_a"), F.col("n_shingles").alias("n_a"), F.col("fine").alias("fine_a"), F.col("bands").alias("bands_a"))
-    two = one.toDF("other", "b", "label_b", "n_b", "fine_b", "bands_b")
-    first = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True)
-    here = F.get("bands_a", (first - 1).cast("int")) == F.col("key")
-    near = _close("fine", FINE_BITS, max_xor(FINE_BITS, FINE_SAMPLES, FINE_FLOOR))
-    return one.join(two, (F.col("key") == F.col("other")) & (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & _sizes_fit(percent) & near & here).select("a", "b")
+    placed = written(stars.select("leader", "id").join(labels, "id", "left").select("leader", "id", F.coalesce("label", "id").alias("label")), "placed")
+    counted = placed.groupBy("leader", "label").agg(F.count(F.lit(1)).alias("n"))
+    major = counted.groupBy("leader").agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    return placed.join(major.select("leader", F.col("most.label").alias("major")), "leader").select("leader", "id", "label", (F.col("label") != F.col("major")).alias("minor"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:

@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from symloom.llm import minhash_dedup
 from symloom.llm.exact_dedup import RadixTrie, exact_dedup
 from symloom.llm.graph import components, stars
 from symloom.llm.kernels import Words, ngrams, stretches, text_blocks
@@ -193,6 +194,34 @@ def test_near_dedup_equals_all_pairs(spark, k):
     assert {r.doc_id for r in left.collect()} == {i for i, (_, c) in found.items() if i == c} and left.columns == ["doc_id", "text", "kept", "group_size"]
 
 
+def edited(rng, base, n, edits):
+    """Copies of ``base`` with as many words replaced as ``edits`` draws."""
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for j in range(edits(rng)):
+            words[rng.randrange(len(words))] = f"own{i}x{j}"
+        rows.append(" ".join(words))
+    return rows
+
+
+@pytest.mark.parametrize("least, most", [(0, 24), (16, 18)])
+def test_near_dedup_of_one_group_on_both_sides_of_the_threshold(spark, monkeypatch, least, most):
+    """Dealt into many small tiles, with one pivot for a star; a task gives fewer links than it has rows."""
+    monkeypatch.setattr(minhash_dedup, "TILE_SHINGLES", 6_000)
+    monkeypatch.setattr(minhash_dedup, "TILE_ROWS", 50)
+    given = []
+    real = minhash_dedup.components
+    monkeypatch.setattr(minhash_dedup, "components", lambda links: given.append(links.count()) or real(links))
+    rng = random.Random(least)
+    base = [f"w{rng.randrange(5000)}" for _ in range(240)]
+    rows = list(enumerate(edited(rng, base, 220, lambda r: r.randrange(least, most))))
+    rng.shuffle(rows)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup(docs_of(spark, rows), k=2).collect()}
+    assert found == plain_components(rows, 2)
+    assert max(given) < 3 * len(rows)
+
+
 def test_near_dedup_empty_null_ids_and_repeated_rows(spark):
     assert near_dedup(docs_of(spark, [])).count() == 0
     rows = [(r.doc_id, r.component_id, r.kept) for r in near_dedup(docs_of(spark, [(None, "a b c"), (2, "a b c"), (2, "a b c"), (5, "a b c")]), k=2).collect()]
