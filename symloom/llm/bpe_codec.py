@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from symloom.llm.common import written
 from symloom.llm.token_counts import share_vocabulary
-from symloom.llm.wordbpe import MEMO_WORDS, Memo, WordBpe, load, rows_of
+from symloom.llm.wordbpe import MEMO_WORDS, Memo, WordBpe, digest
+from symloom.llm.worker import held, lean, rows_of
 
 #: The most frequent words of the whole corpus that the lexicon holds.
 LEXICON_WORDS = 50_000
@@ -178,7 +179,7 @@ class Codec:
 
 def _count_words(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, counts = load(shared.value).split, Counter()
+        split, counts = held(f"words {digest(shared.value)}", lambda: WordBpe(shared.value)).split, Counter()
         for _, texts in rows_of(batches):
             for text in texts:
                 counts.update(split(text))
@@ -200,7 +201,7 @@ def frequent_words(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     The driver gets how many words have each count, then the words themselves.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
-    counted = rows.mapInArrow(_count_words(share_vocabulary(docs, vocabulary)), "word string, n long")
+    counted = rows.mapInArrow(lean(_count_words(share_vocabulary(docs, vocabulary))), "word string, n long")
     counted = written(counted.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     level = F.least(F.col("n"), F.lit(_FINE) + F.floor(F.log2(F.col("n")) * 64)).cast("long")
     left, above = size, None
@@ -214,7 +215,7 @@ def frequent_words(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
 
 def build_lexicon(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", size: int = LEXICON_WORDS) -> bytes:
     with open(vocabulary, encoding="utf-8") as file:
-        bpe = load(file.read())
+        bpe = WordBpe(file.read())
     words = frequent_words(docs, vocabulary, id_col, text_col, size)
     return compile_lexicon({w: bpe.merge(w) for w in words if w not in bpe.special})
 
@@ -237,14 +238,8 @@ def share_lexicon(docs: DataFrame, compiled: bytes) -> str:
     return name
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def _codec(raw: str, name: str) -> Codec:
-    if name not in _CODECS:
-        _CODECS.clear()
-        _CODECS[name] = Codec(load(raw), Lexicon(np.memmap(SparkFiles.get(name), dtype="<i4", mode="r")))
-    return _CODECS[name]
+    return held(f"codec {digest(raw)} {name}", lambda: Codec(WordBpe(raw), Lexicon(np.memmap(SparkFiles.get(name), dtype="<i4", mode="r"))))
 
 
 def _encode(shared, name: str, with_ids: bool):
@@ -276,5 +271,5 @@ def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     name = share_lexicon(docs, compiled)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
     kinds = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "id long, n_tokens long, ids array<int>, decoded string"
-    out = rows.mapInArrow(_encode(share_vocabulary(docs, vocabulary), name, not digests), kinds)
+    out = rows.mapInArrow(lean(_encode(share_vocabulary(docs, vocabulary), name, not digests)), kinds)
     return out.withColumnRenamed("id", id_col)

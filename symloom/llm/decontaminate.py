@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from symloom.llm.common import broadcast_if_small, written
 from symloom.llm.kernels import Words, mix, plain, seeds, stretches, text_blocks
+from symloom.llm.worker import lean
 
 # The masks, each of weight 5.  A substitution in every third or
 # every fifth word leaves one of them whole.
@@ -176,16 +177,16 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     if size <= broadcast_words:
         rows = sorted(tests.collect(), key=lambda r: (r.item_id is None, r.item_id))
         shared = docs.sparkSession.sparkContext.broadcast(Items.of([r.item_id for r in rows], [r.item for r in rows]))
-        return texts.mapInArrow(_scan(shared, min_words, percent), _HITS).withColumnRenamed("id", id_col)
+        return texts.mapInArrow(lean(_scan(shared, min_words, percent)), _HITS).withColumnRenamed("id", id_col)
     texts, tests = texts.where("id is not null"), tests.where("item_id is not null")
     seed = "hash long, row long, place long"
-    mine = texts.select("id", "body").mapInArrow(_emit, seed)
-    theirs = tests.mapInArrow(_emit, seed).toDF("hash", "item_id", "item_place")
+    mine = texts.select("id", "body").mapInArrow(lean(_emit), seed)
+    theirs = tests.mapInArrow(lean(_emit), seed).toDF("hash", "item_id", "item_place")
     tried = written(mine.join(theirs, "hash").select(F.col("row").alias("id"), "item_id", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct(), "seed-hits")
     ids = written(tried.select("id").distinct(), "hit-ids")
     bodies = texts.join(broadcast_if_small(ids, ids.count(), 16), "id", "left_semi")
     both = tried.join(bodies, "id").join(tests, "item_id").select("id", "item_id", "diagonal", "body", "item")
-    found = both.mapInArrow(_verify(min_words, percent), _HITS)
+    found = both.mapInArrow(lean(_verify(min_words, percent)), _HITS)
     best = F.max_by(F.struct("begin_word", "end_word", "n_matched", "item_words"), F.struct("n_matched", -F.col("begin_word")))
     return found.groupBy("id", "item_id").agg(best.alias("x")).select(F.col("id").alias(id_col), "item_id", "x.*")
 

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symloom.llm.common import text_or_empty
+from symloom.llm.worker import lean
 
 #: Bytes of text that a task's trie holds before its finished subtrees are emitted.
 SUBTREE_BYTES = 16 << 20
@@ -147,9 +148,9 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     """One row for each distinct text: n_bytes, digest (SHA-256), owner, copies."""
     largest = {"smallest": False, "largest": True}[keep]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(text_or_empty(text_col), "utf-8").alias("body"))
-    folded = rows.mapInArrow(_fold(largest, subtree_bytes), _FOLDED)
+    folded = rows.mapInArrow(lean(_fold(largest, subtree_bytes)), _FOLDED)
     dealt = folded.repartition("n_bytes", "digest").sortWithinPartitions("n_bytes", "digest")
-    return dealt.mapInArrow(_own(largest, subtree_bytes), _OWNED)
+    return dealt.mapInArrow(lean(_own(largest, subtree_bytes)), _OWNED)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", subtree_bytes: int = SUBTREE_BYTES) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symloom.llm.common import written
+from symloom.llm.worker import lean
 
 #: Links that a task contracts at once (about 60 bytes each).
 CHUNK_LINKS = 1_000_000
@@ -75,7 +76,7 @@ def components(edges: DataFrame, chunk: int = CHUNK_LINKS) -> DataFrame:
     """(id, label): the smallest reachable id for every node that has an edge; ``edges``: (a, b), written."""
     links = edges.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).where("u <> v")
     n = links.count()
-    near = links.coalesce(max(1, -(-n // chunk))).mapInArrow(_contract(chunk), "u long, v long")
+    near = links.coalesce(max(1, -(-n // chunk))).mapInArrow(lean(_contract(chunk)), "u long, v long")
     if n <= chunk:
         return written(near.toDF("id", "label"), "components")
     now = written(near.where("u <> v").distinct(), "edges")

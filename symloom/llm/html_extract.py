@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symloom.llm.common import broadcast_if_small, written
+from symloom.llm.worker import lean
 
 #: Branches below this importance are removed ...
 THRESHOLD = 0.5
@@ -220,7 +221,7 @@ def style_trees(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     with most of the pages is spread over its features.
     """
     rows = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    counts = rows.mapInArrow(_features, _TREE).groupBy("host", "path", "kind", "feature").agg(F.sum("pages").alias("d"))
+    counts = rows.mapInArrow(lean(_features), _TREE).groupBy("host", "path", "kind", "feature").agg(F.sum("pages").alias("d"))
     one = counts.groupBy("host", "path").agg(
         F.max(F.when(F.col("kind") == "page", F.col("d"))).alias("pages"),
         *[F.sum(F.when(F.col("kind") == k, F.col("d") * F.log("d"))).alias(f"{k}_log") for k in ("style", "text")],
@@ -263,4 +264,4 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), _HOST.pattern, 1))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), url.alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
     joined = rows.join(broadcast_if_small(low, 1, size), "host", "left").select("id", "url", "html", "low")
-    return joined.mapInArrow(_extract, "id long, url string, text string, n_chars long").withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
+    return joined.mapInArrow(lean(_extract), "id long, url string, text string, n_chars long").withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)

@@ -17,10 +17,12 @@ calibration texts keep) standard deviations for its length, or where it has no
 letter.  Medians and quantiles over the calibration texts whose best language is
 their label keep a few mislabelled or garbage rows from moving the limit.
 
-Null texts and texts without a letter get ``und`` and score 0 and are rejected,
-as are all texts where nothing could be learned.  Ties go to the language that
-sorts first; repeated rows are predicted one by one; rows with a null id are
-never trained on; an empty table gives an empty result; extra columns are ignored.
+A letter is a character of a Unicode category L.  Null texts and texts without a
+letter get ``und`` and score 0 and are rejected; where nothing could be learned,
+all texts get ``und`` and score 0 and those with a letter are not rejected.  Ties
+go to the language that sorts first; repeated rows are predicted one by one; rows
+with a null id are never trained on and not held out; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +42,8 @@ from pyspark.sql import functions as F
 
 from symloom.llm.common import written
 from symloom.llm.kernels import mix, seeds
-from symloom.llm.wordbpe import Memo, rows_of
+from symloom.llm.wordbpe import Memo
+from symloom.llm.worker import blocks, held, lean, rows_of
 
 ORDER = 5
 #: Bound of the training sample: documents of a language.
@@ -55,7 +58,21 @@ ALPHABET = 4096
 #: Texts are not taken as surer than one of so many characters.
 _SURE_CHARS = 40
 
-_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _other_numbers() -> str:
+    """What a regular expression takes for a word character although it is no letter, mark or digit: Nl and No, as ranges."""
+    found = [c for c in map(chr, range(0x80, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()]
+    runs: list[list[str]] = []
+    for c in found:
+        if runs and ord(c) == ord(runs[-1][1]) + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"{a}-{b}" for a, b in runs)
+
+
+_WORD = re.compile(rf"[^\W\d_{_other_numbers()}]+")
 _PAD = " " * (ORDER - 1)
 
 
@@ -69,6 +86,10 @@ def fold(id_col: Column) -> Column:
     return F.crc32(F.encode(id_col.cast("string"), "utf-8")) % 5
 
 
+def _has_letter(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def grams_of(words: list[str]) -> Counter:
     """Counts of the n-grams of highest order in padded words."""
     counts: Counter = Counter()
@@ -256,7 +277,7 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, pe
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TRAIN_DOCS) -> Model | None:
     """A calibrated model, or None where there is nothing to learn from."""
     sample = training_rows(docs, id_col, text_col, lang_col, per_language)
-    counted = sample.where("not calibrates").select("lang", "body").mapInArrow(_counted, "lang string, gram string, n long")
+    counted = sample.where("not calibrates").select("lang", "body").mapInArrow(lean(_counted), "lang string, gram string, n long")
     counts: dict[str, dict[str, int]] = defaultdict(dict)
     for row in counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[row.lang][row.gram] = row.n
@@ -264,7 +285,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return None
     model = build_model(counts)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    checked = sample.where("calibrates").select("lang", "body").mapInArrow(_calibration(shared), "lang string, chars long, entropy double, spread double, best boolean").toArrow()
+    checked = sample.where("calibrates").select("lang", "body").mapInArrow(lean(_calibration(shared)), "lang string, chars long, entropy double, spread double, best boolean").toArrow()
     _calibrate(model, checked)
     return model
 
@@ -309,25 +330,28 @@ def _calibrate(model: Model, checked: pa.Table) -> None:
     model.mean, model.spread, model.char_spread, model.z = mean, doc, char, z
 
 
-_SCORERS: dict[str, Scorer] = {}
+def _scorer(shared) -> Scorer:
+    return held(f"scorer {shared.id}", lambda: Scorer(shared.value))
+
+
+def _judged(scorer: Scorer, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Best language, whether there is no letter, score, lowest cross-entropy and rejection of each text."""
+    entropy, chars = scorer.entropies(texts)
+    best = entropy.argmin(axis=1)
+    lowest = entropy[np.arange(len(texts)), best]
+    sure = 1 / np.exp(-(entropy - lowest[:, None]) * np.minimum(chars, _SURE_CHARS)[:, None]).sum(axis=1)
+    none = chars == 0
+    rejected = none | (lowest > scorer.model.limit(best, chars, scorer.model.z))
+    return best, none, np.where(none, 0.0, sure), np.where(none, 0.0, lowest), rejected
 
 
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if shared.id not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[shared.id] = Scorer(shared.value)
-        scorer, model = _SCORERS[shared.id], shared.value
+        scorer = _scorer(shared)
         for ids, texts in rows_of(batches):
-            entropy, chars = scorer.entropies(texts)
-            best = entropy.argmin(axis=1)
-            gap = entropy - entropy[np.arange(len(texts)), best][:, None]
-            sure = 1 / np.exp(-gap * np.minimum(chars, _SURE_CHARS)[:, None]).sum(axis=1)
-            none = chars == 0
-            lowest = entropy[np.arange(len(texts)), best]
-            rejected = none | (lowest > model.limit(best, chars, model.z))
-            names = ["und" if n else model.langs[b] for n, b in zip(none.tolist(), best.tolist(), strict=True)]
-            columns = [pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(np.where(none, 0.0, sure)), pa.array(np.where(none, 0.0, lowest)), pa.array(rejected)]
+            best, none, sure, lowest, rejected = _judged(scorer, texts)
+            names = ["und" if n else scorer.model.langs[b] for n, b in zip(none.tolist(), best.tolist(), strict=True)]
+            columns = [pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(sure), pa.array(lowest), pa.array(rejected)]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "lang_pred", "score", "cross_entropy", "rejected"])
 
     return run
@@ -337,28 +361,33 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     """(id, held_out, lang_pred, score, cross_entropy, rejected) of every row, from the text alone."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
     if model is None:
-        out = rows.select("id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("cross_entropy"), F.lit(True).alias("rejected"))
+        out = rows.select("id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("cross_entropy"), (~_has_letter(F.col("body"))).alias("rejected"))
     else:
         shared = docs.sparkSession.sparkContext.broadcast(model)
-        out = rows.mapInArrow(_predict(_Named(shared, uuid.uuid4().hex)), "id long, lang_pred string, score double, cross_entropy double, rejected boolean")
-    return out.select(F.col("id").alias(id_col), (fold(F.col("id")) == 0).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+        out = rows.mapInArrow(lean(_predict(_Named(shared, uuid.uuid4().hex))), "id long, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return out.select(F.col("id").alias(id_col), F.coalesce(fold(F.col("id")) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
 def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose language is rejected; one scan, columns stay as they are."""
+    """``docs`` without the rows whose language is rejected; one scan, columns stay as they are.
+
+    Only the texts go to Python, and a flag comes back.  Without a model, only
+    texts without a letter are rejected.
+    """
+    text = F.col(text_col).cast("string")
     if model is None:
-        return docs.limit(0)
+        return docs.where(_has_letter(text))
     named = _Named(docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex)
-    column = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predict = _predict(named)
-        for batch in batches:
-            plain = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(column).cast(pa.string())], names=["id", "body"])
-            rejected = [r for part in predict(iter([plain])) for r in part.column(4).to_pylist()]
-            yield batch.filter(pa.array([not r for r in rejected], pa.bool_()))
+    def flags(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = _scorer(named)
+        for column in texts:
+            parts = [_judged(scorer, [t or "" for t in column.slice(i, n).to_pylist()])[4] for i, n in blocks(column)]
+            yield pa.array(~np.concatenate(parts) if parts else [], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    flags = lean(flags)
+    flags.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return docs.where(F.arrow_udf(flags, "boolean")(text))
 
 
 @dataclass

@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from symloom.llm.common import broadcast_if_small, written
 from symloom.llm.graph import components
 from symloom.llm.kernels import Words, mix, ngrams, seeds, text_blocks
+from symloom.llm.worker import lean
 
 BANDS, ROWS = 32, 5
 SKETCH_BITS = 512
@@ -118,7 +119,7 @@ def _sketch(k: int, bands: int, rows: int):
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
-    return plain.mapInArrow(_sketch(k, bands, rows), _SKETCH)
+    return plain.mapInArrow(lean(_sketch(k, bands, rows)), _SKETCH)
 
 
 def _sizes_fit(percent: int) -> Column:
@@ -165,7 +166,7 @@ def shingles_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, k:
     """(id, grams, sketch) of the documents in ``ids`` (id, distinct and written), written."""
     small = broadcast_if_small(ids, ids.count(), 16)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body")).join(small, "id", "left_semi")
-    return written(texts.dropDuplicates(["id"]).mapInArrow(_sets(k, fine), "id long, grams binary, sketch binary"), "shingles")
+    return written(texts.dropDuplicates(["id"]).mapInArrow(lean(_sets(k, fine)), "id long, grams binary, sketch binary"), "shingles")
 
 
 def tiles(rows: DataFrame, group: str, minor: str, weight: Column, most: int) -> DataFrame:
@@ -178,7 +179,8 @@ def tiles(rows: DataFrame, group: str, minor: str, weight: Column, most: int) ->
     total = [F.sum(F.when(side, weight)).alias(name) for side, name in ((F.col(minor), "low"), (~F.col(minor), "high"))]
     sizes = rows.groupBy(group).agg(*total).where("low is not null")
     parts = [F.ceil(F.coalesce(F.col(c), F.lit(0)) / F.lit(most)).alias(c) for c in ("low", "high")]
-    dealt = rows.join(sizes.select(group, *parts), group)
+    # Written, so that the join by group is not tied to the sums' partitions and hot groups can be split.
+    dealt = rows.join(written(sizes.select(group, *parts), "tile-sizes"), group)
     own = F.when(F.col(minor), F.pmod(F.xxhash64("id"), "low")).otherwise(F.col("low") + F.pmod(F.xxhash64("id"), "high"))
     dealt = dealt.withColumn("block", own)
     before = F.transform(F.sequence(F.lit(0).cast("long"), F.least("block", F.col("low") - 1)), lambda i: F.struct(i.alias("i"), F.col("block").alias("j")))
@@ -300,7 +302,7 @@ def _in_tiles(rows: DataFrame, weight: Column, most: int, payload: DataFrame, ru
     """``run`` over the tiles of (leader, id, label, n_shingles, minor); ``payload``: (id, sketch, grams)."""
     full = tiles(rows, "leader", "minor", weight, most).join(payload, "id")
     dealt = full.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "side", "id")
-    return dealt.select("leader", "i", "j", "side", "id", "label", "n_shingles", "sketch", "grams").mapInArrow(run, schema)
+    return dealt.select("leader", "i", "j", "side", "id", "label", "n_shingles", "sketch", "grams").mapInArrow(lean(run), schema)
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -371,7 +373,8 @@ def _mixed(stars: DataFrame, labels: DataFrame) -> DataFrame:
     placed = written(stars.select("leader", "id").join(labels, "id", "left").select("leader", "id", F.coalesce("label", "id").alias("label")), "placed")
     counted = placed.groupBy("leader", "label").agg(F.count(F.lit(1)).alias("n"))
     major = counted.groupBy("leader").agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    return placed.join(major.select("leader", F.col("most.label").alias("major")), "leader").select("leader", "id", "label", (F.col("label") != F.col("major")).alias("minor"))
+    major = written(major.select("leader", F.col("most.label").alias("major")), "mixed-stars")
+    return placed.join(major, "leader").select("leader", "id", "label", (F.col("label") != F.col("major")).alias("minor"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:

@@ -17,6 +17,7 @@ from symloom.llm.minhash_dedup import near_dedup
 from symloom.llm.sharding import assign_shards, lookup_table
 from symloom.llm.substring_dedup import repeated_passages
 from symloom.llm.token_counts import token_counts
+from symloom.llm.worker import bound_batches
 from symloom.session import ship_package
 
 #: Shards of the sharding query.
@@ -25,6 +26,7 @@ SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symloom.llm.kernels import BASE, powers
-from symloom.llm.wordbpe import Memo, WordBpe, load, rows_of
+from symloom.llm.wordbpe import Memo, WordBpe, digest
+from symloom.llm.worker import held, lean, rows_of
 
 #: The budget in tokens that ``over_limit`` and ``fit_words`` speak of.
 LIMIT = 2048
@@ -222,16 +223,12 @@ class TextPrefixes:
         return n, max(i for i, c in enumerate(inside) if c <= rest)
 
 
-_TABLES: dict[int, tuple[WordBpe, PrefixTable, Memo]] = {}
-
-
 def _table(raw: str) -> tuple[PrefixTable, Memo]:
-    bpe = load(raw)
-    if id(bpe) not in _TABLES:
-        _TABLES.clear()
-        table = PrefixTable(bpe)
-        _TABLES[id(bpe)] = (bpe, table, Memo(table.count_many))
-    return _TABLES[id(bpe)][1:]
+    def make() -> tuple[PrefixTable, Memo]:
+        table = PrefixTable(WordBpe(raw))
+        return table, Memo(table.count_many)
+
+    return held(f"prefixes {digest(raw)}", make)
 
 
 def _count(shared, limit: int):
@@ -278,11 +275,11 @@ def share_vocabulary(docs: DataFrame, vocabulary: str):
 def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit, fit_words) of every row; one scan, no shuffle."""
     shared = share_vocabulary(docs, vocabulary)
-    out = _rows(docs, id_col, text_col).mapInArrow(_count(shared, limit), "id long, n_bytes long, n_tokens long, over_limit boolean, fit_words long")
+    out = _rows(docs, id_col, text_col).mapInArrow(lean(_count(shared, limit)), "id long, n_bytes long, n_tokens long, over_limit boolean, fit_words long")
     return out.withColumnRenamed("id", id_col)
 
 
 def prefix_tables(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, prefix_tokens): the token count after 0, 1, 2, ... words of every text."""
     shared = share_vocabulary(docs, vocabulary)
-    return _rows(docs, id_col, text_col).mapInArrow(_prefixes(shared), "id long, prefix_tokens array<long>").withColumnRenamed("id", id_col)
+    return _rows(docs, id_col, text_col).mapInArrow(lean(_prefixes(shared)), "id long, prefix_tokens array<long>").withColumnRenamed("id", id_col)

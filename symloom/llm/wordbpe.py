@@ -7,13 +7,13 @@ order.  Special strings inside a text are matched before anything else.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import cached_property
 
 import numpy as np
-import pyarrow as pa
 from tokenizers import Regex, Tokenizer
 from tokenizers.pre_tokenizers import Split
 
@@ -176,21 +176,6 @@ class Memo(dict):
             self.update(zip(new, self.make_many(new), strict=True))
 
 
-_LOADED: dict[int, WordBpe] = {}
-
-
-def load(raw: str) -> WordBpe:
-    """The vocabulary of a JSON text, parsed once for each worker."""
-    key = hash(raw)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = WordBpe(raw)
-    return _LOADED[key]
-
-
-def rows_of(batches: Iterator[pa.RecordBatch], at_once: int = 256) -> Iterator[tuple[list, list[str]]]:
-    """(ids, texts) in small lists; nulls are empty texts."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, at_once):
-            part = batch.slice(k, at_once)
-            yield part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
+def digest(raw: str) -> str:
+    """A key for what is made from a vocabulary."""
+    return hashlib.sha256(raw.encode("utf-8")).hexdigest()

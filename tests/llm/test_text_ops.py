@@ -1,7 +1,8 @@
+import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -141,11 +142,11 @@ def corpus(n=240):
 
 
 def test_language_id(spark):
-    rows = corpus() + [(1000, None, "xa"), (1001, "", "xa"), (1002, "123 !?", "xa"), (1003, "KALO mitan", None), (1004, "ka " * 30_000, "xa"), (1005, "zxqj wvkq pqzx " * 30, None)]
+    rows = corpus() + [(1000, None, "xa"), (1001, "", "xa"), (1002, "123 !?", "xa"), (1003, "KALO mitan", None), (1004, "ka " * 30_000, "xa"), (1005, "zxqj wvkq pqzx " * 30, None), (1006, "² ½ ① Ⅷ", None), (None, "kalo mitan", "xa")]
     found = {r.doc_id: r for r in language_id(docs_of(spark, rows)).collect()}
     held = [(i, l) for i, _, l in rows[:240] if zlib.crc32(str(i).encode()) % 5 == 0]
     assert held and all(found[i].lang_pred == l and found[i].held_out for i, l in held)
-    assert [found[i].lang_pred for i in (1000, 1001, 1002)] == ["und"] * 3 and found[1003].lang_pred == found[1004].lang_pred == "xa"
+    assert [found[i].lang_pred for i in (1000, 1001, 1002, 1006)] == ["und"] * 4 and found[None].held_out is False and found[1003].lang_pred == found[1004].lang_pred == "xa"
     assert all(0 <= r.score <= 1 for r in found.values()) and not any(found[i].rejected for i in range(240)) and found[1005].rejected
     model = train(docs_of(spark, rows))
     kept = keep_identified(docs_of(spark, rows), model)
@@ -165,21 +166,47 @@ def test_garbage_among_the_calibration_texts_does_not_end_rejection():
 
 def test_nothing_to_learn(spark):
     empty = docs_of(spark, [(1, "text", None)])
-    assert train(empty) is None and language_id(empty).first().lang_pred == "und" and keep_identified(empty, None).count() == 0
+    assert train(empty) is None and language_id(empty).first().lang_pred == "und" and keep_identified(empty, None).count() == 1
+    assert keep_identified(docs_of(spark, [(1, "12", None), (2, None, None), (3, "²", None), (None, "é", None)]), None).count() == 1
     assert identify(docs_of(spark, []), None).count() == 0
 
 
+def plain_kneser_ney(words, order=5, alphabet=4096):
+    """p(character, context) straight from the definition, without arrays or hashes."""
+    pad = " " * (order - 1)
+    top = Counter(f"{pad}{w} "[i : i + order] for w in words for i in range(len(w) + 1))
+    counts = {order: top}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+
+    def p(c, context):
+        if len(context) == 0:
+            own, lower = counts[1], 1 / alphabet
+        else:
+            own, lower = counts[len(context) + 1], p(c, context[1:])
+        once, twice = (sum(n == k for n in own.values()) for k in (1, 2))
+        discount = once / (once + 2 * twice) if once and twice else 0.5
+        after = [n for g, n in own.items() if g[:-1] == context]
+        if not after:
+            return lower
+        return (max(own.get(context + c, 0) - discount, 0) + discount * len(after) * lower) / sum(after)
+
+    return p
+
+
 def test_model_is_interpolated_kneser_ney():
-    """Probabilities of all characters after any context sum to 1 with the unknown share."""
-    words = words_of("the cat sat on the mat the hat")
+    words = words_of("the cat sat on the mat the hat that ate it all at the tea")
+    p = plain_kneser_ney(words)
+    known = set("".join(words)) | {" "}
+    for context in ("    ", "   t", "  th", "zzzz", " the", "xxxt"):
+        assert abs(sum(p(c, context) for c in known) + (4096 - len(known)) * p("#", context) - 1) < 1e-9
     model = build_model({"en": dict(grams_of(words))})
-    letters = sorted(set("".join(words)) | {" "})
-    for context in ("", "t", "th", "zz"):
-        # p(c | context) from the scores of words that end in c
-        seen = [np.exp(model.word_scores([context + c])[0][0, 0] - 0) for c in letters if c != " "]
-        assert all(0 < s < 1 for s in seen)
-    one, size = model.word_scores(["the", "xyz"])
-    assert one[0, 0] > one[1, 0] and size.tolist() == [4, 4]
+    tried = ["the", "xyz", "tea", "hatter", "a", "zt"]
+    scores, size = model.word_scores(tried)
+    for k, word in enumerate(tried):
+        padded = f"    {word} "
+        want = sum(math.log(p(padded[i], padded[i - 4 : i])) for i in range(4, len(padded)))
+        assert abs(scores[k, 0] - want) < 1e-4 and size[k] == len(word) + 1
 
 
 # ---- sharding
