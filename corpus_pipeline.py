@@ -17,31 +17,38 @@ from symloom.llm.language_id import keep_identified, train
 from symloom.llm.line_dedup import drop_common_lines
 from symloom.llm.minhash_dedup import drop_near_duplicates
 from symloom.llm.queries import word_vocabulary
+from symloom.llm.worker import bound_batches
 from symloom.session import ship_package
 
 
-def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def _prepare(spark: SparkSession) -> None:
     ship_package(spark)
+    bound_batches(spark)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _prepare(spark)
     return keep_identified(docs, train(docs))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _prepare(spark)
     kept = drop_common_lines(docs)
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    _prepare(spark)
     return drop_near_duplicates(docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    _prepare(spark)
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    _prepare(spark)
     coded = bpe_encode(docs, word_vocabulary())
     return coded.select("doc_id", "n_tokens", "ids", F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
 
