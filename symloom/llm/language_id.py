@@ -72,13 +72,18 @@ def _other_numbers() -> str:
     return "".join(f"{a}-{b}" for a, b in runs)
 
 
-_WORD = re.compile(rf"[^\W\d_{_other_numbers()}]+")
+_WORD = re.compile(r"[^\W\d_]+")
+_EXACT_WORD = re.compile(rf"[^\W\d_{_other_numbers()}]+")
+#: Where such numbers may be: the exact pattern is much slower.
+_MAY_HOLD_NUMBERS = re.compile("[²³¹¼-¾\u0180-\U0010ffff]")
 _PAD = " " * (ORDER - 1)
 
 
 def words_of(text: str) -> list[str]:
     """The lower-cased letter runs of a text."""
-    return _WORD.findall(text.lower())
+    text = text.lower()
+    exact = not text.isascii() and _MAY_HOLD_NUMBERS.search(text)
+    return (_EXACT_WORD if exact else _WORD).findall(text)
 
 
 def fold(id_col: Column) -> Column:
