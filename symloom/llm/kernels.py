@@ -184,7 +184,9 @@ class Runs:
 
 def stretches(equal: np.ndarray, gain: int, loss: int) -> list[tuple[int, int]]:
     """Maximal runs of true entries, joined while gain * hits - loss * misses stays at 0 or more."""
-    edge = np.flatnonzero(np.diff(np.r_[0, equal.astype(np.int8), 0]))
+    padded = np.zeros(len(equal) + 2, dtype=bool)
+    padded[1:-1] = equal
+    edge = np.flatnonzero(padded[1:] != padded[:-1])
     out: list[list[int]] = []
     for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
         out.append([a, b, b - a])
