@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ tokenizers = pytest.importorskip("tokenizers")
 from symloom.llm.bpe_codec import Codec, Lexicon, bpe_encode, compile_lexicon  # noqa: E402
 from symloom.llm.decontaminate import decontaminate, overlaps  # noqa: E402
 from symloom.llm.html_extract import Page, extract_text, style_trees  # noqa: E402
-from symloom.llm.kernels import Words, text_blocks  # noqa: E402
+from symloom.llm.kernels import Words, stretches, text_blocks  # noqa: E402
 from symloom.llm.language_id import _calibrate, build_model, grams_of, identify, keep_identified, language_id, train, words_of  # noqa: E402
 from symloom.llm.sharding import assign_shards, lookup_table, next_prime, write_shards  # noqa: E402
 from symloom.llm.substring_dedup import repeated_passages, wide_nodes  # noqa: E402
@@ -279,6 +280,56 @@ def test_overlaps(spark):
     assert overlaps(docs_of(spark, []), tests).count() == 0 and overlaps(docs_of(spark, texts), tests.limit(0)).count() == 0
 
 
+def plain_overlaps(docs, items, masks=("11111", "111101", "1101101", "11100011"), min_words=13, percent=80):
+    """Pairs (document, item) that share a seed on a diagonal with a good stretch, all diagonals tried."""
+    split = lambda t: re.sub("[!-/:-@\\[-`{-~]", "", (t or "").lower()).split()
+    out = set()
+    for n, (i, text) in enumerate(docs):
+        a = split(text)
+        for m, (j, item) in enumerate(items):
+            b = split(item)
+            for d in range(1 - len(b), len(a)):
+                low, high = max(0, -d), min(len(b), len(a) - d)
+                same = [a[d + x] == b[x] for x in range(low, high)]
+                seeded = any(all(same[x + y] for y, c in enumerate(mask) if c == "1") for mask in masks for x in range(len(same) - len(mask) + 1))
+                if not seeded:
+                    continue
+                whole = len(same) == len(b) >= 5 and 100 * sum(same) >= percent * len(b)
+                best = max((y - x for x, y in stretches(np.array(same), 100 - percent, percent)), default=0)
+                if whole or best >= max(5, min(min_words, len(b))):
+                    out.add((n, i, m, j))
+    return sorted(((i, j) for _, i, _, j in out), key=str)
+
+
+def test_overlaps_equal_all_diagonals_with_null_and_repeated_ids(spark):
+    rng = random.Random(5)
+    make = lambda n: [f"w{rng.randrange(60)}" for _ in range(n)]
+    items = [(7, make(20)), (None, make(15)), (8, make(40)), (8, make(13)), (9, make(6)), (7, make(12)), (10, make(4)), (11, None)]
+    docs = []
+    for n in range(70):
+        words = make(rng.randrange(0, 60))
+        if n % 2:
+            own = list(rng.choice(items[:-1])[1])
+            for _ in range(rng.randrange(0, 4)):
+                own[rng.randrange(len(own))] = "x"
+            words += own[rng.randrange(3) :] + make(rng.randrange(5))
+        docs.append((rng.choice([None, 1, 2, n]), " ".join(words)))
+    docs += [docs[1], (1, None), (None, ""), docs[3], docs[3]]
+    whole = list(items[3][1])
+    whole[0] = "y"
+    docs.append((300, " ".join(whole)))
+    texts = [(i, w and " ".join(w)) for i, w in items]
+    tests = spark.createDataFrame(texts, "item_id long, text string")
+    want = plain_overlaps(docs, texts)
+    rows = [overlaps(docs_of(spark, docs).repartition(n), tests, broadcast_words=words).collect() for n, words in ((1, 10_000), (5, 10_000), (3, 0))]
+    assert sorted(((r.doc_id, r.item_id) for r in rows[0]), key=str) == want and (300, 8) in want
+    assert sorted(rows[0], key=str) == sorted(rows[1], key=str) == sorted(rows[2], key=str)
+    dirty = {n for n, d in enumerate(docs) if plain_overlaps([d], texts)}
+    left = sorted(((i, t) for n, (i, t) in enumerate(docs) if n not in dirty), key=str)
+    for words in (10_000, 0):
+        assert sorted(((r.doc_id, r.text) for r in decontaminate(docs_of(spark, docs), tests, broadcast_words=words).collect()), key=str) == left
+
+
 # ---- passages
 
 
@@ -339,6 +390,69 @@ def test_passages_around_a_frequent_phrase(spark):
     assert {tuple(r)[:4] for r in found} == want and len(found) == len(want)
 
 
+def plain_passages(rows, min_words=50, k=5, percent=80):
+    """Pairs of documents with a window of ``min_words`` words in both that is similar enough, all pairs and places tried."""
+    grams = {i: [tuple(w[j : j + k]) for j in range(len(w) - k + 1)] for i, w in rows.items()}
+    n = min_words - k + 1
+    pairs = set()
+    for a, b in combinations(sorted(rows), 2):
+        where = defaultdict(list)
+        for j, g in enumerate(grams[b]):
+            where[g].append(j)
+        for d in {i - j for i, g in enumerate(grams[a]) for j in where[g]}:
+            hits = [grams[a][i] == grams[b][i - d] for i in range(max(0, d), min(len(grams[a]), len(grams[b]) + d))]
+            if any(100 * sum(hits[i : i + n]) >= percent * (2 * n - sum(hits[i : i + n])) for i in range(len(hits) - n + 1)):
+                pairs.add((b, a))
+    return pairs
+
+
+def test_passages_against_all_pairs_whatever_the_partitions(spark):
+    """220 documents with planted passages, exact ones and ones at 0.8 or more, some of them around one phrase."""
+    rng = random.Random(21)
+    make = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = {i: make(rng.randrange(20, 120)) for i in range(220)}
+    exact = set()
+    for g in range(12):
+        passage = make(rng.randrange(52, 90))
+        for i in rng.sample(range(220), 4):
+            rows[i] = [*make(10), *rows[i][:30], *passage, *make(10)]
+    for g in range(20):
+        passage = make(rng.randrange(70, 110))
+        for n, i in enumerate(rng.sample(range(220), 2)):
+            own = list(passage)
+            if n:
+                own[rng.randrange(len(own))] = "changed"
+            rows[i] = [*rows[i], *own]
+    phrase, longer = make(30), make(90)
+    for i in range(0, 60, 3):
+        rows[i] = [*rows[i], *phrase]
+    longer[30:60] = phrase
+    decoys = [[w if j % 30 else f"other{i}" for j, w in enumerate(longer)] for i in range(6)]
+    for i, own in zip((1, 2, 4, 5, 7, 8), decoys, strict=True):
+        rows[i] = [*rows[i], *own]
+    for i in (10, 31):
+        rows[i] = [*rows[i], *longer]
+    texts = [(i, " ".join(w)) for i, w in rows.items()]
+    found = [sorted(tuple(r) for r in repeated_passages(docs_of(spark, texts).repartition(n)).collect()) for n in (1, 7, 40)]
+    assert found[0] == found[1] == found[2]
+    want = plain_passages(rows)
+    label = {i: r[-1] for r in found[0] for i in r[:2]}
+    caught = {(a, b) for a, b in want if a in label and label[a] == label.get(b)}
+    assert len(caught) >= 0.9 * len(want) and (31, 10) in caught
+    told = {r[:2] for r in found[0]}
+    assert len(told & want) >= 0.95 * len(told)
+    for r in found[0]:
+        same = lambda i, x, y: {tuple(rows[i][j : j + 5]) for j in range(x, y - 4)}
+        a, b = same(r[0], r[2], r[3]), same(r[1], r[4], r[5])
+        assert r[3] - r[2] >= 50 <= r[5] - r[4] and 100 * len(a & b) >= 80 * len(a | b)
+
+
+def test_texts_that_repeat_themselves(spark):
+    rows = [(i, "z " * 3000) for i in range(6)] + [(9, "q r " * 200), (10, "q r " * 200 + "end")]
+    found = repeated_passages(docs_of(spark, rows)).collect()
+    assert len(found) < 40 and {r.doc_id for r in found} == {1, 2, 3, 4, 5, 10} and {r.class_id for r in found} == {0, 9}
+
+
 @pytest.mark.parametrize("edit", ["insert", "delete", "insert three", "both"])
 def test_passages_with_insertions_and_deletions(spark, edit):
     rng = random.Random(12)
@@ -359,7 +473,7 @@ def test_passages_with_insertions_and_deletions(spark, edit):
     # Halves that are far apart are no passage.
     half, rest = make(40), make(40)
     rows[100], rows[101] = half + make(30) + rest, half + rest
-    found = {tuple(r) for r in repeated_passages(docs_of(spark, [(i, " ".join(w)) for i, w in rows.items()]).repartition(4)).collect()}
+    found = {tuple(r)[:6] for r in repeated_passages(docs_of(spark, [(i, " ".join(w)) for i, w in rows.items()]).repartition(4)).collect()}
     assert found <= want and len(found) >= 28
 
 
