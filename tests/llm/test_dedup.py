@@ -14,7 +14,7 @@ from symloom.llm import minhash_dedup
 from symloom.llm.exact_dedup import RadixTrie, exact_dedup
 from symloom.llm.graph import components, stars
 from symloom.llm.kernels import Words, ngrams, stretches, text_blocks
-from symloom.llm.line_dedup import RunStore, drop_common_lines, line_dedup, line_hashes
+from symloom.llm.line_dedup import RunStore, build_runs, drop_common_lines, line_dedup, line_hashes
 from symloom.llm.minhash_dedup import drop_near_duplicates, near_dedup
 
 DOCS = "doc_id long, text string, kept string, group_size int"
@@ -139,6 +139,25 @@ def test_line_dedup_empty_and_null_ids(spark):
     assert rows == {None: 0, 1: 1, 2: 1, 3: 0}
 
 
+def test_line_dedup_of_far_ids_repeated_rows_and_many_lines(spark):
+    """Ids at both ends of a long, equal rows, one id with two texts, and 20,000 common lines in each of three texts."""
+    many = "\n".join(f"this is the common line {k}" for k in range(20_000))
+    rows = [(-(2**63), many), (5, many + "\nshort"), (2**63 - 1, many)]
+    found = {r.doc_id: r for r in line_dedup(docs_of(spark, rows)).collect()}
+    assert {i: r.n_dropped for i, r in found.items()} == {-(2**63): 20_000, 5: 20_000, 2**63 - 1: 0}
+    assert found[5].kept_text == "short" and found[2**63 - 1].kept_text == many and found[5].n_lines == 20_001
+    line = "a line that everybody has"
+    rows = [(1, line), (1, line), (1, f"own\n{line}"), (2, line), (3, f"{line}\nend")]
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup(docs_of(spark, rows)).collect()) == [(1, 1, 1, ""), (1, 1, 1, ""), (1, 2, 1, "own"), (2, 1, 1, ""), (3, 2, 0, f"{line}\nend")]
+
+
+def test_the_query_compacts_its_runs(spark):
+    docs = docs_of(spark, [(i, f"this line is in all of them\nthis one has a number {i}") for i in range(40)])
+    store, _ = build_runs(docs)
+    assert len(store.levels) == 2 and len(store.levels[1]) == 1 and len(store.runs) == 2
+    assert max((r.n_docs, r.top_doc) for r in store.totals().collect()) == (40, 39)
+
+
 def test_runs_are_levelled(spark):
     store = RunStore(spark, fanout=2)
     docs = docs_of(spark, [(i, f"this line is in all of them\nthis one has a number {i}") for i in range(5)])
