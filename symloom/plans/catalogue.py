@@ -358,18 +358,26 @@ def merge_key_values(spark: SparkSession, d: str) -> DataFrame:
 # ---- resolution
 
 
+def _named_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as symbols, four of each name."""
+    return part_symbols(spark, d).withColumn("name", F.concat(F.lit("part "), F.floor(F.col("id").cast("long") / 4).cast("string")))
+
+
+_NAMED = """
+symbols AS (SELECT CAST(p_partkey AS VARCHAR) AS id, 'part ' || CAST(floor(p_partkey / 4) AS BIGINT) AS name, 'src/' || p_brand || '.ts' AS path FROM part)"""
+
+
 def _inputs(spark: SparkSession, d: str) -> DataFrame:
-    o = _read(spark, d, "orders").where("o_orderkey < 200")
-    names = _read(spark, d, "part").where("p_partkey < 200").select(F.col("p_partkey").alias("o_orderkey"), "p_name")
-    hint = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("src/Brand#"), F.col("o_orderkey") % 25)).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("#"), F.col("o_orderkey") % 25, F.lit(".")))
-    name = F.when(F.col("o_orderkey") % 10 == 0, F.concat("p_name", F.lit("?"))).otherwise(F.col("p_name"))
-    return o.join(names, "o_orderkey").select(F.col("o_orderkey").alias("input_pos"), name.alias("input"), hint.alias("file_hint"))
+    key = F.col("o_orderkey")
+    hint = F.when(key % 3 == 0, F.concat(F.lit("src/Brand#"), key % 25)).when(key % 3 == 1, F.concat(F.lit("#"), key % 25, F.lit(".")))
+    name = F.concat(F.lit("part "), F.floor(key / 8).cast("string"), F.when(key % 10 == 0, F.lit("?")).otherwise(F.lit("")))
+    return _read(spark, d, "orders").select(key.alias("input_pos"), name.alias("input"), hint.alias("file_hint"))
 
 
-@_query(f"""WITH {PART_SYMBOLS}, inputs AS (
-  SELECT o_orderkey AS input_pos, CASE WHEN o_orderkey % 10 = 0 THEN p_name || '?' ELSE p_name END AS input,
+@_query(f"""WITH {_NAMED}, inputs AS (
+  SELECT o_orderkey AS input_pos, 'part ' || CAST(floor(o_orderkey / 8) AS BIGINT) || CASE WHEN o_orderkey % 10 = 0 THEN '?' ELSE '' END AS input,
     CASE o_orderkey % 3 WHEN 0 THEN 'src/Brand#' || (o_orderkey % 25) WHEN 1 THEN '#' || (o_orderkey % 25) || '.' ELSE '' END AS hint
-  FROM orders JOIN part ON p_partkey = o_orderkey WHERE o_orderkey < 200
+  FROM orders
 ), found AS (
   SELECT input_pos, input, hint, id, path, hint <> '' AND starts_with(path, hint) AS s, hint <> '' AND contains(path, hint) AS c FROM inputs JOIN symbols ON name = input
 ), flagged AS (SELECT *, bool_or(s) OVER w AS any_s, bool_or(c) OVER w AS any_c FROM found WINDOW w AS (PARTITION BY input_pos)),
@@ -379,39 +387,39 @@ SELECT i.input_pos, i.input, coalesce(n, 0) AS n_candidates, k.id AS symbol_id,
   CASE WHEN n IS NULL THEN 'not_found' WHEN n = 1 AND NOT (i.hint <> '' AND NOT any_s AND NOT any_c) THEN 'resolved' ELSE 'disambiguation' END AS status
 FROM inputs i LEFT JOIN counted k ON k.input_pos = i.input_pos""")
 def resolve_names(spark: SparkSession, d: str) -> DataFrame:
-    return resolve_symbols(_inputs(spark, d), part_symbols(spark, d))
+    return resolve_symbols(_inputs(spark, d), _named_symbols(spark, d))
 
 
 def _extracted(spark: SparkSession, d: str) -> DataFrame:
-    c = _read(spark, d, "customer").where("c_custkey < 500")
-    names = F.array(F.concat(F.lit("blue "), F.element_at(F.array(*map(F.lit, ("bolt", "ring", "sprocket", "nothing"))), (F.col("c_custkey") % 4 + 1).cast("int"))), F.lit("no such name"))
-    return c.select(F.col("c_custkey").alias("claim_id"), F.concat(F.lit("doc"), F.col("c_nationkey")).alias("source_path"), names.alias("symbol_candidates"))
+    key = F.col("c_custkey")
+    names = F.array(F.concat(F.when(key % 4 == 3, F.lit("nothing ")).otherwise(F.lit("part ")), (key % 1000).cast("string")), F.lit("no such name"))
+    return _read(spark, d, "customer").select(key.alias("claim_id"), F.concat(F.lit("doc"), F.col("c_nationkey")).alias("source_path"), names.alias("symbol_candidates"))
 
 
 _EXTRACTED = """
-extracted AS (SELECT c_custkey AS claim_id, 'doc' || c_nationkey AS source_path, ['blue ' || ['bolt', 'ring', 'sprocket', 'nothing'][c_custkey % 4 + 1], 'no such name'] AS symbol_candidates FROM customer WHERE c_custkey < 500),
+extracted AS (SELECT c_custkey AS claim_id, 'doc' || c_nationkey AS source_path, [CASE WHEN c_custkey % 4 = 3 THEN 'nothing ' ELSE 'part ' END || (c_custkey % 1000), 'no such name'] AS symbol_candidates FROM customer),
 names AS (SELECT DISTINCT claim_id, source_path, unnest(symbol_candidates) AS candidate FROM extracted)"""
 
 
-@_query(f"WITH {PART_SYMBOLS}, {_EXTRACTED} SELECT DISTINCT claim_id, id AS symbol_id FROM names JOIN symbols ON name = candidate")
+@_query(f"WITH {_NAMED}, {_EXTRACTED} SELECT DISTINCT claim_id, id AS symbol_id FROM names JOIN symbols ON name = candidate")
 def candidate_resolution(spark: SparkSession, d: str) -> DataFrame:
-    return resolve_candidates(_extracted(spark, d), part_symbols(spark, d))[0]
+    return resolve_candidates(_extracted(spark, d), _named_symbols(spark, d))[0]
 
 
-@_query(f"WITH {PART_SYMBOLS}, {_EXTRACTED} SELECT source_path, count(*) AS n_unresolved, string_agg(DISTINCT candidate, ',' ORDER BY candidate) AS candidates FROM names WHERE candidate NOT IN (SELECT name FROM symbols) GROUP BY 1")
+@_query(f"WITH {_NAMED}, {_EXTRACTED} SELECT source_path, count(*) AS n_unresolved, string_agg(DISTINCT candidate, ',' ORDER BY candidate) AS candidates FROM names WHERE candidate NOT IN (SELECT name FROM symbols) GROUP BY 1")
 def unresolved_report(spark: SparkSession, d: str) -> DataFrame:
-    return unresolved_by_file(_extracted(spark, d), part_symbols(spark, d)).withColumn("candidates", F.array_join("candidates", ","))
+    return unresolved_by_file(_extracted(spark, d), _named_symbols(spark, d)).withColumn("candidates", F.array_join("candidates", ","))
 
 
-@_query(f"""WITH {PART_SYMBOLS}, {_EXTRACTED}, own AS (SELECT DISTINCT claim_id, id FROM names JOIN symbols ON name = candidate),
-front AS (SELECT 'doc' || n_nationkey AS source_path, id FROM nation JOIN symbols ON name = 'red widget' WHERE n_nationkey % 2 = 0),
+@_query(f"""WITH {_NAMED}, {_EXTRACTED}, own AS (SELECT DISTINCT claim_id, id FROM names JOIN symbols ON name = candidate),
+front AS (SELECT 'doc' || n_nationkey AS source_path, id FROM nation JOIN symbols ON name = 'part 3' WHERE n_nationkey % 2 = 0),
 counts AS (SELECT claim_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM own GROUP BY 1),
 fallback AS (SELECT source_path, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM front GROUP BY 1)
 SELECT e.claim_id, coalesce(c.n, 0) AS n_drop, coalesce(c.n, f.n, 0) AS n_fallback, coalesce(c.ids, f.ids, '') AS ids_fallback
 FROM extracted e LEFT JOIN counts c USING (claim_id) LEFT JOIN fallback f USING (source_path)""")
 def attribution_modes(spark: SparkSession, d: str) -> DataFrame:
-    symbols, extracted = part_symbols(spark, d), _extracted(spark, d)
-    front = _read(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit("doc"), F.col("n_nationkey")).alias("source_path"), F.array(F.lit("red widget")).alias("symbols"))
+    symbols, extracted = _named_symbols(spark, d), _extracted(spark, d)
+    front = _read(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit("doc"), F.col("n_nationkey")).alias("source_path"), F.array(F.lit("part 3")).alias("symbols"))
     drop = attribute_claims(extracted, symbols, front, "drop").select("claim_id", F.size("symbol_ids").cast("long").alias("n_drop"))
     back = attribute_claims(extracted, symbols, front).select("claim_id", F.size("symbol_ids").cast("long").alias("n_fallback"), F.array_join("symbol_ids", ",").alias("ids_fallback"))
     return drop.join(back, "claim_id")
@@ -464,10 +472,10 @@ def _knowledge(spark: SparkSession, d: str) -> tuple[DataFrame, Knowledge]:
     notes = events.select((F.col("user_id") % 64).cast("string").alias("path"), F.col("event_id").alias("line"), F.lit(None).cast("int").alias("col"), F.lit("error").alias("severity"), F.col("props").alias("message"))
     refs = page_refs(spark, d).withColumn("path", F.when(F.col("ordinal") % 4 == 0, F.concat(F.lit("tests/"), F.col("path"))).otherwise(F.col("path")))
     know = Knowledge(symbols, claims, doc_links(claims), refs, None, notes, order_commits(spark, d), files)
-    return symbols.where(F.col("id").cast("long") < 64).select(F.col("id").alias("symbol_id")), know
+    return symbols.select(F.col("id").alias("symbol_id")), know
 
 
-_KNOWN = f"""{DOC_CLAIMS}, {DOC_LINKS}, {PART_SYMBOLS}, {COMMITS}, {PAGE_REFS}, wanted AS (SELECT id AS symbol_id FROM symbols WHERE CAST(id AS BIGINT) < 64),
+_KNOWN = f"""{DOC_CLAIMS}, {DOC_LINKS}, {PART_SYMBOLS}, {COMMITS}, {PAGE_REFS}, wanted AS (SELECT id AS symbol_id FROM symbols),
 activity AS (SELECT CAST(file_path AS VARCHAR) AS symbol_id, count(*) AS commit_count FROM files JOIN commits ON commit_sha = sha GROUP BY 1),
 intents AS (SELECT symbol_id, count(*) FILTER (WHERE severity = 'hard') AS hard, count(*) FILTER (WHERE severity = 'soft') AS soft, count(*) FILTER (WHERE severity = 'context') AS context FROM claim_symbols JOIN claims USING (claim_id) GROUP BY 1),
 seen AS (SELECT symbol_id, count(*) AS n_refs, count(DISTINCT CASE WHEN ordinal % 4 = 0 THEN path END) AS test_files, count(DISTINCT CASE WHEN ordinal % 4 = 0 THEN 'tests' ELSE {MODULE_KEY} END) AS n_clusters FROM refs GROUP BY 1),
