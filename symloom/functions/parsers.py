@@ -7,6 +7,7 @@ express stays a built-in expression.  Lines count from 0 unless stated.
 
 from __future__ import annotations
 
+import ast
 import inspect
 import re
 from collections.abc import Iterator
@@ -23,7 +24,16 @@ SIGNATURE_KINDS = ("class", "interface", "function", "method")
 
 _NAME = r"[A-Za-z_$][\w$]*"
 _DOTTED = re.compile(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*")
-_NEW_DECLARATION = re.compile(r"(?:export\s+)?(?:const|let|var|type|function|class|interface|enum|namespace|module|declare|async|abstract)\s+")
+_TOKEN = re.compile(r"[\w$]+|[^\w$\s]")
+# The words that begin a TypeScript declaration.
+DECLARING = frozenset("const let var type function class interface enum namespace module declare async abstract".split())
+# Names whose subscript is a Python type.
+TYPE_FORMS = frozenset("Union Optional List Dict Tuple Callable Literal".split())
+
+
+def _tokens(text: str) -> list[str]:
+    """Words and single marks, without white space."""
+    return _TOKEN.findall(text)
 
 
 def _lines(text: str) -> list[str]:
@@ -58,47 +68,72 @@ def declaration_header(text: str, line: int, most: int = HEADER_LINES) -> str:
     return joined.strip()
 
 
+def _declares(line: str) -> bool:
+    """Whether a line begins, without indentation, a declaration that goes on."""
+    words = [] if line[:1].isspace() else line.split()
+    if words[:1] == ["export"]:
+        words = words[1:]
+    return len(words) > 1 and words[0] in DECLARING
+
+
 def alias_header(text: str, line: int, most: int = HEADER_LINES) -> str:
     """A type alias up to its ``;`` or the next top-level declaration."""
-    taken: list[str] = []
-    for k, one in enumerate(_lines(text)[line : line + most]):
-        if k and _NEW_DECLARATION.match(one):
-            break
-        before, stop, _ = one.partition(";")
-        taken.append(before)
-        if stop:
-            break
-    return " ".join(taken).strip()
+    own = _lines(text)[line : line + most]
+    last = next((k for k, one in enumerate(own) if k and _declares(one)), len(own))
+    return " ".join(own[:last]).partition(";")[0].strip()
 
 
 def clean_signature(header: str) -> str | None:
     """One line without ``export``; None where it is empty or cut short."""
-    one = re.sub(r"^export\s+", "", re.sub(r"\s+", " ", header.strip())).strip()
-    return None if not one or re.search(r"(?:=|extends|implements|,)\s*$", one) else one
+    words = header.split()
+    if words[:1] == ["export"] and len(words) > 1:
+        del words[0]
+    if not words or words[-1] in ("extends", "implements") or words[-1][-1] in "=,":
+        return None
+    return " ".join(words)
 
 
 def ts_signature(kind: str, text: str, line: int) -> tuple[str | None, str]:
     """Signature and kind of a symbol; variables that declare a type are types."""
     if kind in SIGNATURE_KINDS:
         return clean_signature(declaration_header(text, line)), kind
-    lines = _lines(text)
-    if kind == "variable" and line < len(lines) and re.match(rf"\s*(?:export\s+)?type\s+{_NAME}\b", lines[line]):
-        return clean_signature(alias_header(text, line)), "type"
+    if kind == "variable":
+        lines = _lines(text)
+        tokens = _tokens(lines[line]) if line < len(lines) else []
+        start = 1 if tokens[:1] == ["export"] else 0
+        if tokens[start : start + 1] == ["type"] and _is_name(*tokens[start + 1 : start + 2]):
+            return clean_signature(alias_header(text, line)), "type"
     return None, kind
 
 
-def ts_heritage(declaration: str) -> tuple[list[str], list[str]]:
-    """Names after ``extends`` and ``implements``, without generics and qualifiers."""
-    one = strip_generics(re.sub(r"\s+", " ", declaration or "").strip())
-    if not re.search(r"\b(class|interface)\b", one):
-        return [], []
+def _is_name(token: str = "") -> bool:
+    return re.fullmatch(_NAME, token) is not None
+
 
-    def names(pattern: str) -> list[str]:
-        found = re.search(pattern, one)
-        last = [part.strip().rpartition(".")[2].strip() for part in found[1].split(",")] if found else []
-        return [n for n in last if re.fullmatch(_NAME, n)]
+def _last_of_dotted(tokens: list[str]) -> str | None:
+    """The last name of ``a.b.c``; None of anything else."""
+    names, dots = tokens[::2], tokens[1::2]
+    return names[-1] if len(names) == len(dots) + 1 and all(map(_is_name, names)) and set(dots) <= {"."} else None
 
-    return names(r"\bextends\s+([^{]+?)(?:\s+implements\b|\s*\{|\s*$)"), names(r"\bimplements\s+([^{]+?)(?:\s*\{|\s*$)")
+
+def ts_heritage(declaration: str) -> tuple[list[str], list[str]]:
+    """Names after ``extends`` and ``implements``, without generics and qualifiers."""
+    tokens = _tokens(strip_generics(declaration or ""))
+    clauses: dict[str, list[str]] = {"extends": [], "implements": []}
+    if "class" in tokens or "interface" in tokens:
+        clause, part = None, []
+        for token in [*tokens, "{"]:
+            if token not in clauses and token not in ("{", ","):
+                part.append(token)
+                continue
+            name = _last_of_dotted(part)
+            if clause and name:
+                clauses[clause].append(name)
+            part = []
+            if token == "{":
+                break
+            clause = token if token in clauses else clause
+    return clauses["extends"], clauses["implements"]
 
 
 def ts_docstring(hover: Column | str) -> Column:
@@ -153,16 +188,30 @@ def class_bases(header: str) -> tuple[list[str], str | None]:
 PROTOCOL_MODULES = ("typing", "typing_extensions")
 
 
+def _imports(text: str) -> list[ast.Import | ast.ImportFrom]:
+    """The import statements of a file; of one that does not parse, those of single lines."""
+
+    def of(code: str) -> list[ast.Import | ast.ImportFrom] | None:
+        try:
+            return [node for node in ast.walk(ast.parse(code)) if isinstance(node, ast.Import | ast.ImportFrom)]
+        except (SyntaxError, ValueError):
+            return None
+
+    whole = of(text)
+    if whole is not None:
+        return whole
+    return [node for line in map(str.strip, _lines(text)) if line.startswith(("import ", "from ")) for node in of(line) or ()]
+
+
 def import_aliases(text: str) -> dict[str, str]:
     """Local names of imports that are renamed, and every local name of Protocol, with the original."""
-    known = {"Protocol": "Protocol"} | {f"{m}.Protocol": "Protocol" for m in PROTOCOL_MODULES}
-    for line in map(str.strip, _lines(text)):
-        if found := re.match(r"from\s+([\w.]+)\s+import\s+(.+?)(?:\s+#.*)?$", line):
-            for part in re.sub(r"[()]", " ", found[2]).split(","):
-                if renamed := re.fullmatch(r"\s*(\w+)\s+as\s+(\w+)\s*", part):
-                    known[renamed[2]] = renamed[1]
-        elif (found := re.match(r"import\s+([\w.]+)\s+as\s+(\w+)", line)) and found[1] in PROTOCOL_MODULES:
-            known[f"{found[2]}.Protocol"] = "Protocol"
+    known = {"Protocol": "Protocol", **{f"{m}.Protocol": "Protocol" for m in PROTOCOL_MODULES}}
+    for node in _imports(text):
+        for name in node.names:
+            if name.asname and isinstance(node, ast.ImportFrom):
+                known[name.asname] = name.name
+            elif name.asname and name.name in PROTOCOL_MODULES:
+                known[f"{name.asname}.Protocol"] = "Protocol"
     return known
 
 
@@ -183,24 +232,52 @@ def python_classes(text: str) -> list[tuple[str, list[str], str, bool]]:
     return list(out.values())
 
 
+def _assignment(line: str, name: str) -> tuple[str, str]:
+    """How a line assigns to ``name`` and the right side.
+
+    The forms are ``type`` (a type statement), ``TypeAlias`` (so annotated),
+    ``plain`` and ``annotated``; '' where it does not assign to the name.
+    """
+    head, equals, right = line.partition("=")
+    left = _tokens(head)
+    if not equals:
+        return "", ""
+    if left[:2] == ["type", name]:
+        return "type", right.strip()
+    if left[:1] != [name]:
+        return "", ""
+    if left[1:] in ([":", "TypeAlias"], [":", "typing", ".", "TypeAlias"]):
+        return "TypeAlias", right.strip()
+    form = "plain" if len(left) == 1 else "annotated" if left[1] == ":" and len(left) > 2 else ""
+    return form, right.strip()
+
+
+def _looks_like_type(right: str) -> bool:
+    """A dotted name, alone or with one subscript to the end, or the subscript of a type form that may go on."""
+    if not TYPE_FORMS.isdisjoint(_tokens(right)[:1]):
+        return True
+    name, bracket, rest = right.partition("[")
+    dotted = name[:1].isascii() and (name[:1].isalpha() or name[:1] == "_") and all(c.isalnum() or c in "_." for c in name)
+    return dotted and (not bracket or rest.endswith("]"))
+
+
 def is_alias_line(line: str, name: str) -> bool:
     """Whether a line makes ``name`` a type: ``type``, ``TypeAlias``, or a plain type on the right."""
-    one, own = line.lstrip(), re.escape(name)
-    if re.match(rf"type\s+{own}\s*[=\[:]", one) or re.match(rf"{own}\s*:\s*(?:typing\.)?TypeAlias\s*=", one):
+    tokens = _tokens(line)
+    if tokens[:2] == ["type", name] and tokens[2:3] in (["="], ["["], [":"]):
         return True
-    found = re.match(rf"{own}\s*=\s*(.+)$", one)
-    right = found[1].strip() if found else ""
-    return bool(re.fullmatch(r"[A-Za-z_][\w.]*(?:\[.*\])?", right) or re.match(r"(?:Union|Optional|List|Dict|Tuple|Callable|Literal)\b", right))
+    form, right = _assignment(line, name)
+    return form == "TypeAlias" or (form == "plain" and _looks_like_type(right))
 
 
 def is_module_assignment(line: str, name: str) -> bool:
-    return bool(re.match(rf"{re.escape(name)}\s*(?::[^=]+)?=", line))
+    return not line[:1].isspace() and _assignment(line, name)[0] in ("plain", "annotated", "TypeAlias")
 
 
 def alias_signature(line: str, name: str) -> str | None:
-    one, own = line.strip(), re.escape(name)
-    found = re.match(rf"(?:type\s+{own}\s*|{own}\s*:\s*(?:typing\.)?TypeAlias\s*|{own}\s*)=\s*.+$", one)
-    return re.sub(r"\s+", " ", one) if found else None
+    form, right = _assignment(line, name)
+    generic = form == "type" and "[" in line.partition("=")[0]
+    return " ".join(line.split()) if right and form in ("type", "TypeAlias", "plain") and not generic else None
 
 
 def callable_signature(text: str, line: int, most: int = CALLABLE_LINES) -> str | None:

@@ -120,11 +120,13 @@ def full_sha(text: Column | str) -> Column:
 def source_name(path: Column | str, text: Column | str) -> Column:
     """A document's name: the frontmatter's id, else ADR-n in the file name (upper case), else the file name."""
     base = F.element_at(F.split(_column(path), "/"), -1)
-    front = F.regexp_extract(_column(text), r"\A---\n(?s:(.*?))\n---\n", 1)
-    own = F.regexp_extract(front, r"(?m)^id:\s*(\S.*?)\s*$", 1)
-    numbered = F.upper(F.regexp_extract(base, r"(?i)\b(ADR-\d+)\b", 1))
+    opened, rest = _column(text).startswith("---\n"), F.substring(_column(text), 5, 1 << 30)
+    front = F.when(opened & rest.contains("\n---\n"), F.substring_index(rest, "\n---\n", 1))
+    entries = F.filter(F.split(front, "\n"), lambda line: line.startswith("id:"))
+    values = F.filter(F.transform(entries, lambda line: F.btrim(F.substring(line, 4, 1 << 30), F.lit(" \t\r"))), lambda value: value != "")
+    numbered = F.upper(F.regexp_extract(base, r"(?i)(?<![a-z0-9_])adr-[0-9]+(?![a-z0-9_])", 0))
     bare = F.regexp_replace(base, r"(?<=.)\.[^.]*$", "")
-    return F.coalesce(F.nullif(own, F.lit("")), F.nullif(numbered, F.lit("")), bare)
+    return F.coalesce(F.get(values, F.lit(0)), F.nullif(numbered, F.lit("")), bare)
 
 
 def strip_frontmatter(text: Column | str) -> Column:

@@ -26,7 +26,7 @@ def test_python_classes():
     assert P.class_header("x = 1", 0) == "" and P.class_header("", 5) == ""
 
 
-@pytest.mark.parametrize("line, alias", [("type X = int", True), ("X: TypeAlias = int", True), ("X = dict[str, int]", True), ("X = Union[int, str]", True), ("X = f(1)", False), ("X = 3", False), ("Y = int", False)])
+@pytest.mark.parametrize("line, alias", [("type X = int", True), ("X: TypeAlias = int", True), ("X = dict[str, int]", True), ("X = Union[int, str]", True), ("X = f(1)", False), ("X = 3", False), ("Y = int", False), ("type X[T] = list[T]", True), ("X: typing.TypeAlias = int", True), ("X = a.b.C", True), ("X = Callable[", True), ("X = a + b", False), ("X = dict[str,", False), ("X: int = int", False), ("X = 'text'", False)])
 def test_aliases(line, alias):
     assert P.is_alias_line(line, "X") is alias
 
@@ -36,6 +36,19 @@ def test_alias_signatures():
     assert P.is_module_assignment("X: int = 3", "X") and not P.is_module_assignment("  X = 3", "X")
 
 
+@pytest.mark.parametrize("declaration, extends, implements", [("class A extends mixin(B, C) implements D {", [], ["D"]), ("abstract class A<T extends X> extends n.m.B<T, U> {", ["B"], []), ("interface I extends J<K, L>, M {", ["J", "M"], []), ("class A { extends B", [], []), (None, [], [])])
+def test_heritage(declaration, extends, implements):
+    assert P.ts_heritage(declaration) == (extends, implements)
+
+
+def test_imports_of_files_that_do_not_parse():
+    text = "from typing import Protocol as P, Any\nimport typing_extensions as te\nif True:\n    from a.b import C as D  # note\n"
+    want = {"P": "Protocol", "te.Protocol": "Protocol", "D": "C"}
+    for source in (text, text + "def broken(:\n"):
+        found = P.import_aliases(source)
+        assert {k: found.get(k) for k in want} == want and "Any" not in found
+
+
 def test_callables():
     text = "    async def run(self, a: dict[str, int],\n            b=(1, 2)) -> int:\n        pass"
     assert P.callable_signature(text, 0) == "async def run(self, a: dict[str, int], b=(1, 2)) -> int" and P.callable_signature("x = 1", 0) is None
