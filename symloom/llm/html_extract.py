@@ -3,16 +3,25 @@
 The DOMs of a host's pages are merged: an element is known by the path of tags
 and classes that leads to it.  For each path the tree holds how many pages have
 it, which child sequences (presentation) and which texts (content) occur there
-and on how many pages.  With m pages, a feature found on d of them weighs
-log(d) / log(m); a path's importance is 1 minus the mean weight of its
-features, so what repeats all over the site goes towards 0 and what is a page's
-own goes towards 1.  A branch's importance is the best content importance
-inside it, tempered by the importance of its presentation.
-
-Elements whose tag, role or class says what they are (navigation, footers,
-adverts, forms, comments, ...; articles) need no statistics; the style tree
-decides on everything else.  Where a page has an article (or a main element),
-its text comes from there, else from all branches of sufficient importance.
+and on how many pages.  A path's importance is the entropy of its features as a
+share of the largest that so many occurrences could have: what repeats all over
+the site goes towards 0, what is a page's own goes towards 1.  A branch's
+importance is the best content importance inside it, tempered by the importance of
+its presentation.
+
+Tags and roles that say what they hold (navigation, footers, forms, ...) need no
+statistics; nor do classes, where a whole class name says it.  A compound name
+goes by its last word that is not just a container, so that ``post-comments`` is
+noise and ``has-sidebar`` or ``social-history`` is not; an article inside of an
+element that only its class condemns is kept if the page has no other.  The style
+tree decides on everything else, also inside an article: branches of low
+importance go, and so does a text that stands at the same path on ``REPEATED`` of
+the pages that have it.  Where that would leave less than ``OWN_SHARE`` of an
+article, the pages are copies of one another and the article stays whole.
+
+Where a page has an article (or a main element), its text comes from there, else
+from all branches.  Elements below ``MAX_DEPTH`` count for the one at that depth
+in the tree (their text is extracted as any other), so paths are bounded.
 
 Character references are decoded, white space in a block becomes one space and
 blocks are joined in page order by one space.  Null or empty html gives an
@@ -28,7 +37,9 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import groupby
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,13 +52,19 @@ from symloom.llm.worker import lean
 THRESHOLD = 0.5
 #: ... where at least so many pages of the host have them.
 MIN_PAGES = 4
+#: A text is boilerplate that stands at one path on this share of the pages with the path, and on so many pages.
+REPEATED, REPEATED_PAGES = 0.5, 3
+#: An article is not cut below this share of its characters.
+OWN_SHARE = 1 / 3
+#: Depth and length of a label from which paths are cut short.
+MAX_DEPTH, MAX_LABEL = 64, 100
 #: Weight of the content against the presentation of a branch.
 CONTENT_WEIGHT = 0.9
 #: (host, path, feature) counts that a task holds before it hands them on.
 _HELD = 200_000
 
 # Element names and words of class names, by what HTML uses them for.
-RAW = "script style noscript template svg math iframe object canvas textarea select title head"
+RAW = "script style noscript template svg iframe object canvas textarea select title head"
 VOID = "area base br col embed hr img input link meta param source track wbr"
 BLOCKS = (
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -60,11 +77,15 @@ NOISE_WORDS = (
     "cookie cookies consent notice gdpr popup modal newsletter subscribe signup login share sharing social related recommended comment comments "
     "disqus respond replies widget pagination pager search toolbar masthead skip"
 )
+# Words that make a class name one of a state, and words of mere containers.
+STATE_WORDS = "has no with without is not hide show"
+CONTAINER_WORDS = "area block box container inner list outer section slot wrap wrapper"
 CLOSES_P = set(BLOCKS.split()) - {"br"}
 CLOSES_SELF = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 
 _RAW, _VOID, _BLOCKS = (frozenset(x.split()) for x in (RAW, VOID, BLOCKS))
 _NOISE_TAGS, _NOISE_ROLES, _NOISE_WORDS = (frozenset(x.split()) for x in (NOISE_TAGS, NOISE_ROLES, NOISE_WORDS))
+_STATES, _CONTAINERS = frozenset(STATE_WORDS.split()), frozenset(CONTAINER_WORDS.split())
 _LISTS = frozenset("ul ol dl table tbody thead tfoot".split())
 
 _TOKEN = re.compile(
@@ -83,43 +104,73 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
+@lru_cache(maxsize=10_000)
+def is_noise_name(name: str) -> bool:
+    """Whether a class or id, by its last word that is no container, names what is not content."""
+    words = [w for w in re.split("[-_]+", name) if w]
+    while len(words) > 1 and words[-1] in _CONTAINERS:
+        words.pop()
+    return bool(words) and words[-1] in _NOISE_WORDS and _STATES.isdisjoint(words[:-1])
+
+
 class _Element:
-    __slots__ = ("children", "inside", "noise", "path", "tag")
+    """``noise`` is 2 by tag or role, 1 by a class name, which an article inside can undo; ``low`` is the style tree's."""
 
-    def __init__(self, tag: str, path: str, noise: bool, inside: str):
-        self.tag, self.path, self.noise, self.inside = tag, path, noise, inside
+    __slots__ = ("children", "depth", "inside", "low", "noise", "path", "soft", "tag")
+
+    def __init__(self, tag: str, path: str, depth: int, noise: int, inside: str, soft: bool, low: bool):
+        self.tag, self.path, self.depth, self.noise, self.inside, self.soft, self.low = tag, path, depth, noise, inside, soft, low
         self.children: list[str] = []
 
 
 def _opened(tag: str, rest: str, parent: _Element) -> _Element:
-    label, noise, inside = tag, parent.noise or tag in _NOISE_TAGS or (tag == "header" and not parent.inside), parent.inside
-    if rest:
-        for name, a, b, c in _ATTRIBUTE.findall(rest):
-            name, value = name.lower(), (a or b or c).lower()
-            if name in ("class", "id"):
-                label += "." + ".".join(sorted(value.split())) if name == "class" else "#" + re.sub(r"\d+", "0", value)
-                noise = noise or (tag not in ("html", "body") and not _NOISE_WORDS.isdisjoint(re.split(r"[-_\s]+", value)))
-            elif name == "role":
-                noise = noise or value in _NOISE_ROLES
-                inside = inside or ("main" if value == "main" else "")
-            else:
-                noise = noise or name == "hidden" or value == "true"
+    label, inside, soft = tag, parent.inside, parent.soft
+    noise = 2 if tag in _NOISE_TAGS or (tag == "header" and not inside) else parent.noise
+    for name, a, b, c in _ATTRIBUTE.findall(rest) if rest else ():
+        name, value = name.lower(), (a or b or c).lower()
+        if name in ("class", "id"):
+            label += "." + ".".join(sorted(value.split())) if name == "class" else "#" + re.sub(r"\d+", "0", value)
+            if tag not in ("html", "body") and any(map(is_noise_name, value.split())):
+                noise = max(noise, 1)
+        elif name == "role":
+            noise = 2 if value in _NOISE_ROLES else noise
+            inside = inside or ("main" if value == "main" else "")
+        elif name == "hidden" or value == "true":
+            noise = 2
     if tag == "article" or (tag == "main" and not inside):
         inside = tag
+        if noise == 1:
+            noise, soft = 0, True
+    if len(label) > MAX_LABEL:
+        label = tag + "." + hashlib.md5(label.encode("utf-8", "replace")).hexdigest()
     parent.children.append(label)
-    return _Element(tag, f"{parent.path}>{label}", noise, inside)
+    path = f"{parent.path}>{label}" if parent.depth < MAX_DEPTH else parent.path
+    return _Element(tag, path, parent.depth + 1, noise, inside, soft, parent.low)
+
+
+def _mark(path: str, text: str) -> str:
+    """Names a text at a path."""
+    return hashlib.md5(f"{path}\0{text}".encode("utf-8", "replace")).hexdigest()[:16]
+
+
+class _Block(NamedTuple):
+    path: str
+    text: str
+    noise: int
+    inside: str  # innermost of article or main
+    soft: bool
+    low: bool
 
 
 class Page:
     """One walk over a page: its blocks of text and, if asked for, the features of its elements."""
 
-    def __init__(self, source: str, low: frozenset[str] = frozenset(), features: bool = False):
-        #: (path, text, noise, innermost of article or main) in page order.
-        self.blocks: list[tuple[str, str, bool, str]] = []
+    def __init__(self, source: str, low: frozenset[str] = frozenset(), repeated: frozenset[str] = frozenset(), features: bool = False):
+        self.blocks: list[_Block] = []
         #: (path, "style" or "text", feature)
         self.features: set[tuple[str, str, str]] = set()
-        self._low, self._want, self._buffer = low, features, []
-        self._stack = [_Element("", "", False, "")]
+        self._low, self._repeated, self._want, self._buffer = low, repeated, features, []
+        self._stack = [_Element("", "", 0, 0, "", False, False)]
         self._walk(source)
 
     def _walk(self, source: str) -> None:
@@ -147,9 +198,10 @@ class Page:
             self._buffer = []
             if text:
                 here = self._stack[-1]
-                self.blocks.append((here.path, text, here.noise, here.inside))
+                mark = _mark(here.path, text) if self._want or self._repeated else ""
+                self.blocks.append(_Block(here.path, text, here.noise, here.inside, here.soft, here.low or mark in self._repeated))
                 if self._want:
-                    self.features.add((here.path, "text", hashlib.md5(text.encode("utf-8", "replace")).hexdigest()[:16]))
+                    self.features.add((here.path, "text", mark))
 
     def _pop(self) -> None:
         gone = self._stack.pop()
@@ -175,7 +227,7 @@ class Page:
                 self._pop_to(tuple(CLOSES_SELF[tag].split()), _LISTS)
         if tag not in _VOID and not rest.endswith("/"):
             new = _opened(tag, rest, self._stack[-1])
-            new.noise = new.noise or (new.path in self._low and not new.inside)
+            new.low = new.low or new.path in self._low
             self._stack.append(new)
 
     def _close(self, tag: str) -> None:
@@ -185,12 +237,16 @@ class Page:
         self._pop_to((tag,), stop)
 
     def text(self) -> str:
-        own = [b for b in self.blocks if not b[2]]
+        plain = [b for b in self.blocks if not b.noise]
         for container in ("article", "main"):
-            if any(b[3] == container for b in own):
-                own = [b for b in own if b[3] == container]
-                break
-        return " ".join(b[1] for b in own)
+            for soft in (False, True):
+                inner = [b for b in plain if b.inside == container and b.soft <= soft]
+                if inner:
+                    own = [b for b in inner if not b.low]
+                    whole = sum(len(b.text) for b in own) < OWN_SHARE * sum(len(b.text) for b in inner)
+                    return " ".join(b.text for b in (inner if whole else own))
+        own = [b for b in plain if not b.low]
+        return " ".join(b.text for b in own or plain)
 
 
 _TREE = "host string, path string, kind string, feature string, pages long"
@@ -214,14 +270,23 @@ def _held(held: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*columns, pa.array(list(held.values()), pa.int64())], names=["host", "path", "kind", "feature", "pages"])
 
 
-def style_trees(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path, pages, importance) of every element path of every host.
+def merged_features(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, path, kind, feature, d): on how many pages of a host a path has a feature, written.
 
     Counts are folded in each task, then over (host, path, feature), so a host
     with most of the pages is spread over its features.
     """
     rows = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     counts = rows.mapInArrow(lean(_features), _TREE).groupBy("host", "path", "kind", "feature").agg(F.sum("pages").alias("d"))
+    return written(counts, "style-features")
+
+
+def style_trees(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, path, pages, importance) of every element path of every host."""
+    return _importance(merged_features(pages, url_col, html_col))
+
+
+def _importance(counts: DataFrame) -> DataFrame:
     one = counts.groupBy("host", "path").agg(
         F.max(F.when(F.col("kind") == "page", F.col("d"))).alias("pages"),
         *[F.sum(F.when(F.col("kind") == k, F.col("d") * F.log("d"))).alias(f"{k}_log") for k in ("style", "text")],
@@ -229,8 +294,10 @@ def style_trees(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     )
 
     def importance(kind: str):
-        weight = F.col(f"{kind}_log") / F.col(f"{kind}_n") / F.log("pages")
-        return F.when(F.col(f"{kind}_n").isNotNull(), F.when(F.col("pages") > 1, 1 - weight).otherwise(1.0))
+        """The entropy of the features over its largest value, log(n): log(n) - sum(d log d) / n."""
+        n = F.col(f"{kind}_n")
+        spread = F.when(n > 1, 1 - F.col(f"{kind}_log") / n / F.log(n)).otherwise(1.0)
+        return F.when(n.isNotNull(), F.when(F.col("pages") > 1, spread).otherwise(1.0))
 
     one = written(one.select("host", "path", "pages", importance("style").alias("style"), importance("text").alias("content")), "style-trees")
     steps = F.split(F.substring("path", 2, 1 << 20), ">")
@@ -241,27 +308,33 @@ def style_trees(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     return joined.select("host", "path", "pages", mixed.alias("importance"))
 
 
+def repeated_texts(counts: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, feature) of texts that stand at one path on most pages that have it."""
+    pages = counts.where("kind = 'page'").select("host", "path", F.col("d").alias("pages")).where(F.col("pages") >= min_pages)
+    texts = counts.where("kind = 'text'").where(F.col("d") >= REPEATED_PAGES).select("host", "path", "feature", "d")
+    return texts.join(pages, ["host", "path"]).where(F.col("d") >= REPEATED * F.col("pages")).select("host", "feature")
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, 512):
             part = batch.slice(k, 512)
-            low, known = part.column(3).to_pylist(), {}
-            texts = []
-            for source, paths in zip(part.column(2).to_pylist(), low, strict=True):
-                key = tuple(paths or ())
-                if key not in known:
-                    known[key] = frozenset(key)
-                texts.append(Page(source or "", known[key]).text())
+            known: dict[tuple, frozenset] = {}
+            kept = lambda names: known.setdefault(key := tuple(names or ()), frozenset(key))
+            lists = zip(*(part.column(c).to_pylist() for c in (2, 3, 4)), strict=True)
+            texts = [Page(source or "", kept(low), kept(repeated)).text() for source, low, repeated in lists]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["id", "url", "text", "n_chars"])
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> DataFrame:
     """(id, url, text, n_chars) of every row."""
-    tree = style_trees(pages, url_col, html_col).where((F.col("pages") >= min_pages) & (F.col("importance") < threshold))
-    low = written(tree.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low")), "low-branches")
-    size = low.agg(F.sum(F.length(F.concat_ws(",", "low")) + 64)).first()[0] or 0
+    counts = merged_features(pages, url_col, html_col)
+    low = _importance(counts).where((F.col("pages") >= min_pages) & (F.col("importance") < threshold)).select("host", "path", F.lit(None).cast("string").alias("feature"))
+    told = low.unionByName(repeated_texts(counts, min_pages).withColumn("path", F.lit(None).cast("string")))
+    low = written(told.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low"), F.sort_array(F.collect_set("feature")).alias("repeated")), "low-branches")
+    size = low.agg(F.sum(F.length(F.concat_ws(",", "low", "repeated")) + 64)).first()[0] or 0
     url = F.col(url_col).cast("string")
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), _HOST.pattern, 1))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), url.alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
-    joined = rows.join(broadcast_if_small(low, 1, size), "host", "left").select("id", "url", "html", "low")
+    joined = rows.join(broadcast_if_small(low, 1, size), "host", "left").select("id", "url", "html", "low", "repeated")
     return joined.mapInArrow(lean(_extract), "id long, url string, text string, n_chars long").withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)

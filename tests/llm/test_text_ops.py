@@ -129,6 +129,35 @@ def test_style_tree_finds_what_repeats(spark):
     assert extract_text(pages.limit(0)).count() == 0
 
 
+def test_class_names_are_taken_whole():
+    for name in ("has-sidebar", "no-sidebar", "social-history", "with-comments", "adverse", "page"):
+        assert Page(f"<div class='x {name}'><p>own</p></div>").text() == "own"
+    for name in ("post-comments", "comments-area", "cookie-banner", "sidebar", "ad_slot", "related-list"):
+        assert Page(f"<p>own</p><div class='x {name}'><p>other</p></div>").text() == "own"
+    assert Page("<div class='widget'><article><p>Main story</p></article></div>").text() == "Main story"
+    assert Page("<div class=related><article>card</article></div><article>story</article>").text() == "story"
+    assert Page("<article><p>if <math><mi>x</mi> = 1</math> then</p></article>").text() == "if x = 1 then"
+
+
+def test_the_style_tree_cuts_what_repeats_inside_articles(spark):
+    """No class or tag tells these notices from the text; copies of one page keep theirs."""
+    note = "<p>Read our terms before you go on.</p>"
+    rows = [(i, "http://a.example/x", f"<article><h1>Title {i}</h1><p>own text of page {i}, long enough to count</p>{note}</article>") for i in range(12)]
+    rows += [(100 + i, "http://b.example/x", "<article><h1>One</h1><p>the same page again</p></article>") for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    on, off = ({r.page_id: r.text for r in extract_text(pages, min_pages=n).collect()} for n in (4, 10**9))
+    assert all(on[i] == f"Title {i} own text of page {i}, long enough to count" and off[i] == f"{on[i]} Read our terms before you go on." for i in range(12))
+    assert all(on[100 + i] == off[100 + i] == "One the same page again" for i in range(6))
+
+
+def test_very_deep_pages(spark):
+    deep = "<div class=level>" * 40_000 + "text" + "</div>" * 40_000
+    page = Page(deep, features=True)
+    assert page.text() == "text" and max(len(f[0]) for f in page.features) < 64 * 12
+    pages = spark.createDataFrame([(i, "http://a.example", deep) for i in range(5)], "page_id long, url string, html string")
+    assert [r.text for r in extract_text(pages).collect()] == ["text"] * 5
+
+
 # ---- language
 
 
