@@ -3,6 +3,14 @@
 Language identification drops what it rejects, common lines are cut, one
 document of each group of near copies stays, documents that overlap with
 ``benchmark`` go, and the rest is encoded and decoded.
+
+Rows with a null id stay in every stage but those that look at the text alone
+(language identification and decontamination), which treat them as any other.
+Null and empty texts and texts without a letter are rejected by the first stage.
+Equal rows are one document to line dedup; near dedup keeps all rows of the id
+that stays.  Where no language can be learned, only texts without a letter go.
+An empty table gives an empty result; extra columns, also of names that the
+operators use, are carried through all stages but the last.
 """
 
 from __future__ import annotations
