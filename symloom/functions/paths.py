@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from urllib.parse import quote as _percent
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from symloom.functions.text import _column
 
@@ -49,9 +46,16 @@ def relative_path(path: Column | str, root: str) -> Column:
     return F.coalesce(inside, F.raise_error(F.concat(normal, F.lit(f" is outside {root}"))))
 
 
-@F.pandas_udf(StringType())
-def _encode_uri(paths: pd.Series) -> pd.Series:
-    return paths.map(lambda p: None if p is None else _percent(p, safe="/:;,?@&=+$-_.!~*'()#"))
+# The marks that a URI keeps.
+URI_MARKS = "/:;,?@&=+$!~'()#"
+
+
+def _encode_uri(path: Column) -> Column:
+    """Form encoding, with spaces as %20 and the marks of a URI as they are."""
+    coded = F.replace(F.url_encode(path), F.lit("+"), F.lit("%20"))
+    for mark in URI_MARKS:
+        coded = F.replace(coded, F.lit(f"%{ord(mark):02X}"), F.lit(mark))
+    return coded
 
 
 def file_uri(path: Column | str) -> Column:

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from symloom.functions.text import cost_usd
 
 
+#: Ranges of batch numbers whose running totals are taken apart.
+_RANGES = 64
+
+
 def sha_diff(baseline: DataFrame, current: DataFrame, full: bool = False) -> DataFrame:
     """(path, status) for two tables (path, sha): unchanged, changed, added or deleted.
 
@@ -79,10 +83,18 @@ def usage_totals(usage: DataFrame) -> DataFrame:
 def budget_crossing(batches: DataFrame, budget: float) -> DataFrame:
     """(batch, spent): the first batch after which the summed cost exceeds the budget; empty if none.
 
-    ``batches``: (batch, cost), summed by batch before the running total.
+    ``batches``: (batch, cost), summed by batch.  Running totals are taken within
+    ranges of the batch number and added to the totals of the ranges before, so no
+    task orders all batches.
     """
     per = batches.groupBy("batch").agg(F.sum("cost").alias("cost"))
-    running = per.withColumn("spent", F.sum("cost").over(W.orderBy("batch").rowsBetween(W.unboundedPreceding, 0)))
+    cuts = sorted(set(per.select(F.col("batch").cast("double").alias("batch")).approxQuantile("batch", [k / _RANGES for k in range(1, _RANGES)], 0.01)))
+    part = sum((F.when(F.col("batch") > F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
+    per = per.withColumn("part", part)
+    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row for each range
+    totals = per.groupBy("part").agg(F.sum("cost").alias("total")).select("part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("before"))
+    within = W.partitionBy("part").orderBy("batch").rowsBetween(W.unboundedPreceding, 0)
+    running = per.join(F.broadcast(totals), "part").withColumn("spent", F.col("before") + F.sum("cost").over(within))
     return running.where(F.col("spent") > budget).orderBy("batch").limit(1).select("batch", "spent")
 
 

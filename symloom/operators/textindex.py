@@ -113,14 +113,14 @@ class TextIndex:
         stats = self.lengths.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("mean"))
         words = queries.select("query_id", F.posexplode(F.transform(query_words("query"), lambda w: F.get(tokens(w), F.lit(0)))).alias("place", "term")).where("term is not null")
         sizes = words.groupBy("query_id").agg(F.count(F.lit(1)).alias("k"))
-        hits = self.postings.join(F.broadcast(words), "term")
+        hits = self.postings.join(words, "term")
         single = hits.groupBy("query_id", F.concat(F.lit("w"), F.col("place")).alias("phrase"), "id").agg(F.sum(F.size("positions")).cast("double").alias("tf"))
-        shifted = hits.select("query_id", "id", "field", "place", F.explode("positions").alias("p")).join(F.broadcast(sizes.where("k > 1")), "query_id")
+        shifted = hits.select("query_id", "id", "field", "place", F.explode("positions").alias("p")).join(sizes.where("k > 1"), "query_id")
         whole = shifted.groupBy("query_id", "id", "field", (F.col("p") - F.col("place")).alias("start"), "k").agg(F.count_distinct("place").alias("found")).where("found = k")
         whole = whole.groupBy("query_id", F.lit("whole").alias("phrase"), "id").agg(F.count(F.lit(1)).cast("double").alias("tf"))
         tf = single.unionByName(whole)
         df = tf.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).cast("double").alias("df"))
-        scored = tf.join(F.broadcast(df), ["query_id", "phrase"]).join(self.lengths, "id").join(F.broadcast(stats))
+        scored = tf.join(df, ["query_id", "phrase"]).join(self.lengths, "id").join(F.broadcast(stats))
         part = idf(F.col("n"), F.col("df")) * weight(F.col("tf"), F.col("dl"), F.col("mean"))
         found = scored.groupBy("query_id", "id").agg(F.round(-F.sum(part), DIGITS).alias("bm25"))
         if limit is None:
