@@ -16,6 +16,7 @@ from symloom.llm.graph import components, stars
 from symloom.llm.kernels import Words, ngrams, stretches, text_blocks
 from symloom.llm.line_dedup import RunStore, build_runs, drop_common_lines, line_dedup, line_hashes
 from symloom.llm.minhash_dedup import drop_near_duplicates, near_dedup
+from symloom.llm.substring_dedup import intervals_beyond, passages_of
 
 DOCS = "doc_id long, text string, kept string, group_size int"
 SPACE = " \t\n\x0b\x0c\r"
@@ -265,3 +266,42 @@ def test_components_beyond_a_chunk(spark):
     for chunk in (1_000_000, 3):
         found = {r.id: r.label for r in components(edges, chunk).collect()}
         assert found == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 103: 100}
+
+
+def _plain_intervals(a, b, diagonals, side, n_words, k, percent):
+    """Every start of an interval around equal words that is no passage, one by one."""
+    mine, others = set(), set()
+    for d in diagonals:
+        same = {i for i in range(max(0, d), min(len(a), len(b) + d)) if a[i] == b[i - d]}
+        grams = {i for i in same if all(j in same for j in range(i, i + k))}
+        n = n_words - k + 1
+        for at in range(-n_words, len(a) + n_words):
+            inside = [i in same for i in range(at, at + n_words)]
+            runs = "".join("1" if x else "0" for x in inside).split("0")
+            if max(map(len, runs)) < side:
+                continue
+            hits = sum(i in grams for i in range(at, at + n))
+            if 100 * hits >= percent * (2 * n - hits) and at in grams and at + n - 1 in grams:
+                continue
+            mine |= {at} if 0 <= at <= len(a) - n_words else set()
+            others |= {at - d} if 0 <= at - d <= len(b) - n_words else set()
+    return mine, others
+
+
+def test_intervals_of_many_diagonals_are_those_of_each():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        a = rng.integers(0, 40, 70).astype(np.uint64)
+        b = np.concatenate([rng.integers(40, 80, rng.integers(0, 9)).astype(np.uint64), a[rng.integers(0, 20) :]])
+        b[rng.integers(0, len(b), 5)] = 99
+        diagonals = [0, int(rng.integers(-9, 20)), 3, len(a) - len(b)]
+        got = intervals_beyond(a, b, sorted(set(diagonals)), 6, 14, 3, 80)
+        want = _plain_intervals(a.tolist(), b.tolist(), sorted(set(diagonals)), 6, 14, 3, 80)
+        assert tuple(set(g.tolist()) for g in got) == want
+
+
+def test_equal_texts_are_one_passage_and_self_repeats_end():
+    words = np.tile(np.arange(7, dtype=np.uint64), 20)
+    assert passages_of(words, words.copy(), [0, 7, -7], 5, 50, 80) == [(0, 140, 0, 140)]
+    one = np.full(3000, 4, dtype=np.uint64)
+    assert passages_of(one, one[:2000], [0], 5, 50, 80)[0][1] == 2000
