@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -86,6 +86,18 @@ def unresolved_by_file(extracted: DataFrame, symbols: DataFrame) -> DataFrame:
     return rows.groupBy("source_path").agg(F.count(F.lit(1)).alias("n_unresolved"), F.sort_array(F.collect_set("candidate")).alias("candidates"))
 
 
+def unresolved_frontmatter(frontmatter: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(source_path, symbols): the names of a document's frontmatter (source_path, symbols) that no symbol has, in order."""
+    names = frontmatter.select("source_path", F.posexplode("symbols").alias("place", "name"))
+    missing = names.join(symbols.select("name").distinct(), "name", "left_anti").groupBy("source_path", "name").agg(F.min("place").alias("place"))
+    listed = F.sort_array(F.collect_list(F.struct("place", "name")))
+    return missing.groupBy("source_path").agg(F.transform(listed, lambda n: n["name"]).alias("symbols"))
+
+
+def frontmatter_warning(source_path: Column, names: Column) -> Column:
+    return F.concat(F.lit("warning: "), source_path, F.lit(": frontmatter names unknown symbols: "), F.array_join(names, ", "))
+
+
 def enclosing_symbols(positions: DataFrame, ranges: DataFrame) -> DataFrame:
     """The innermost range (path, symbol_id, depth, start/end line and character) around each position (path, line, character).
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -200,3 +203,26 @@ def envelope_json(results: DataFrame) -> DataFrame:
 def summary_text(counters: dict) -> str:
     """``key=value`` lines of a run's counters; floats with 4 places."""
     return "".join(f"{k}={v:.4f}\n" if isinstance(v, float) else f"{k}={str(v).lower() if isinstance(v, bool) else v}\n" for k, v in counters.items())
+
+
+# The lines of a run's summary, in order.
+SUMMARY = (
+    "files_extracted", "files_unchanged", "files_deleted", "claims_written", "symbols_indexed", "unresolved_candidates", "unresolved_frontmatter_hints", "git_commits_indexed",
+    "extracted_at_sha", "atlas_exported", "wall_clock_ms", "api_calls", "input_tokens", "output_tokens", "cost_usd", "extraction_errors",
+)
+
+
+def run_summary(counters: dict, as_json: bool = False, frontmatter: Sequence[tuple[str, list[str]]] = (), errors: Sequence[str] = ()) -> str:
+    """The summary of an indexing run in 16 lines, or as JSON with the details; counters that are missing are 0, the revision null."""
+    blank = {"extracted_at_sha": None, "atlas_exported": False}
+    known = {name: counters.get(name, blank.get(name, 0)) for name in SUMMARY} | {"cost_usd": round(float(counters.get("cost_usd", 0.0)), 4), "extraction_errors": len(errors)}
+    if not as_json:
+        known["extracted_at_sha"] = known["extracted_at_sha"] or "null"
+        return summary_text(known)
+    detail = [{"source_path": path, "symbols": names} for path, names in frontmatter if names]
+    items = []
+    for name in SUMMARY:
+        items.append((name, list(errors) if name == "extraction_errors" else known[name]))
+        if name == "unresolved_frontmatter_hints":
+            items.append(("frontmatter_unresolved_by_file", detail))
+    return json.dumps(dict(items), indent=2, ensure_ascii=False) + "\n"

@@ -122,3 +122,39 @@ def write_tables(tables: dict[str, DataFrame], path: str) -> None:
 def read_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     names = ("symbols", "claims", "claim_symbols", "commits", "file_commits", "source_shas", "meta")
     return {name: spark.read.parquet(f"{path}/{name}") for name in names}
+
+
+def write_artifact(tables: dict[str, DataFrame], path: str, **overrides: str) -> None:
+    """The exported document as one UTF-8 file of the driver."""
+    with open(path, "w", encoding="utf-8", newline="\n") as out:
+        out.write(export_artifact(tables, **overrides))
+
+
+def same_content(one: str, two: str) -> bool:
+    """Whether two exported documents differ in nothing but when they were generated."""
+    plain = [{k: v for k, v in json.loads(text).items() if k != "generated_at"} for text in (one, two)]
+    return plain[0] == plain[1]
+
+
+def cleared(tables: dict[str, DataFrame], *names: str) -> dict[str, DataFrame]:
+    """The tables with those of the given names empty; links go with the claims or the symbols."""
+    gone = {*names, *(["claim_symbols"] if {"claims", "symbols"} & set(names) else [])}
+    return {name: table.limit(0) if name in gone else table for name, table in tables.items()}
+
+
+def is_empty(tables: dict[str, DataFrame]) -> bool:
+    """Whether no symbols are stored."""
+    return tables["symbols"].isEmpty()
+
+
+def setting_of(tables: dict[str, DataFrame], key: str, override: str | None = None, default: str | None = None) -> str | None:
+    """A value of the meta data: what the caller names, else what is stored, else the default."""
+    if override is not None:
+        return override
+    row = tables["meta"].where(F.col("key") == key).select("value").first()
+    return row.value if row else default
+
+
+def source_sha_of(tables: dict[str, DataFrame], paths: DataFrame) -> DataFrame:
+    """(path, source_sha) of paths (path); null for those without one."""
+    return paths.join(tables["source_shas"].withColumnRenamed("source_path", "path"), "path", "left")
