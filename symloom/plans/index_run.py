@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from symloom.functions.text import source_name
 from symloom.operators.diff import delete_by_path, insert_claims, merge_latest, sha_diff, to_extract, usage_totals
-from symloom.operators.resolve import ATTRIBUTION_MODES, attribute_claims, resolve_candidates
+from symloom.operators.resolve import ATTRIBUTION_MODES, attribute_claims, resolve_candidates, unresolved_frontmatter
 from symloom.schemas import META
 
 
@@ -35,7 +36,12 @@ class Inputs:
 @dataclass
 class Outcome:
     tables: dict[str, DataFrame]
-    counters: dict[str, int | float | bool] = field(default_factory=dict)
+    counters: dict[str, int | float | bool | str | None] = field(default_factory=dict)
+
+
+def _hints(frontmatter: DataFrame, symbols: DataFrame) -> int:
+    """How many names of frontmatter no symbol has."""
+    return unresolved_frontmatter(frontmatter, symbols).agg(F.coalesce(F.sum(F.size("symbols")), F.lit(0)).alias("n")).first().n
 
 
 def index_run(tables: dict[str, DataFrame], inputs: Inputs, now: str, full: bool = False, attribution: str = ATTRIBUTION_MODES[0], budget: float | None = None) -> Outcome:
@@ -45,6 +51,7 @@ def index_run(tables: dict[str, DataFrame], inputs: Inputs, now: str, full: bool
     answer keep their old claims and their old sha, so the next run asks again.
     Meta data change only if documents, deletions or the revision did.
     """
+    began = time.monotonic()
     shas = tables["source_shas"]
     diff = sha_diff(shas.select(F.col("source_path").alias("path"), F.col("source_sha").alias("sha")), inputs.files.select("path", "sha"), full)
     wanted = to_extract(diff)
@@ -80,7 +87,8 @@ def index_run(tables: dict[str, DataFrame], inputs: Inputs, now: str, full: bool
         raise RuntimeError(f"none of {n_asked} documents could be extracted")
     counters = {
         "files_unchanged": counts.get("unchanged", 0), "files_extracted": changed, "files_failed": n_asked - n_done, "files_deleted": counts.get("deleted", 0),
-        "symbols_indexed": inputs.symbols.count(), "claims_written": fresh.count(), "unresolved_candidates": resolve_candidates(fresh, symbols)[1].count(), "git_commits": inputs.commits.count(),
+        "symbols_indexed": inputs.symbols.count(), "claims_written": fresh.count(), "unresolved_candidates": resolve_candidates(fresh, symbols)[1].count(), "unresolved_frontmatter_hints": _hints(inputs.frontmatter, symbols), "git_commits_indexed": inputs.commits.count(),
+        "extracted_at_sha": inputs.head_sha, "wall_clock_ms": int((time.monotonic() - began) * 1000),
         "input_tokens": used.input_tokens if used else 0, "output_tokens": used.output_tokens if used else 0, "cost_usd": used.cost_usd if used else 0.0,
         "over_budget": bool(used and budget is not None and used.cost_usd > budget), "modified": modified,
     }
