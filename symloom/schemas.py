@@ -4,47 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, MapType, StringType, StructField, StructType
 
 
-def _struct(spec: str) -> StructType:
-    """``name:type`` words; a trailing ``!`` marks a column that may not be null."""
-    kinds = {"s": StringType(), "i": IntegerType(), "l": LongType(), "as": ArrayType(StringType())}
-    fields = []
-    for word in spec.split():
-        name, kind = word.split(":")
-        fields.append(StructField(name, kinds[kind.rstrip("!")], not kind.endswith("!")))
-    return StructType(fields)
-
-
-SYMBOLS = _struct("id:s! name:s! kind:s! path:s! line:i! signature:s parent_id:s file_sha:s language:s")
-CLAIMS = _struct("claim_id:l! source:s! source_path:s! source_sha:s! severity:s! claim:s! rationale:s excerpt:s")
-CLAIM_SYMBOLS = _struct("claim_id:l! symbol_id:s!")
-COMMITS = _struct("sha:s! date:s! message:s! author_email:s!")
-FILE_COMMITS = _struct("file_path:s! commit_sha:s!")
-SOURCE_SHAS = _struct("source_path:s! source_sha:s!")
-META = _struct("key:s! value:s!")
-REFS = _struct("ordinal:i! ref_id:s! symbol_id:s! path:s! line:i! col:i")
-TYPE_EDGES = _struct("symbol_id:s! relation:s! name:s! ordinal:i!")
-DIAGNOSTICS = _struct("path:s! line:i! col:i severity:s! message:s!")
-EXTRACTED_CLAIMS = _struct("source_path:s! ordinal:i! symbol_candidates:as claim:s! severity:s! rationale:s excerpt:s")
-FRONTMATTER = _struct("source_path:s! symbols:as")
-FILES = _struct("path:s! sha:s! bucket:s")
-
-_ARTIFACT_SYMBOL = _struct("id:s name:s kind:s path:s line:i signature:s parent_id:s file_sha:s")
-_ARTIFACT_CLAIM = _struct("source:s source_path:s source_sha:s severity:s claim:s rationale:s excerpt:s symbol_ids:as")
-_ARTIFACT_COMMIT = _struct("sha:s date:s message:s author_email:s files:as")
-ARTIFACT = StructType(
-    [
-        StructField("version", StringType()),
-        StructField("generated_at", StringType()),
-        StructField("extracted_at_sha", StringType()),
-        StructField("generator", MapType(StringType(), StringType())),
-        StructField("source_shas", MapType(StringType(), StringType())),
-        StructField("symbols", ArrayType(_ARTIFACT_SYMBOL)),
-        StructField("claims", ArrayType(_ARTIFACT_CLAIM)),
-        StructField("git_commits", ArrayType(_ARTIFACT_COMMIT)),
-    ]
+SYMBOLS = "id string not null, name string not null, kind string not null, path string not null, line int not null, signature string, parent_id string, file_sha string, language string"
+CLAIMS = "claim_id long not null, source string not null, source_path string not null, source_sha string not null, severity string not null, claim string not null, rationale string, excerpt string"
+CLAIM_SYMBOLS = "claim_id long not null, symbol_id string not null"
+COMMITS = "sha string not null, date string not null, message string not null, author_email string not null"
+FILE_COMMITS = "file_path string not null, commit_sha string not null"
+SOURCE_SHAS = "source_path string not null, source_sha string not null"
+META = "key string not null, value string not null"
+REFS = "ordinal int not null, ref_id string not null, symbol_id string not null, path string not null, line int not null, col int"
+TYPE_EDGES = "symbol_id string not null, relation string not null, name string not null, ordinal int not null"
+DIAGNOSTICS = "path string not null, line int not null, col int, severity string not null, message string not null"
+EXTRACTED_CLAIMS = "source_path string not null, ordinal int not null, symbol_candidates array<string>, claim string not null, severity string not null, rationale string, excerpt string"
+FRONTMATTER = "source_path string not null, symbols array<string>"
+FILES = "path string not null, sha string not null, bucket string"
+ARTIFACT = (
+    "version string, generated_at string, extracted_at_sha string, generator map<string, string>, source_shas map<string, string>, "
+    "symbols array<struct<id: string, name: string, kind: string, path: string, line: int, signature: string, parent_id: string, file_sha: string>>, "
+    "claims array<struct<source: string, source_path: string, source_sha: string, severity: string, claim: string, rationale: string, excerpt: string, symbol_ids: array<string>>>, "
+    "git_commits array<struct<sha: string, date: string, message: string, author_email: string, files: array<string>>>"
 )
 
 # The domains that artifacts and requests use.

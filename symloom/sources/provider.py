@@ -81,7 +81,7 @@ def conformance(spark: SparkSession, source: LanguageSource) -> list[str]:
 
     symbols, refs, edges, notes = source.symbols(spark), source.refs(spark), source.type_edges(spark), source.diagnostics(spark)
     for name, table, schema in (("symbols", symbols, SYMBOLS), ("refs", refs, REFS), ("type_edges", edges, TYPE_EDGES), ("diagnostics", notes, DIAGNOSTICS)):
-        if missing := [c for c in schema.names if c not in table.columns]:
+        if missing := [c for c in spark.createDataFrame([], schema).columns if c not in table.columns]:
             wrong.append(f"{name} lacks {', '.join(missing)}")
     if wrong:
         return wrong
