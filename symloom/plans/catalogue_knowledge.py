@@ -305,3 +305,36 @@ def artifact_claims(spark: SparkSession, d: str) -> DataFrame:
 @_query(f"WITH {_SYMBOLS} SELECT id, name, signature, CAST(NULL AS VARCHAR) AS parent_id, '' AS file_sha FROM symbols")
 def artifact_symbols(spark: SparkSession, d: str) -> DataFrame:
     return nest(_artifact(spark, d))["symbols"].select("id", "name", "signature", "parent_id", "file_sha")
+
+
+# ---- a run
+
+
+@_query("""WITH old AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 4 < 3), found AS (SELECT c_custkey AS k, 'part' || c_custkey % 30 AS name FROM customer WHERE c_custkey % 4 > 0)
+SELECT source, claim, coalesce(string_agg(symbol_id, ',' ORDER BY symbol_id), '') AS symbols FROM (
+  SELECT 'd' || k AS source, 'new ' || k AS claim, 'p' || p_partkey AS symbol_id FROM found LEFT JOIN part ON 'part' || p_partkey = name AND p_partkey % 2 = 0 WHERE k % 4 <> 1
+  UNION ALL SELECT 'old', 'old ' || k, 'p0' FROM old WHERE k % 4 = 1) GROUP BY 1, 2""")
+def index_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that a run drops (0), keeps (1), reads again (2) and finds new (3), with the symbols of their claims afterwards."""
+    from symloom.plans.index_run import Inputs, index_run
+    from symloom.schemas import CLAIM_SYMBOLS, CLAIMS, META
+
+    key = F.col("c_custkey").cast("long")
+    name = F.concat(F.lit("d"), key.cast("string"), F.lit(".md"))
+    c = _read(spark, d, "customer").select(key.alias("k"), name.alias("path"))
+    old, found, part = c.where("k % 4 < 3"), c.where("k % 4 > 0"), _read(spark, d, "part")
+    blank = {"source_sha": "0", "severity": "soft", "rationale": "", "excerpt": ""}
+    claims = old.select(F.col("k").alias("claim_id"), F.lit("old").alias("source"), F.col("path").alias("source_path"), F.concat(F.lit("old "), F.col("k")).alias("claim"), *[F.lit(v).alias(n) for n, v in blank.items()])
+    symbols = part.select(F.concat(F.lit("p"), F.col("p_partkey")).alias("id"), F.concat(F.lit("part"), F.col("p_partkey")).alias("name"))
+    tables = {
+        "symbols": symbols.where("id = 'p0'"), "claims": claims.select(*spark.createDataFrame([], CLAIMS).columns), "claim_symbols": claims.select("claim_id", F.lit("p0").alias("symbol_id")).select(*spark.createDataFrame([], CLAIM_SYMBOLS).columns),
+        "source_shas": old.select(F.col("path").alias("source_path"), F.when(F.col("k") % 4 == 1, "same").otherwise("before").alias("source_sha")), "meta": spark.createDataFrame([("version", "1.3")], META),
+    }
+    wanted = F.array(F.concat(F.lit("part"), (F.col("k") % 30).cast("string")), F.lit("nothing"))
+    extracted = found.select(F.col("path").alias("source_path"), F.lit(0).alias("ordinal"), wanted.alias("symbol_candidates"), F.concat(F.lit("new "), F.col("k")).alias("claim"), F.lit("soft").alias("severity"), F.lit("").alias("rationale"), F.lit("").alias("excerpt"))
+    files = found.select("path", F.when(F.col("k") % 4 == 1, "same").otherwise("after").alias("sha"), F.lit("").alias("text"))
+    history = _log(spark, d)
+    inputs = Inputs(files, symbols.where("cast(substring(id, 2) as long) % 2 = 0"), extracted, found.select("path"), spark.createDataFrame([], "source_path string, symbols array<string>"), history.drop("files"), pivot_files(history)[1], head_sha="head")
+    out = index_run(tables, inputs, "now").tables
+    linked = out["claim_symbols"].groupBy("claim_id").agg(F.array_join(F.sort_array(F.collect_list("symbol_id")), ",").alias("symbols"))
+    return out["claims"].join(linked, "claim_id", "left").select("source", "claim", F.coalesce("symbols", F.lit("")).alias("symbols"))

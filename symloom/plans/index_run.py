@@ -39,9 +39,12 @@ class Outcome:
     counters: dict[str, int | float | bool | str | None] = field(default_factory=dict)
 
 
-def _hints(frontmatter: DataFrame, symbols: DataFrame) -> int:
-    """How many names of frontmatter no symbol has."""
-    return unresolved_frontmatter(frontmatter, symbols).agg(F.coalesce(F.sum(F.size("symbols")), F.lit(0)).alias("n")).first().n
+def _counted(status: DataFrame, tables: dict[str, DataFrame]) -> dict[str, int]:
+    """Rows by status and rows of each table, in one job that shares their exchanges."""
+    every = status.groupBy(F.col("status").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    for name, table in tables.items():
+        every = every.unionByName(table.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n"))
+    return {row.name: row.n for row in every.collect()}
 
 
 def index_run(tables: dict[str, DataFrame], inputs: Inputs, now: str, full: bool = False, attribution: str = ATTRIBUTION_MODES[0], budget: float | None = None) -> Outcome:
@@ -70,7 +73,10 @@ def index_run(tables: dict[str, DataFrame], inputs: Inputs, now: str, full: bool
     dropped = shas.join(gone.union(done).withColumnRenamed("path", "source_path"), "source_path", "left_anti")
     new_shas = dropped.unionByName(inputs.files.join(done, "path", "left_semi").select(F.col("path").alias("source_path"), F.col("sha").alias("source_sha")))
 
-    counts = {r.status: r.n for r in diff.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
+    hints = unresolved_frontmatter(inputs.frontmatter, symbols).select(F.explode("symbols").alias("name"))
+    counts = _counted(diff, {
+        "asked": wanted, "done": done, "symbols": inputs.symbols, "claims": fresh, "unresolved": resolve_candidates(fresh, symbols)[1], "commits": inputs.commits, "hints": hints,
+    })
     used = usage_totals(inputs.usage).first() if inputs.usage is not None else None
     meta = {r.key: r.value for r in tables["meta"].collect()}
     changed = counts.get("changed", 0) + counts.get("added", 0)
@@ -82,12 +88,12 @@ def index_run(tables: dict[str, DataFrame], inputs: Inputs, now: str, full: bool
         "commits": inputs.commits, "file_commits": inputs.file_commits.dropDuplicates(),
         "meta": tables["meta"].sparkSession.createDataFrame([(k, v) for k, v in meta.items() if v], META),
     }
-    n_asked, n_done = wanted.count(), done.count()
+    n_asked, n_done = counts["asked"], counts["done"]
     if n_asked and not n_done:
         raise RuntimeError(f"none of {n_asked} documents could be extracted")
     counters = {
         "files_unchanged": counts.get("unchanged", 0), "files_extracted": changed, "files_failed": n_asked - n_done, "files_deleted": counts.get("deleted", 0),
-        "symbols_indexed": inputs.symbols.count(), "claims_written": fresh.count(), "unresolved_candidates": resolve_candidates(fresh, symbols)[1].count(), "unresolved_frontmatter_hints": _hints(inputs.frontmatter, symbols), "git_commits_indexed": inputs.commits.count(),
+        "symbols_indexed": counts["symbols"], "claims_written": counts["claims"], "unresolved_candidates": counts["unresolved"], "unresolved_frontmatter_hints": counts["hints"], "git_commits_indexed": counts["commits"],
         "extracted_at_sha": inputs.head_sha, "wall_clock_ms": int((time.monotonic() - began) * 1000),
         "input_tokens": used.input_tokens if used else 0, "output_tokens": used.output_tokens if used else 0, "cost_usd": used.cost_usd if used else 0.0,
         "over_budget": bool(used and budget is not None and used.cost_usd > budget), "modified": modified,
