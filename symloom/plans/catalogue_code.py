@@ -32,7 +32,11 @@ def _fill(template: str, **values: Column) -> Column:
     return out
 
 
-_KEY = F.col("p_partkey")
+
+def _key() -> Column:
+    return F.col("p_partkey")
+
+
 _ENDS = (".ts", ".tsx", ".py", ".pyi", ".go", ".md", "")
 _TOPS = ("src/", "node_modules/", "src/.git/", "a/dist/", "lib/distant/")
 _LANGUAGE = "CASE p_partkey % 7 WHEN 0 THEN 'typescript' WHEN 1 THEN 'typescript' WHEN 2 THEN 'python' WHEN 3 THEN 'python' WHEN 4 THEN 'go' END"
@@ -41,7 +45,7 @@ _LANGUAGE = "CASE p_partkey % 7 WHEN 0 THEN 'typescript' WHEN 1 THEN 'typescript
 @_query(f"""SELECT p_partkey, {_LANGUAGE} AS language, p_partkey % 5 IN (1, 2, 3) AS skipped, 'file:///repo/' || replace(p_name, ' ', '%20') || '.ts' AS uri,
   p_name || '.ts' AS below, p_partkey % 5 = 0 AS is_source FROM part""")
 def path_facts(spark: SparkSession, d: str) -> DataFrame:
-    path = F.concat(_pick(_KEY, *_TOPS), F.replace("p_name", F.lit(" "), F.lit("_")), _pick(_KEY, *_ENDS))
+    path = F.concat(_pick(_key(), *_TOPS), F.replace("p_name", F.lit(" "), F.lit("_")), _pick(_key(), *_ENDS))
     whole = F.concat(F.lit("/repo/"), F.col("p_name"), F.lit(".ts"))
     facts = _read(spark, d, "part").select("p_partkey", path.alias("path"), whole.alias("whole"))
     return facts.select("p_partkey", paths.language_of_path("path").alias("language"), paths.is_skipped("path").alias("skipped"), paths.file_uri("whole").alias("uri"), paths.relative_path("whole", "/repo").alias("below"), F.col("path").startswith("src/").__and__(~paths.is_skipped("path")).alias("is_source"))
@@ -54,9 +58,9 @@ _ID_SQL = """ids AS (SELECT p_partkey, ['ts', 'py', 'go'][p_partkey % 3 + 1] AS
 @_query(f"""WITH {_ID_SQL} SELECT p_partkey, 'sym:' || code || ':' || path || ':' || name AS id, 'ref:' || code || ':' || path || ':' || p_partkey AS ref, code, path, name,
   CASE code WHEN 'ts' THEN 'typescript' WHEN 'py' THEN 'python' ELSE 'go' END AS language, p_partkey % 6 NOT IN (1, 5) AS exported FROM ids""")
 def symbol_id_facts(spark: SparkSession, d: str) -> DataFrame:
-    code, name = _pick(_KEY, "ts", "py", "go"), _pick(_KEY, "Name", "_hidden", "Store.Get", "_own", "__init__", "Store.get")
-    path = F.when(_KEY % 3 == 2, F.concat(F.lit("pkg/"), F.col("p_size").cast("string"), F.lit(".go"))).otherwise(F.concat(F.lit("a:b/"), F.col("p_size").cast("string"), F.lit(".x")))
-    rows = _read(spark, d, "part").select("p_partkey", paths.symbol_id(code, path, name).alias("id"), paths.ref_id(code, path, _KEY).alias("ref"))
+    code, name = _pick(_key(), "ts", "py", "go"), _pick(_key(), "Name", "_hidden", "Store.Get", "_own", "__init__", "Store.get")
+    path = F.when(_key() % 3 == 2, F.concat(F.lit("pkg/"), F.col("p_size").cast("string"), F.lit(".go"))).otherwise(F.concat(F.lit("a:b/"), F.col("p_size").cast("string"), F.lit(".x")))
+    rows = _read(spark, d, "part").select("p_partkey", paths.symbol_id(code, path, name).alias("id"), paths.ref_id(code, path, _key()).alias("ref"))
     rows = rows.select("*", paths.parse_symbol_id("id").alias("s"), paths.language_of_id("id").alias("language"))
     return rows.select("p_partkey", "id", "ref", "s.*", "language", paths.exported("language", "s.name").alias("exported"))
 
@@ -89,7 +93,7 @@ _TS_SIGNATURE = "'class Part' || p_partkey || '<T extends Base<U>> extends ns.Ba
 
 
 def _ts(template: str) -> Column:
-    return _fill(template, n=_KEY, a=_KEY % 5, b=_KEY % 3)
+    return _fill(template, n=_key(), a=_key() % 5, b=_key() % 3)
 
 
 @_query(f"""SELECT p_partkey, 'class' AS kind, {_TS_SIGNATURE} AS signature, 'Base' || p_partkey % 5 AS extends, 'Shape,Thing' || p_partkey % 3 AS implements FROM part
@@ -105,8 +109,8 @@ def ts_declarations(spark: SparkSession, d: str) -> DataFrame:
 @_query("SELECT 'Base' || n AS target, 'Part' || p_partkey AS name FROM part JOIN (SELECT unnest(range(5)) AS n) ON p_partkey % 5 = n WHERE p_partkey % 2 = 0")
 def ts_direct_children(spark: SparkSession, d: str) -> DataFrame:
     """Candidates name the class itself or, where the key is odd, a class in between."""
-    declared = F.when(_KEY % 2 == 0, _fill("class Part{n} extends Base{a}", n=_KEY, a=_KEY % 5)).otherwise(_fill("class Part{n} extends Between{a}<Base{a}>", n=_KEY, a=_KEY % 5))
-    rows = _read(spark, d, "part").select(F.concat(F.lit("Base"), (_KEY % 5).cast("string")).alias("target"), F.concat(F.lit("Part"), _KEY.cast("string")).alias("name"), declared.alias("declaration"))
+    declared = F.when(_key() % 2 == 0, _fill("class Part{n} extends Base{a}", n=_key(), a=_key() % 5)).otherwise(_fill("class Part{n} extends Between{a}<Base{a}>", n=_key(), a=_key() % 5))
+    rows = _read(spark, d, "part").select(F.concat(F.lit("Base"), (_key() % 5).cast("string")).alias("target"), F.concat(F.lit("Part"), _key().cast("string")).alias("name"), declared.alias("declaration"))
     return types.direct_children(rows).select("target", "name")
 
 
@@ -134,7 +138,7 @@ _PY_LISTED = (("Shape{n}", 5, 2), ("Box{n}", 5, 6), ("area", 6, 7), ("a", 13, 7)
 
 
 def _py_files(spark: SparkSession, d: str) -> DataFrame:
-    return _read(spark, d, "part").select(_KEY.cast("string").alias("path"), _fill(_PY, n=_KEY, s=_KEY % 7).alias("text"))
+    return _read(spark, d, "part").select(_key().cast("string").alias("path"), _fill(_PY, n=_key(), s=_key() % 7).alias("text"))
 
 
 _PY_SQL = "py AS (SELECT CAST(p_partkey AS VARCHAR) AS path, p_partkey AS n, p_partkey % 7 AS s FROM part)"
@@ -203,10 +207,10 @@ def _go_tree(spark: SparkSession, d: str) -> DataFrame:
         return F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"), F.lit(detail).alias("detail"), F.lit(line).alias("line"))
 
     def node(order: int, name: str, kind: int, line: int, *children: Column) -> Column:
-        return F.struct(F.lit(order).alias("ord"), _fill(name, n=_KEY).alias("name"), F.lit(kind).alias("kind"), F.lit(line).alias("line"), F.array(*children).alias("children"))
+        return F.struct(F.lit(order).alias("ord"), _fill(name, n=_key()).alias("name"), F.lit(kind).alias("kind"), F.lit(line).alias("line"), F.array(*children).alias("children"))
 
     nodes = F.array(node(0, "Store{n}", 23, 1, child("Base", 8, "Base", 2), child("size", 8, "int", 3)), node(1, "Reader{n}", 11, 5, child("Read", 6, "func()", 6)))
-    return _read(spark, d, "part").select(_KEY.cast("string").alias("path"), F.inline(nodes))
+    return _read(spark, d, "part").select(_key().cast("string").alias("path"), F.inline(nodes))
 
 
 @_query(f"""WITH {_PY_SQL} SELECT path, 'Store' || n AS name, NULL AS parent, 'class' AS kind, 1 AS line FROM py UNION ALL
@@ -224,7 +228,7 @@ def go_embedded_types(spark: SparkSession, d: str) -> DataFrame:
 @_query(f"WITH {_PY_SQL} SELECT path, 'Store' || n || '.size' AS wanted, 8 AS kind, 3 AS line FROM py UNION ALL SELECT path, 'Reader' || n, 11, 5 FROM py")
 def go_lookup(spark: SparkSession, d: str) -> DataFrame:
     tree = _go_tree(spark, d)
-    wanted = _read(spark, d, "part").select(_KEY.cast("string").alias("path"), F.explode(F.array(_fill("Store{n}.size", n=_KEY), _fill("Reader{n}", n=_KEY), F.lit("None.such"))).alias("wanted"))
+    wanted = _read(spark, d, "part").select(_key().cast("string").alias("path"), F.explode(F.array(_fill("Store{n}.size", n=_key()), _fill("Reader{n}", n=_key()), F.lit("None.such"))).alias("wanted"))
     return types.find_go_symbol(tree, wanted)
 
 
@@ -256,15 +260,15 @@ _FRONT = "---\nid: {i}\ntitle: \"x\"\nsymbols:\n  - part {a}\n  - \"no {b}\"  #
 @_query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'DOC-' || p_partkey ELSE 'ADR-' || p_partkey END AS source, 'Body ' || p_partkey || chr(10) AS body,
   'part ' || p_partkey % 9 || ',no ' || p_partkey % 3 AS names FROM part""")
 def frontmatter_facts(spark: SparkSession, d: str) -> DataFrame:
-    path = _fill("docs/adr-{n}-choice.md", n=_KEY)
-    own = F.when(_KEY % 2 == 0, F.concat(F.lit("DOC-"), _KEY.cast("string"))).otherwise("")
-    rows = _read(spark, d, "part").select("p_partkey", path.alias("path"), _fill(_FRONT, i=own, a=_KEY % 9, b=_KEY % 3, n=_KEY).alias("text"))
+    path = _fill("docs/adr-{n}-choice.md", n=_key())
+    own = F.when(_key() % 2 == 0, F.concat(F.lit("DOC-"), _key().cast("string"))).otherwise("")
+    rows = _read(spark, d, "part").select("p_partkey", path.alias("path"), _fill(_FRONT, i=own, a=_key() % 9, b=_key() % 3, n=_key()).alias("text"))
     return rows.select("p_partkey", text.source_name("path", "text").alias("source"), text.strip_frontmatter("text").alias("body"), F.array_join(frontmatter_symbols_of("text"), ",").alias("names"))
 
 
 @_query("SELECT 'doc' || p_partkey AS source_path, CASE WHEN p_partkey % 9 IN (SELECT p_partkey FROM part) THEN '' ELSE 'part ' || p_partkey % 9 || ',' END || 'no ' || p_partkey % 3 AS symbols FROM part")
 def frontmatter_unresolved(spark: SparkSession, d: str) -> DataFrame:
     part = _read(spark, d, "part")
-    front = part.select(F.concat(F.lit("doc"), _KEY.cast("string")).alias("source_path"), F.array(_fill("part {a}", a=_KEY % 9), _fill("no {b}", b=_KEY % 3)).alias("symbols"))
-    known = part.select(_fill("part {n}", n=_KEY).alias("name"))
+    front = part.select(F.concat(F.lit("doc"), _key().cast("string")).alias("source_path"), F.array(_fill("part {a}", a=_key() % 9), _fill("no {b}", b=_key() % 3)).alias("symbols"))
+    known = part.select(_fill("part {n}", n=_key()).alias("name"))
     return unresolved_frontmatter(front, known).withColumn("symbols", F.array_join("symbols", ","))
