@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from symloom.functions.text import ACCENTED, FOLDED, TOKEN_BREAK, dual_form, fold_text, query_words, sanitize_query, tokens
+from symloom.functions.text import TOKEN_BREAK, dual_form, fold, fold_text, query_words, sanitize_query, tokens
 
 # The published constants, and the weight of terms in half the rows or more.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -29,12 +29,20 @@ def phrases(query: str) -> list[list[str]]:
     return [] if not words else [words] if len(words) == 1 else [words, *[[w] for w in words]]
 
 
+def _parted(text: Column) -> Column:
+    """The folded text with two spaces between its tokens."""
+    return F.trim(F.regexp_replace(fold(text), TOKEN_BREAK, "  "))
+
+
 def spaced(text: Column | str) -> Column:
-    """The tokens of the dual form, each with a space before and after it: plain text search finds phrases."""
-    column = F.col(text) if isinstance(text, str) else text
-    low = F.lower(dual_form(column))
-    folded = F.when(F.octet_length(column) == F.length(column), low).otherwise(F.translate(low, ACCENTED, FOLDED))
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(folded, TOKEN_BREAK, "  ")), F.lit(" "))
+    """The tokens of the dual form, each with a space before and after it: plain text search finds phrases.
+
+    Both halves of the dual form are equal where nothing joins words, so it is parted once.
+    """
+    column = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    joined = column.contains("_") | column.contains("-")
+    twice = F.trim(F.repeat(F.concat(_parted(column), F.lit("  ")), F.lit(2)))
+    return F.concat(F.lit(" "), F.when(joined, _parted(dual_form(column))).otherwise(twice), F.lit(" "))
 
 
 def n_tokens(spaced_text: Column) -> Column:
