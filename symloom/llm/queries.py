@@ -13,6 +13,7 @@ from symloom.llm.exact_dedup import exact_dedup
 from symloom.llm.html_extract import extract_text
 from symloom.llm.language_id import language_id
 from symloom.llm.line_dedup import line_dedup
+from symloom.llm.merkle_manifest import manifest, proofs, tampered_leaf
 from symloom.llm.minhash_dedup import near_dedup
 from symloom.llm.sharding import assign_shards, lookup_table
 from symloom.llm.substring_dedup import repeated_passages
@@ -83,6 +84,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir), keep="largest")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proofs(manifest(_documents(spark, sf_dir), changed=tampered_leaf()))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_minhash_dedup": op2_minhash_dedup,
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 _STRIP = r"'^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'"
@@ -147,7 +153,61 @@ SELECT doc_id, slot, CAST(([{",".join(map(str, table))}])[slot + 1] AS BIGINT) A
 FROM (SELECT doc_id, {hashed} % {len(table)} AS slot FROM documents)"""
 
 
+def _merkle_sql() -> str:
+    """Trees as lists that shrink level by level; a proof is followed level by level, with a bitwise CRC-32."""
+    shift = "CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END"
+    steps = ", ".join(f"s{k} AS (SELECT b, {shift} AS c FROM s{k - 1})" for k in range(1, 9))
+    framed = " || ".join(f"CASE WHEN {f} IS NULL THEN '-' ELSE CAST(strlen(CAST({f} AS VARCHAR)) AS VARCHAR) || ':' || CAST({f} AS VARCHAR) END" for f in ("doc_id", "source", "lang", "n_chars", "{t}"))
+    of = lambda text: "sha256(" + framed.replace("{t}", text) + ")"
+    run = "list_slice(hs, (i // 3) * 3 + 1, least((i // 3) * 3 + 3, len(hs)))"
+    return f"""
+WITH RECURSIVE s0 AS (SELECT range AS b, range AS c FROM range(256)), {steps},
+crc_table AS (SELECT list(c ORDER BY b) AS t FROM s8),
+crc(doc_id, p, c) AS (
+  SELECT DISTINCT doc_id, 0, 4294967295::BIGINT FROM documents
+  UNION ALL
+  SELECT doc_id, p + 1, xor(c >> 8, t[xor(c & 255, ascii(substr(CAST(doc_id AS VARCHAR), p + 1, 1))) + 1])
+  FROM crc, crc_table WHERE p < length(CAST(doc_id AS VARCHAR))
+), hit AS (
+  SELECT doc_id, xor(c, 4294967295::BIGINT) % 2 = 0 AS hit FROM crc WHERE p = length(CAST(doc_id AS VARCHAR))
+), leaves AS (
+  SELECT d.doc_id, d.source, {of("text")} AS leaf, CASE WHEN hit THEN {of("replace(text, chr(10), '')")} ELSE {of("text")} END AS changed,
+         row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) - 1 AS i
+  FROM documents d JOIN hit USING (doc_id)
+), levels(source, k, hs) AS (
+  SELECT source, 0, list(leaf ORDER BY i) FROM leaves GROUP BY source
+  UNION ALL
+  SELECT source, k + 1, list_transform(range(0, (len(hs) + 2) // 3), lambda j: sha256(array_to_string(list_slice(hs, j * 3 + 1, least(j * 3 + 3, len(hs))), '')))
+  FROM levels WHERE len(hs) > 1
+), subroots AS (
+  SELECT source, hs[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i FROM levels WHERE len(hs) = 1
+), tops(k, hs) AS (
+  SELECT 0, list(subroot ORDER BY i) FROM subroots
+  UNION ALL
+  SELECT k + 1, list_transform(range(0, (len(hs) + 2) // 3), lambda j: sha256(array_to_string(list_slice(hs, j * 3 + 1, least(j * 3 + 3, len(hs))), '')))
+  FROM tops WHERE len(hs) > 1
+), heights AS (SELECT source, max(k) AS h FROM levels GROUP BY source),
+sides AS (
+  SELECT doc_id, k, array_to_string(list_slice(hs, j - j % 3 + 1, j), '') AS l, array_to_string(list_slice(hs, j + 2, least(j - j % 3 + 3, len(hs))), '') AS r
+  FROM (SELECT x.doc_id, v.k, v.hs, x.i // CAST(power(3, v.k) AS BIGINT) AS j FROM leaves x JOIN levels v ON v.source IS NOT DISTINCT FROM x.source WHERE len(v.hs) > 1)
+  UNION ALL
+  SELECT doc_id, k, array_to_string(list_slice(hs, j - j % 3 + 1, j), ''), array_to_string(list_slice(hs, j + 2, least(j - j % 3 + 3, len(hs))), '')
+  FROM (SELECT x.doc_id, e.h + v.k AS k, v.hs, s.i // CAST(power(3, v.k) AS BIGINT) AS j
+        FROM leaves x JOIN subroots s ON s.source IS NOT DISTINCT FROM x.source JOIN heights e ON e.source IS NOT DISTINCT FROM x.source, tops v WHERE len(v.hs) > 1)
+), proofs AS (
+  SELECT doc_id, sha256(string_agg(l || r, '' ORDER BY k)) AS proof_sha256, list(l ORDER BY k) AS ls, list(r ORDER BY k) AS rs FROM sides GROUP BY doc_id
+), climb(doc_id, k, h, ls, rs) AS (
+  SELECT x.doc_id, 0, changed, ls, rs FROM leaves x JOIN proofs USING (doc_id)
+  UNION ALL
+  SELECT doc_id, k + 1, sha256(ls[k + 1] || h || rs[k + 1]), ls, rs FROM climb WHERE k < len(ls)
+)
+SELECT x.doc_id, x.leaf, s.subroot, t.hs[1] AS root, p.proof_sha256, c.h AS folded_root, c.h = t.hs[1] AS verified
+FROM leaves x JOIN subroots s ON s.source IS NOT DISTINCT FROM x.source JOIN proofs p USING (doc_id)
+JOIN climb c ON c.doc_id = x.doc_id AND c.k = len(c.ls), (SELECT hs FROM tops WHERE len(hs) = 1) t"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_merkle_manifest": _merkle_sql(),
     "op2_minhash_dedup": _near_sql(),
     "op3_line_dedup": _line_sql(),
     "op7_sharding": _shard_sql(),
