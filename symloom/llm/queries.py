@@ -15,6 +15,7 @@ from symloom.llm.language_id import language_id
 from symloom.llm.line_dedup import line_dedup
 from symloom.llm.merkle_manifest import manifest, proofs, tampered_leaf
 from symloom.llm.minhash_dedup import near_dedup
+from symloom.llm.ranked_search import ranked_search
 from symloom.llm.sharding import assign_shards, lookup_table
 from symloom.llm.substring_dedup import repeated_passages
 from symloom.llm.token_counts import token_counts
@@ -88,6 +89,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proofs(manifest(_documents(spark, sf_dir), changed=tampered_leaf()))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_minhash_dedup": op2_minhash_dedup,
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 _STRIP = r"'^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'"
@@ -206,7 +212,30 @@ FROM leaves x JOIN subroots s ON s.source IS NOT DISTINCT FROM x.source JOIN pro
 JOIN climb c ON c.doc_id = x.doc_id AND c.k = len(c.ls), (SELECT hs FROM tops WHERE len(hs) = 1) t"""
 
 
+def _ranked_sql() -> str:
+    terms = f"unnest(regexp_extract_all(translate(text, {_LOWER}), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))"
+    return f"""
+WITH tf AS (
+  SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, {terms} AS term FROM documents) GROUP BY doc_id, term
+), lengths AS (
+  SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY doc_id
+), whole AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM lengths
+), wanted AS (
+  SELECT DISTINCT item_id, {terms} AS term FROM benchmark
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM tf, whole WHERE term IN (SELECT term FROM wanted) GROUP BY term
+), scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total)))) AS BIGINT) AS score
+  FROM wanted JOIN weights USING (term) JOIN tf USING (term) JOIN lengths USING (doc_id), whole GROUP BY item_id, doc_id
+)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored WHERE score > 0) WHERE rank <= 10"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_ranked_search": _ranked_sql(),
     "op11_merkle_manifest": _merkle_sql(),
     "op2_minhash_dedup": _near_sql(),
     "op3_line_dedup": _line_sql(),
