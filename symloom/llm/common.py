@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +51,39 @@ def _schema_after(df: DataFrame, partition_by: tuple[str, ...]):
     return StructType(own + [df.schema[c] for c in partition_by])
 
 
+class Scratch:
+    """Written tables of one operator, dropped as soon as the next step is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._paths = spark, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        with shuffles_removed(self.spark):
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        back = self.spark.read.schema(_schema_after(df, ())).parquet(path)
+        self._paths[id(back)] = (path, back)
+        return back
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            path, _ = self._paths.pop(id(table))
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffle files of a query go when the query ends and not when the driver collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast only where ``rows * row_bytes`` was counted to stay within ``limit``."""
     return F.broadcast(df) if rows * row_bytes <= limit else df

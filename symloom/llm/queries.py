@@ -18,6 +18,7 @@ from symloom.llm.minhash_dedup import near_dedup
 from symloom.llm.ranked_search import ranked_search
 from symloom.llm.sharding import assign_shards, lookup_table
 from symloom.llm.substring_dedup import repeated_passages
+from symloom.llm.suffix_dedup import suffix_dedup
 from symloom.llm.token_counts import token_counts
 from symloom.llm.worker import bound_batches
 from symloom.session import ship_package
@@ -89,6 +90,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proofs(manifest(_documents(spark, sf_dir), changed=tampered_leaf()))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_documents(spark, sf_dir))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"), k=10)
 
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_ranked_search": op13_ranked_search,
 }
 
