@@ -344,18 +344,21 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", min_bytes: int = MIN
     scratch = Scratch(docs.sparkSession)
     texts = docs.select(*text_key(text_col), text_or_empty(text_col).alias("body")).where(F.octet_length("body") >= min_bytes)
     found = scratch.write(texts.mapInArrow(_anchored(min_bytes, gram), _STRETCH), "suffix-stretches")
+    # Counts are written before they are joined: the exchanges of a join of written tables can be split where a key is hot.
     twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("ctx") == F.max("ctx")).alias("same")).where("n > 1").select("anchor", "same")
+    twice = scratch.write(twice, "suffix-twice")
     shared = scratch.write(found.join(twice, "anchor"), "suffix-shared")
-    scratch.drop(found)
+    scratch.drop(found, twice)
     mixed = shared.where("NOT same")
     kinds = mixed.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t1", "t2", "lo")).alias("rep"))
+    kinds = scratch.write(kinds, "suffix-kinds")
     told = mixed.join(kinds, ["anchor", "ctx"]).select("anchor", "t1", "t2", "lo", "shape", (F.col("n") > 1).alias("covered"), (F.struct("t1", "t2", "lo") == F.col("rep")).alias("wanted"))
     told = told.unionByName(shared.where("same").select("anchor", "t1", "t2", "lo", "shape", F.lit(True).alias("covered"), F.lit(False).alias("wanted")))
     by_text = told.where("covered OR wanted").groupBy("t1", "t2").agg(F.collect_set(F.struct("anchor", "lo", "shape", "covered", "wanted")).alias("entries"))
     one = texts.groupBy("t1", "t2").agg(F.first("body").alias("body"))  # copies are one text before the shuffle
     touched = one.join(by_text, ["t1", "t2"]).select("t1", "t2", F.col("body").cast("binary").alias("body"), "entries")
     candidates = scratch.write(touched.mapInArrow(_cut(min_bytes), _CANDIDATE), "suffix-candidates")
-    scratch.drop(shared)
+    scratch.drop(shared, kinds)
     pending = candidates.select("t1", "t2", F.explode("parts").alias("p")).select("p.key", "t1", "t2", "p.lo", "p.at", "p.body", F.lit(0).alias("x"), F.lit(min_bytes - gram + 1).alias("y"))
     cool, spans = _settled_halves(pending, scratch, min_bytes, few)
     met = cool.select("key", "t1", "t2", "lo", "body").repartition("key").sortWithinPartitions("key")
