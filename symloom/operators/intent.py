@@ -9,23 +9,26 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from symloom.functions.text import DEFAULT_MATCHES, match_limit, name_overlap, overfetch, sanitize_query, severity_rank
+from symloom.operators.segments import SegmentIndex
 from symloom.operators.textindex import score
 
 CLAIM_FIELDS = ("claim", "rationale", "excerpt")
 
 
-def find_by_intent(claims: DataFrame, claim_symbols: DataFrame, symbols: DataFrame, query: str, limit: int = DEFAULT_MATCHES, fields: Sequence[str] = CLAIM_FIELDS) -> DataFrame:
+def find_by_intent(claims: DataFrame, claim_symbols: DataFrame, symbols: DataFrame, query: str, limit: int = DEFAULT_MATCHES, fields: Sequence[str] = CLAIM_FIELDS, index: SegmentIndex | None = None) -> DataFrame:
     """The best symbols for a query, each with its best claim; ``rank`` counts from 1.
 
     Claims are cut to 5 times the limit (200 at most) before they meet symbols,
     so claims without symbols take up places.  A symbol keeps the claim of best
     score, whatever its severity.  Order: score, words of the query in the
-    symbol's name, severity, source, claim, symbol.
+    symbol's name, severity, source, claim, symbol.  An ``index`` over the fields
+    of the claims finds the same claims without reading all.
     """
     if not query.strip() or limit < 1:
         raise ValueError("a query needs words and a limit of 1 or more")
     wanted = match_limit(limit)
-    best = score(claims, query, "claim_id", fields).orderBy("bm25", "id").limit(overfetch(limit)).withColumnRenamed("id", "claim_id")
+    scored = score(claims, query, "claim_id", fields).orderBy("bm25", "id").limit(overfetch(limit)) if index is None else index.top(query, overfetch(limit))
+    best = scored.withColumnRenamed("id", "claim_id")
     text = claims.select("claim_id", "source", "severity", "claim", "rationale", "excerpt")
     linked = F.broadcast(best).join(text, "claim_id").join(claim_symbols.distinct(), "claim_id")  # at most 200 claims
     first = W.partitionBy("symbol_id").orderBy("bm25", "claim_id")
