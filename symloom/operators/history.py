@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 #: Threshold of a hot file and length of a list of recent commits: one setting.
 RECENT = 5
 CO_CHANGE_LIMIT = 5
+#: Files of a commit beyond which its pairs are not counted one by one.
+LARGE = 256
+#: Classes of a large commit that all of its classes meet first.
+LEADERS = 8
 
 
 def pivot_files(commits: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -47,16 +51,20 @@ def file_activity(commits: DataFrame, file_commits: DataFrame, n: int = RECENT)
     return out.select("file_path", "commit_count", "last_touched", F.col("a.author_email").alias("last_author"), (F.col("commit_count") >= n).alias("hot"))
 
 
+def _fitting(file_commits: DataFrame, max_files: int | None) -> DataFrame:
+    if max_files is None:
+        return file_commits
+    fit = file_commits.groupBy("commit_sha").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= max_files).select("commit_sha")
+    return file_commits.join(fit, "commit_sha", "left_semi")
+
+
 def co_change_pairs(file_commits: DataFrame, file_path=None, max_files: int | None = None) -> DataFrame:
     """(file_path, other_path, commits) for pairs of files with a commit in common.
 
     ``file_path`` (a path, or a DataFrame of them) restricts the left side before
     the join.  Pairs grow with the square of a commit's files; ``max_files`` (off by default) leaves out larger commits.
     """
-    own = file_commits.dropDuplicates()
-    if max_files is not None:
-        fit = own.groupBy("commit_sha").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= max_files).select("commit_sha")
-        own = own.join(fit, "commit_sha", "left_semi")
+    own = _fitting(file_commits.dropDuplicates(), max_files)
     if isinstance(file_path, DataFrame):
         left = own.join(file_path.select("file_path").distinct(), "file_path", "left_semi")
     else:
@@ -66,10 +74,82 @@ def co_change_pairs(file_commits: DataFrame, file_path=None, max_files: int | No
     return both.groupBy("file_path", "other_path").agg(F.count(F.lit(1)).alias("commits"))
 
 
-def co_change_top(file_commits: DataFrame, file_path=None, limit: int = CO_CHANGE_LIMIT, max_files: int | None = None) -> DataFrame:
-    """The files that most often change with a file (or with each file), ties by path."""
-    pairs = co_change_pairs(file_commits, file_path, max_files)
+def co_change_top(file_commits: DataFrame, file_path=None, limit: int = CO_CHANGE_LIMIT, max_files: int | None = None, large: int = LARGE) -> DataFrame:
+    """The files that most often change with a file (or with each file), ties by path.
+
+    For one file its pairs are counted.  For many, commits of more than ``large``
+    files are not paired out, and the result is still that of all pairs: see ``co_change_candidates``.
+    """
     if file_path is not None and not isinstance(file_path, DataFrame):
-        return pairs.orderBy(F.desc("commits"), "other_path").limit(limit)
+        return co_change_pairs(file_commits, file_path, max_files).orderBy(F.desc("commits"), "other_path").limit(limit)
     order = W.partitionBy("file_path").orderBy(F.desc("commits"), "other_path")
+    pairs = co_change_candidates(file_commits, file_path, limit, max_files, large)
     return pairs.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= limit)
+
+
+def co_change_candidates(file_commits: DataFrame, file_path: DataFrame | None, limit: int, max_files: int | None = None, large: int = LARGE) -> DataFrame:
+    """(file_path, other_path, commits) that holds the best ``limit`` partners of each file, with exact counts.
+
+    Pairs are counted in commits of up to ``large`` files.  The larger commits of a
+    file are its signature, and files with one signature are a class.  What two files
+    share in large commits is what their classes share.  Of partners that share
+    nothing else, a class offers its first paths only, as the others count the same
+    and come later; so each class gets one list of the best offers, which holds for
+    all of its files, and a commit of n files costs rows in proportion to n.
+    """
+    own = _fitting(file_commits.dropDuplicates(), max_files)
+    sizes = own.groupBy("commit_sha").agg(F.count(F.lit(1)).alias("n"))
+    huge = sizes.where(F.col("n") > large).select("commit_sha")
+    if huge.isEmpty():
+        return co_change_pairs(own, file_path)
+    small, big = own.join(huge, "commit_sha", "left_anti"), own.join(huge, "commit_sha", "left_semi")
+    signed = big.groupBy("file_path").agg(F.sort_array(F.collect_set("commit_sha")).alias("signature"))
+    signed = signed.withColumn("class", F.md5(F.to_json("signature")))
+    classes = signed.groupBy("class").agg(F.first("signature").alias("signature"))
+    first = W.partitionBy("class").orderBy("file_path")
+    heads = signed.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= limit + 1).select("class", F.col("file_path").alias("other_path"))
+    offers = _offers(classes, heads, limit + 1)
+    wanted = signed.select("file_path", "class")
+    if file_path is not None:
+        wanted = wanted.join(file_path.select("file_path").distinct(), "file_path", "left_semi")
+    offered = wanted.join(offers, "class").where("file_path <> other_path").select("file_path", "other_path", "commits")
+
+    pairs = co_change_pairs(small, file_path)
+    classed = pairs.join(signed.select("file_path", "class"), "file_path", "left").join(signed.select(F.col("file_path").alias("other_path"), F.col("class").alias("other")), "other_path", "left")
+    shared = _shared(classed.where("class IS NOT NULL AND other IS NOT NULL").select("class", "other").distinct(), classes)
+    whole = classed.join(shared, ["class", "other"], "left").select("file_path", "other_path", (F.col("commits") + F.coalesce("common", F.lit(0))).alias("commits"))
+    # An offer that has small commits in common too is among the pairs, with its whole count.
+    return whole.unionByName(offered).groupBy("file_path", "other_path").agg(F.max("commits").alias("commits"))
+
+
+def _shared(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, other, common) for pairs of classes: how many large commits they share."""
+    left, right = classes.withColumnRenamed("signature", "__a"), classes.select(F.col("class").alias("other"), F.col("signature").alias("__b"))
+    return pairs.join(left, "class").join(right, "other").select("class", "other", F.size(F.array_intersect("__a", "__b")).cast("long").alias("common"))
+
+
+def _offers(classes: DataFrame, heads: DataFrame, n: int) -> DataFrame:
+    """(class, other_path, commits): the best ``n`` partners of each class by large commits alone.
+
+    A first round meets the ``LEADERS`` classes with the most commits in each commit
+    and gives a mark: the n-th best count so far.  To share as many, another class has
+    to hold one of a class's rarest commits, all but (mark - 1) of them; only those
+    are joined.
+    """
+    members = classes.select("class", F.size("signature").alias("size"), F.explode("signature").alias("commit_sha"))
+    spread = members.groupBy("commit_sha").agg(F.count(F.lit(1)).alias("spread"))
+    by_size = W.partitionBy("commit_sha").orderBy(F.desc("size"), "class")
+    leaders = members.withColumn("__n", F.row_number().over(by_size)).where(F.col("__n") <= LEADERS).select("commit_sha", F.col("class").alias("other"))
+    ranked = W.partitionBy("class").orderBy(F.desc("commits"), "other_path")
+
+    def best(pairs: DataFrame) -> DataFrame:
+        told = _shared(pairs, classes).join(heads.withColumnRenamed("class", "other"), "other")
+        return told.select("class", "other_path", F.col("common").alias("commits")).withColumn("__n", F.row_number().over(ranked)).where(F.col("__n") <= n)
+
+    early = best(members.select("class", "commit_sha").join(leaders, "commit_sha").select("class", "other").distinct())
+    mark = early.groupBy("class").agg(F.when(F.count(F.lit(1)) == n, F.min("commits")).otherwise(1).alias("mark"))
+    rare = W.partitionBy("class").orderBy("spread", "commit_sha")
+    prefix = members.join(spread, "commit_sha").withColumn("__n", F.row_number().over(rare)).join(mark, "class").where(F.col("__n") <= F.col("size") - F.col("mark") + 1)
+    others = members.select(F.col("class").alias("other"), F.col("size").alias("other_size"), "commit_sha")
+    later = prefix.select("class", "mark", "commit_sha").join(others, "commit_sha").where(F.col("other_size") >= F.col("mark"))
+    return best(later.select("class", "other").distinct()).drop("__n")

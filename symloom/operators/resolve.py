@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +13,8 @@ from pyspark.sql import functions as F
 from symloom.functions.text import MAX_BATCH
 
 ATTRIBUTION_MODES = ("drop-with-fallback", "drop")
+#: Lines of a block in which positions and ranges meet.
+BLOCK_LINES = 512
 
 
 def request_inputs(requests: list[str]) -> list[tuple[int, str]]:
@@ -98,15 +104,57 @@ def frontmatter_warning(source_path: Column, names: Column) -> Column:
     return F.concat(F.lit("warning: "), source_path, F.lit(": frontmatter names unknown symbols: "), F.array_join(names, ", "))
 
 
-def enclosing_symbols(positions: DataFrame, ranges: DataFrame) -> DataFrame:
+def dealt_ranges(positions: DataFrame, ranges: DataFrame, lines: int = BLOCK_LINES) -> DataFrame:
+    """``ranges`` with ``block``: each once for every block of lines that it meets and that has positions.
+
+    A range inside a block is one row; one that reaches over blocks is open in all
+    that it crosses, and of nested ranges at most the depth are open at any place.
+    """
+    block = lambda line: F.floor(F.col(line) / lines).cast("long")
+    filled = positions.groupBy("path").agg(F.sort_array(F.collect_set(block("line"))).alias("blocks"))
+    met = F.filter("blocks", lambda b: (b >= block("start_line")) & (b <= block("end_line")))
+    return ranges.join(filled, "path").withColumn("block", F.explode(met)).drop("blocks")
+
+
+def enclosing_symbols(positions: DataFrame, ranges: DataFrame, lines: int = BLOCK_LINES) -> DataFrame:
     """The innermost range (path, symbol_id, depth, start/end line and character) around each position (path, line, character).
 
-    The join is by path, with the containment as its condition.
+    A sweep: ranges and positions are sorted by place within a path and block of
+    lines, ranges are opened as they come, and a position is told the deepest one
+    that is open; of equally deep ones the last begun, then the smallest symbol.
+    Time and rows are in proportion to positions and ranges, not to their product.
+    Ranges may overlap in any way.  Positions and ranges without a path or place are
+    not told; repeated positions are one.
     """
-    at, low, high = (F.struct(F.col(a).alias("l"), F.col(b).alias("c")) for a, b in (("line", "character"), ("start_line", "start_character"), ("end_line", "end_character")))
-    inside = positions.join(ranges, "path").where((at >= low) & (at <= high))
-    order = W.partitionBy("path", "line", "character").orderBy(F.col("depth").desc(), F.col("start_line").desc(), F.col("start_character").desc(), "symbol_id")
-    return inside.withColumn("__n", F.row_number().over(order).cast("long")).where("__n = 1").select("path", "line", "character", "symbol_id")
+    at = positions.select("path", "line", "character").distinct()
+    none = {c: F.lit(None).cast(t) for c, t in (("symbol_id", "string"), ("depth", "int"), ("end_line", "int"), ("end_character", "int"))}
+    asked = at.select("path", F.floor(F.col("line") / lines).cast("long").alias("block"), "line", "character", *[c.alias(n) for n, c in none.items()])
+    opened = dealt_ranges(at, ranges, lines).select("path", "block", F.col("start_line").alias("line"), F.col("start_character").alias("character"), "symbol_id", "depth", "end_line", "end_character")
+    every = opened.where("symbol_id IS NOT NULL").unionByName(asked).where("path IS NOT NULL AND line IS NOT NULL AND character IS NOT NULL")
+    dealt = every.repartition("path", "block").sortWithinPartitions("path", "block", "line", "character", F.col("symbol_id").isNull())
+    return dealt.selectExpr("path", "block", "CAST(line AS long) line", "CAST(character AS long) character", "symbol_id", "CAST(depth AS long) depth", "CAST(end_line AS long) end_line", "CAST(end_character AS long) end_character").mapInArrow(_sweep, "path string, line long, character long, symbol_id string").select(
+        "path", *[F.col(c).cast(at.schema[c].dataType).alias(c) for c in ("line", "character")], "symbol_id",
+    )
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by path, block and place: those with a symbol open a range, the others ask."""
+    schema = pa.schema([("path", pa.string()), ("line", pa.int64()), ("character", pa.int64()), ("symbol_id", pa.string())])
+    group, is_open = None, []
+    for batch in batches:
+        told = []
+        for path, block, line, character, symbol, depth, end_line, end_character in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if group != (path, block):
+                group, is_open = (path, block), []
+            if symbol is not None:
+                heapq.heappush(is_open, (-depth, -line, -character, symbol, end_line, end_character))
+                continue
+            while is_open and is_open[0][4:] < (line, character):  # over before this place
+                heapq.heappop(is_open)
+            if is_open:
+                told.append((path, line, character, is_open[0][3]))
+        columns = list(zip(*told, strict=True)) if told else [[], [], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def used_by_types(bases: DataFrame) -> DataFrame:

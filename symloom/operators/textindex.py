@@ -1,8 +1,8 @@
 """Ranked text search: BM25 over identifier-aware tokens, with the whole query as one more phrase.
 
-Two ways to the same scores.  ``score`` scans a corpus once for one query and
-needs no index: terms are counted inside each row by plain text search, so the
-only exchange is the one-row corpus statistics.  ``build_index`` writes postings
+Two ways to the same scores, and ``segments`` as a third.  ``score`` scans a corpus
+once for one query and needs no index: terms are counted inside each row by plain
+text search, the counts are written, and statistics and scores are taken from them.  ``build_index`` writes postings
 (term, id, field, positions) clustered by term for batches of queries;
 ``search`` then reads the terms asked for only.
 """
@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from symloom.functions.text import TOKEN_BREAK, dual_form, fold, fold_text, query_words, sanitize_query, tokens
+from symloom.sources.folders import shared_folder
 
 # The published constants, and the weight of terms in half the rows or more.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -90,12 +91,20 @@ def score(corpus: DataFrame, query: str, id_col: str, fields: Sequence[str]) ->
     toks = [F.col(f"__t{i}") for i in range(len(fields))]
     rows = _once(corpus, F.col(id_col).alias("id"), *[spaced(f).alias(f"__t{i}") for i, f in enumerate(fields)])
     counted = _once(rows, F.col("id"), sum((n_tokens(t) for t in toks), F.lit(0)).cast("double").alias("dl"), *[sum((occurrences(t, p) for t in toks), F.lit(0)).cast("double").alias(f"tf{k}") for k, p in enumerate(terms)])
+    counted = _stored(counted)
     stats = counted.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("mean"), *[F.count_if(F.col(f"tf{k}") > 0).cast("double").alias(f"df{k}") for k in range(len(terms))])
     matching = counted.where(sum((F.col(f"tf{k}") for k in range(len(terms))), F.lit(0)) > 0)
     total = sum((idf(F.col("n"), F.col(f"df{k}")) * weight(F.col(f"tf{k}"), F.col("dl"), F.col("mean")) for k in range(len(terms))), F.lit(0.0))
     return matching.join(F.broadcast(stats)).select("id", F.round(-total, DIGITS).alias("bm25"))  # one row of statistics
 
 
+def _stored(counted: DataFrame) -> DataFrame:
+    """A few numbers for each row, written so that the texts are read once."""
+    path = shared_folder(counted.sparkSession, "counted")
+    counted.write.parquet(path)
+    return counted.sparkSession.read.schema(counted.schema).parquet(path)
+
+
 def _once(df: DataFrame, key: Column, *columns: Column) -> DataFrame:
     """``select`` whose costly columns are computed once for each row.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Separates sha, date, author and subject in a header.
 FIELD = "\x1f"
 #: What produces such a text.
-COMMAND = ("git", "log", "-500", "--no-merges", f"--pretty=%H{FIELD}%aI{FIELD}%ae{FIELD}%s", "--name-only")
+COMMAND = ("git", "log", "-500", "--no-merges", f"--pretty=format:%H{FIELD}%aI{FIELD}%ae{FIELD}%s", "--name-only")
 
 
 def parse_git_log(logs: DataFrame, text: Column | str = "value") -> DataFrame:
