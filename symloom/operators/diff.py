@@ -58,18 +58,33 @@ def delete_symbols_by_path(symbols: DataFrame, claim_symbols: DataFrame, paths:
     return kept, claim_symbols.join(kept.select(F.col("id").alias("symbol_id")), "symbol_id", "left_semi")
 
 
-def insert_claims(claims: DataFrame, claim_symbols: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Append claims (with ``ordinal`` and ``symbol_ids``), numbered on by (source_path, ordinal).
+def _begins(sizes: DataFrame, column: str, ranges: int = _RANGES) -> list[str]:
+    """Values that cut a column of texts into about equal ranges: at most ``ranges`` of them."""
+    dealt = sizes.select(column).repartitionByRange(ranges, column).groupBy(F.spark_partition_id()).agg(F.min(column).alias("begin"))
+    return sorted(r.begin for r in dealt.collect())[1:]
+
 
-    Numbers come from per-path offsets, so no single task sorts all new claims:
-    counts by path are summed over the paths, and rows are numbered within theirs.
+def numbered_claims(claims: DataFrame, new: DataFrame) -> DataFrame:
+    """``new`` (source_path, ordinal, claim, ...) with ``claim_id``, numbered on from ``claims`` by (source_path, ordinal).
+
+    No task sorts all new claims or all paths: rows are numbered within their path,
+    paths are summed up within ranges of them, and ranges over each other.
     """
     top = claims.agg(F.coalesce(F.max("claim_id"), F.lit(0)).alias("top"))
     sizes = new.groupBy("source_path").agg(F.count(F.lit(1)).alias("n"))
-    before = W.orderBy("source_path").rowsBetween(W.unboundedPreceding, -1)  # one row for each path
-    offsets = sizes.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    part = sum((F.when(F.col("source_path") >= F.lit(b), 1).otherwise(0) for b in _begins(sizes, "source_path")), F.lit(0))
+    sizes = sizes.withColumn("part", part)
+    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row for each range
+    ranges = sizes.groupBy("part").agg(F.sum("n").alias("total")).select("part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("skipped"))
+    before = W.partitionBy("part").orderBy("source_path").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.join(F.broadcast(ranges), "part").select("source_path", (F.col("skipped") + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("offset"))
     within = F.row_number().over(W.partitionBy("source_path").orderBy("ordinal", "claim"))
-    rows = new.join(offsets, "source_path").join(F.broadcast(top)).withColumn("claim_id", F.col("top") + F.col("offset") + within)
+    return new.join(offsets, "source_path").join(F.broadcast(top)).withColumn("claim_id", F.col("top") + F.col("offset") + within).drop("top", "offset")
+
+
+def insert_claims(claims: DataFrame, claim_symbols: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Append claims (with ``ordinal`` and ``symbol_ids``), numbered by ``numbered_claims``."""
+    rows = numbered_claims(claims, new)
     links = rows.select("claim_id", F.explode(F.array_distinct("symbol_ids")).alias("symbol_id"))
     return claims.unionByName(rows.select(*claims.columns)), claim_symbols.unionByName(links.select(*claim_symbols.columns))
 

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom.operators.history import co_change_top
 from symloom.operators.segments import SegmentIndex, build_segments
 from symloom.plans.catalogue import DOC_CLAIMS, PART_CLAIMS, PHRASE_QUERY, QUERY, SINGLE, _query, _read, bm25_sql, doc_claims, part_claims
 from symloom.plans.catalogue_knowledge import _CLAIMS, _SEARCHES, _SYMBOLS, _claims, _links, _symbols
+from symloom.plans.index_run import Inputs
+from symloom.plans.store_run import blank_tables, run_into_store
+from symloom.schemas import META
+from symloom.sources.artifact import artifact_pieces, empty_history, import_artifact, read_artifact
 from symloom.sources.files import scan_prose, scan_sources
 from symloom.sources.folders import shared_folder
 from symloom.sources.snapshots import SnapshotStore, migrate, open_tables, save_tables
 from symloom.sources.trees import read_tree, write_tree
+from symloom.streaming.incremental import Baseline
 
 _TOP = 20
 _DOC_SEARCHES = (QUERY, PHRASE_QUERY, SINGLE, "nowhere the", "the")
@@ -133,3 +138,67 @@ def cochange_sweeping_commits(spark: SparkSession, d: str) -> DataFrame:
     """Three commits touch nearly all files; their pairs are not counted one by one."""
     commit = F.when(F.col("l_linenumber") == 1, F.concat(F.lit("all "), "l_returnflag")).otherwise(F.concat(F.lit("order "), F.col("l_orderkey").cast("string")))
     return co_change_top(_read(spark, d, "lineitem").select(F.col("l_partkey").alias("file_path"), commit.alias("commit_sha")))
+
+
+# ---- runs and streams over stores
+
+
+@_query("""SELECT source, claim, symbols, n.c AS claims_written, n.f AS files_extracted, n.s AS symbols_indexed FROM (
+  SELECT 'old' AS source, 'old ' || c_custkey AS claim, 'p0' AS symbols FROM customer WHERE c_custkey % 4 = 1
+  UNION ALL SELECT 'd' || c_custkey, 'new ' || c_custkey, CASE WHEN 'p' || c_custkey % 30 IN (SELECT 'p' || p_partkey FROM part WHERE p_partkey % 2 = 0 OR p_partkey = 1) THEN 'p' || c_custkey % 30 ELSE '' END FROM customer WHERE c_custkey % 4 > 1
+), (SELECT count(*) AS c, count(*) AS f, (SELECT count(*) FROM part WHERE p_partkey % 2 = 0) AS s FROM customer WHERE c_custkey % 4 > 1) n""")
+def store_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs into a store: the second drops documents, keeps some, reads others again and finds new ones."""
+    key = F.col("c_custkey").cast("long")
+    c = _read(spark, d, "customer").select(key.alias("k"), F.concat(F.lit("d"), key.cast("string"), F.lit(".md")).alias("path"))
+    part = _read(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("id"), F.concat(F.lit("part"), F.col("p_partkey")).alias("name"), F.lit("class").alias("kind"), F.lit("a.ts").alias("path"), F.lit(1).alias("line"), F.lit("0").alias("file_sha"), F.col("p_partkey").alias("n"))
+
+    def inputs(found: DataFrame, sha: Column, word: str, symbols: DataFrame, wanted: Column) -> Inputs:
+        texts = [F.lit(v).alias(n) for n, v in (("severity", "soft"), ("rationale", ""), ("excerpt", ""))]
+        extracted = found.select(F.col("path").alias("source_path"), F.lit(0).alias("ordinal"), wanted.alias("symbol_candidates"), F.concat(F.lit(f"{word} "), F.col("k")).alias("claim"), *texts)
+        front = F.concat(F.lit("---\nid: "), F.when(F.lit(word) == "old", "old").otherwise(F.concat(F.lit("d"), F.col("k"))), F.lit("\n---\n"))
+        blank = spark.createDataFrame([], "source_path string, symbols array<string>")
+        history = empty_history(spark)
+        return Inputs(found.select("path", sha.alias("sha"), front.alias("text")), symbols.drop("n"), extracted, found.select("path"), blank, *history, head_sha=word)
+
+    store = SnapshotStore(spark, shared_folder(spark, "runs"))
+    zero = part.where("n = 1").withColumns({"id": F.lit("p0"), "name": F.lit("part0")})
+    run_into_store(store, inputs(c.where("k % 4 < 3"), F.when(F.col("k") % 4 == 1, "same").otherwise("before"), "old", zero.unionByName(part.where("n = 1")), F.array(F.lit("part0"))), "one")
+    again = inputs(c.where("k % 4 > 0"), F.when(F.col("k") % 4 == 1, "same").otherwise("after"), "new", part.where("n % 2 = 0"), F.array(F.concat(F.lit("part"), (F.col("k") % 30).cast("string")), F.lit("nothing")))
+    done = run_into_store(store, again, "two")
+    out = open_tables(store, done.manifest.version)
+    linked = out["claim_symbols"].groupBy("claim_id").agg(F.array_join(F.sort_array(F.collect_list("symbol_id")), ",").alias("symbols"))
+    counts = [F.lit(done.counters[n]).cast("long").alias(n) for n in ("claims_written", "files_extracted", "symbols_indexed")]
+    return out["claims"].join(linked, "claim_id", "left").select("source", "claim", F.coalesce("symbols", F.lit("")).alias("symbols"), *counts)
+
+
+@_query("""WITH e AS (SELECT 'p' || l_partkey AS path, CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_linestatus || l_suppkey END AS sha, l_linenumber AS batch, l_orderkey * 1000 + l_suppkey AS seq FROM lineitem),
+last AS (SELECT path, arg_max(struct_pack(sha := sha), struct_pack(b := batch, s := seq)).sha AS sha FROM e GROUP BY path)
+SELECT path, sha FROM last WHERE sha IS NOT NULL""")
+def baseline_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Seven batches of file events, each committed once; the fourth is sent twice."""
+    sha = F.when(F.col("l_returnflag") != "R", F.concat("l_linestatus", F.col("l_suppkey").cast("string")))
+    events = _read(spark, d, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("path"), sha.alias("sha"), F.col("l_linenumber").alias("batch"), (F.col("l_orderkey") * 1000 + F.col("l_suppkey")).alias("seq"))
+    baseline = Baseline(SnapshotStore(spark, shared_folder(spark, "baseline")))
+    for number in (1, 2, 3, 4, 4, 5, 6, 7):
+        baseline.apply(events.where(F.col("batch") == number).drop("batch"), number)
+    return baseline.rows()
+
+
+@_query("""SELECT * FROM (SELECT row_number() OVER (ORDER BY path DESC) AS place, path, name, line, signature FROM (SELECT 'sym:ts:src/p' || p_partkey || '.ts:part' || p_partkey AS path, 'pärt "' || p_partkey || '"' AS name, p_size AS line,
+  CASE WHEN p_partkey % 3 = 0 THEN 'class ' || p_brand END AS signature FROM part))""")
+def artifact_file(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols exported as a document and imported again, with their places in it."""
+    key, none = F.col("p_partkey").cast("string"), F.lit(None).cast("string")
+    symbols = _read(spark, d, "part").select(
+        F.concat(F.lit("sym:ts:src/p"), key, F.lit(".ts:part"), key).alias("id"), F.concat(F.lit('pärt "'), key, F.lit('"')).alias("name"), F.lit("class").alias("kind"), F.concat(F.lit("src/p"), key, F.lit(".ts")).alias("path"), F.col("p_size").alias("line"),
+        F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("class "), "p_brand")).alias("signature"), none.alias("parent_id"), F.lit("0").alias("file_sha"), F.lit("typescript").alias("language"),
+    )
+    tables = blank_tables(SnapshotStore(spark, shared_folder(spark, "none"))) | {"symbols": symbols, "meta": spark.createDataFrame([("version", "1.3"), ("generator.symloom_version", "1")], META)}
+    root = shared_folder(spark, "artifact")
+    pieces = spark.createDataFrame([("a.json", "".join(artifact_pieces(tables)))], "rel_path string, text string")
+    write_tree(pieces, root)
+    document = read_artifact(spark, f"{root}/a.json")
+    import_artifact(document)  # it is valid
+    n = F.size("symbols")
+    return document.select(n.alias("n"), F.posexplode("symbols").alias("at", "s")).select((F.col("n") - F.col("at")).cast("long").alias("place"), F.col("s.id").alias("path"), "s.name", "s.line", "s.signature")

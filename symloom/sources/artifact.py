@@ -7,7 +7,12 @@ on import and collected again, in canonical order, on export.
 from __future__ import annotations
 
 import json
+import os
+import uuid
+from collections.abc import Iterator
+from contextlib import suppress
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,20 +85,46 @@ def nest(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {"symbols": symbols, "claims": claims, "git_commits": commits, "source_shas": tables["source_shas"].orderBy("source_path")}
 
 
-def _present(row, optional: tuple[str, ...]) -> dict:
-    return {k: v for k, v in row.asDict().items() if k not in optional or v not in (None, "")}
+def _elements(rows: DataFrame, optional: tuple[str, ...] = (), key: str | None = None) -> DataFrame:
+    """(text): each row as an element of the document, rendered where the row is; in the order of ``rows``.
+
+    Optional members without a value are left out; with a ``key``, a row (key, value) is a member.
+    """
+    names = rows.columns
+
+    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for row in batch.to_pylist():
+                if key is not None:
+                    texts.append(f"    {json.dumps(row[key], ensure_ascii=False)}: {json.dumps(row[names[1]], ensure_ascii=False)}")
+                    continue
+                kept = {k: v for k, v in row.items() if k not in optional or v not in (None, "")}
+                texts.append("    " + json.dumps(kept, indent=2, ensure_ascii=False).replace("\n", "\n    "))
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+
+    return rows.mapInArrow(render, "text string")
+
+
+def _joined(elements: DataFrame, opening: str, closing: str) -> Iterator[str]:
+    """The elements between brackets; one partition of them at a time is on the driver."""
+    before = f"{opening}\n"
+    for row in elements.toLocalIterator():
+        yield before + row.text
+        before = ",\n"
+    yield f"\n  {closing}" if before == ",\n" else opening + closing
 
 
 def _generator_order(key: str) -> tuple[int, str]:
     return (0 if key.endswith("_version") else 1 if key.endswith("_commit_sha") else 2, key)
 
 
-def export_artifact(tables: dict[str, DataFrame], **overrides: str) -> str:
-    """The canonical JSON text, two spaces of indent and one final newline.
+def artifact_pieces(tables: dict[str, DataFrame], **overrides: str) -> Iterator[str]:
+    """The canonical JSON text in pieces, two spaces of indent and one final newline.
 
-    ``overrides`` replace stored values of version, generated_at or
-    extracted_at_sha.  The document is built on the driver: it is one reviewable
-    file by its nature, streamed from ordered tables.
+    ``overrides`` replace stored values of version, generated_at or extracted_at_sha.
+    Elements are sorted by range and rendered in the tasks; the driver hands on
+    their texts, one partition at a time, as the document is one file by its nature.
     """
     meta = {r.key: r.value for r in tables["meta"].collect()} | {k: v for k, v in overrides.items() if v is not None}
     parts = nest(tables)
@@ -102,13 +133,22 @@ def export_artifact(tables: dict[str, DataFrame], **overrides: str) -> str:
         document["extracted_at_sha"] = meta["extracted_at_sha"]
     generator = {k.removeprefix("generator."): v for k, v in meta.items() if k.startswith("generator.")}
     document["generator"] = {k: generator[k] for k in sorted(generator, key=_generator_order)}
-    document["source_shas"] = {r.source_path: r.source_sha for r in parts["source_shas"].toLocalIterator()}
-    document["symbols"] = [_present(r, _OPTIONAL_SYMBOL) for r in parts["symbols"].toLocalIterator()]
-    document["claims"] = [_present(r, _OPTIONAL_CLAIM) for r in parts["claims"].toLocalIterator()]
-    commits = [r.asDict() for r in parts["git_commits"].toLocalIterator()]
-    if commits:
-        document["git_commits"] = commits
-    return json.dumps(document, indent=2, ensure_ascii=False) + "\n"
+    yield json.dumps(document, indent=2, ensure_ascii=False).removesuffix("\n}")
+    yield ',\n  "source_shas": '
+    yield from _joined(_elements(parts["source_shas"].select("source_path", "source_sha"), key="source_path"), "{", "}")
+    for name, optional in (("symbols", _OPTIONAL_SYMBOL), ("claims", _OPTIONAL_CLAIM), ("git_commits", ())):
+        pieces = _joined(_elements(parts[name], optional), "[", "]")
+        first = next(pieces)
+        if name == "git_commits" and first == "[]":
+            continue
+        yield f',\n  "{name}": {first}'
+        yield from pieces
+    yield "\n}\n"
+
+
+def export_artifact(tables: dict[str, DataFrame], **overrides: str) -> str:
+    """The whole text, for documents that are small enough to hold; ``write_artifact`` holds none."""
+    return "".join(artifact_pieces(tables, **overrides))
 
 
 def write_tables(tables: dict[str, DataFrame], path: str) -> None:
@@ -125,9 +165,15 @@ def read_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def write_artifact(tables: dict[str, DataFrame], path: str, **overrides: str) -> None:
-    """The exported document as one UTF-8 file of the driver."""
-    with open(path, "w", encoding="utf-8", newline="\n") as out:
-        out.write(export_artifact(tables, **overrides))
+    """The exported document as one UTF-8 file of the driver; it takes its place when it is whole."""
+    draft = f"{path}.{uuid.uuid4().hex}.draft"
+    try:
+        with open(draft, "w", encoding="utf-8", newline="\n") as out:
+            out.writelines(artifact_pieces(tables, **overrides))
+        os.replace(draft, path)
+    finally:
+        with suppress(FileNotFoundError):
+            os.remove(draft)
 
 
 def same_content(one: str, two: str) -> bool:
