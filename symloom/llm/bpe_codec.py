@@ -4,8 +4,9 @@ The most frequent words of the corpus are encoded once and compiled into a
 minimal acyclic automaton (words share prefixes and suffixes).  Its edges carry
 counts whose sum along a path is the word's number, which leads to the ids.
 The automaton is one flat file of integers that every worker maps into memory;
-words that it lacks are merged exactly.  Its size is bounded by
-``LEXICON_WORDS`` and affects speed only.
+words that it lacks are merged exactly, in n log n steps for n bytes.  Its size is
+bounded by ``LEXICON_WORDS`` words of ``LEXICON_BYTES`` bytes and affects speed only;
+its words are merged in the tasks.
 
 Null or empty texts have no ids and decode to an empty text; repeated rows are
 encoded one by one; an empty table gives an empty result and extra columns are
@@ -32,11 +33,11 @@ from pyspark.sql import functions as F
 
 from symloom.llm.common import written
 from symloom.llm.token_counts import share_vocabulary
-from symloom.llm.wordbpe import MEMO_WORDS, Memo, WordBpe, digest
+from symloom.llm.wordbpe import MEMO_BYTES, MEMO_WORDS, Memo, WordBpe, digest
 from symloom.llm.worker import held, lean, rows_of
 
-#: The most frequent words of the whole corpus that the lexicon holds.
-LEXICON_WORDS = 50_000
+#: The most frequent words of the whole corpus that the lexicon holds, and the bytes that they have at most.
+LEXICON_WORDS, LEXICON_BYTES = 50_000, 64
 #: Distinct words that a task counts before it hands them on.
 _COUNTED_AT_ONCE = 400_000
 #: Counts up to this one are told apart, larger ones by a logarithmic scale, so that levels are few.
@@ -132,11 +133,14 @@ class Codec:
         self.bpe, self.lexicon = bpe, lexicon
         self._coded = Memo(self._code, MEMO_WORDS)
         self._shown: dict[str, str] = {}
+        self._bytes = 0
 
     def _code(self, words: list[str]) -> list[bytes]:
         """Ids of words as little-endian unsigned 32-bit integers; the memo of their pieces follows."""
-        if len(self._shown) > MEMO_WORDS:
+        if len(self._shown) > MEMO_WORDS or self._bytes > MEMO_BYTES:
             self._shown.clear()
+            self._bytes = 0
+        self._bytes += sum(map(len, words))
         out: list = [None] * len(words)
         unseen = []
         for k, word in enumerate(words):
@@ -155,7 +159,7 @@ class Codec:
     def learn(self, words: list[str]) -> None:
         """Look up or merge what is new among the words of a block of texts."""
         if any(w not in self._shown for w in words):
-            if len(self._shown) > MEMO_WORDS:
+            if len(self._shown) > MEMO_WORDS or self._bytes > MEMO_BYTES:
                 self._coded.clear()
             self._coded.learn(words)
 
@@ -195,14 +199,15 @@ def _counted(counts: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
 
-def frequent_words(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", size: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent words of all texts, at most ``size``: all above the count that this allows.
+def frequent_words(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", size: int = LEXICON_WORDS) -> DataFrame:
+    """(word) of the most frequent words of all texts, at most ``size``: all above the count that this allows.
 
-    The driver gets how many words have each count, then the words themselves.
+    The driver gets how many words have each count.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("body"))
     counted = rows.mapInArrow(lean(_count_words(share_vocabulary(docs, vocabulary))), "word string, n long")
-    counted = written(counted.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    short = counted.where(F.octet_length("word") <= LEXICON_BYTES)
+    counted = written(short.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     level = F.least(F.col("n"), F.lit(_FINE) + F.floor(F.log2(F.col("n")) * 64)).cast("long")
     left, above = size, None
     for row in counted.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("level")).toLocalIterator():
@@ -210,14 +215,24 @@ def frequent_words(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
         if left < 0:
             break
         above = row.level
-    return [] if above is None else sorted(r.word for r in counted.where(level >= above).select("word").toLocalIterator())
+    return counted.where(F.lit(False) if above is None else level >= above).select("word")
+
+
+def _merge_words(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = held(f"words {digest(shared.value)}", lambda: WordBpe(shared.value))
+        for batch in batches:
+            words = [w for w in batch.column(0).to_pylist() if w not in bpe.special]
+            ids = pa.array([m.astype(np.int32) for m in bpe.merge_many(words)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), ids], names=["word", "ids"])
+
+    return run
 
 
 def build_lexicon(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", size: int = LEXICON_WORDS) -> bytes:
-    with open(vocabulary, encoding="utf-8") as file:
-        bpe = WordBpe(file.read())
     words = frequent_words(docs, vocabulary, id_col, text_col, size)
-    return compile_lexicon({w: bpe.merge(w) for w in words if w not in bpe.special})
+    merged = words.mapInArrow(lean(_merge_words(share_vocabulary(docs, vocabulary))), "word string, ids array<int>")
+    return compile_lexicon({r.word: r.ids for r in merged.toLocalIterator()})
 
 
 def share_lexicon(docs: DataFrame, compiled: bytes) -> str:

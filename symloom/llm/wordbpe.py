@@ -8,6 +8,7 @@ order.  Special strings inside a text are matched before anything else.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 from collections.abc import Callable
@@ -17,8 +18,10 @@ import numpy as np
 from tokenizers import Regex, Tokenizer
 from tokenizers.pre_tokenizers import Split
 
-#: Entries of a worker's word memo; it is emptied when full.
-MEMO_WORDS = 300_000
+#: Entries of a worker's word memo and bytes of its words; it is emptied when full.
+MEMO_WORDS, MEMO_BYTES = 300_000, 32 << 20
+#: Bytes of a word from which it is merged alone, by a heap: passes over many words take a merge of each at a time.
+LONG = 64
 
 # The usual word pattern for lower-cased texts below U+0180, which are in NFC.
 _LETTERS = "a-zªµºß-öø-ſ"
@@ -98,11 +101,13 @@ class WordBpe:
         return np.where(keys[at] == wanted, ranks[at], len(made))
 
     def merge_many(self, words: list[str]) -> list[np.ndarray]:
-        """``merge`` of each word, a merge of every unfinished word at a time."""
+        """``merge`` of each word; short ones a merge of every unfinished word at a time."""
         done: list = [None] * len(words)
         for k, word in enumerate(words):
             if word in self.special:
                 done[k] = np.array([self.special[word]], dtype=np.uint32)
+            elif len(word) >= LONG:
+                done[k] = np.array(self.merge(word), dtype=np.uint32)
         which = [k for k, ids in enumerate(done) if ids is None]
         if not which:
             return done
@@ -143,19 +148,34 @@ class WordBpe:
         return done
 
     def merge(self, word: str) -> list[int]:
-        """Token ids of a word: the lowest-ranked pair merges first, the leftmost of equal ones."""
+        """Token ids of a word: the lowest-ranked pair merges first, the leftmost of equal ones.
+
+        Pairs wait in a heap by (rank, place) and symbols are linked, so n bytes take
+        n log n steps.  A pair that a merge has taken apart is passed over when it comes up.
+        """
         if word in self.special:
             return [self.special[word]]
         ids = [self.vocab[s] for s in self.symbols(word)]
-        rank, none = self.rank.get, len(self.made)
-        while len(ids) > 1:
-            ranks = [rank(p, none) for p in zip(ids, ids[1:])]
-            best = min(ranks)
-            if best == none:
-                break
-            at = ranks.index(best)
-            ids[at : at + 2] = [self.made[best]]
-        return ids
+        n, rank, made = len(ids), self.rank.get, self.made
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        heap = [r << 40 | i for i, pair in enumerate(zip(ids, ids[1:])) if (r := rank(pair)) is not None]
+        heapq.heapify(heap)
+        place = (1 << 40) - 1
+        while heap:
+            top = heapq.heappop(heap)
+            i, r = top & place, top >> 40
+            j = after[i]
+            if ids[i] is None or j >= n or rank((ids[i], ids[j])) != r:
+                continue
+            ids[i], ids[j], k = made[r], None, after[j]
+            after[i] = k
+            if k < n:
+                before[k] = i
+                if (s := rank((ids[i], ids[k]))) is not None:
+                    heapq.heappush(heap, s << 40 | i)
+            if (h := before[i]) >= 0 and (s := rank((ids[h], ids[i]))) is not None:
+                heapq.heappush(heap, s << 40 | h)
+        return [x for x in ids if x is not None]
 
 
 class Memo(dict):

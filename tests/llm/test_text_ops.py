@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -101,6 +102,36 @@ def test_lexicon_is_a_minimal_acyclic_automaton(bpe):
     assert codec.encode("Running suns unseenword") == [i for w in ("running", "suns", "unseenword") for i in bpe.merge(w)]
 
 
+def plain_merge(bpe, word):
+    """One merge after the other over the whole word."""
+    ids = [bpe.vocab[s] for s in bpe.symbols(word)]
+    while len(ids) > 1:
+        ranks = [bpe.rank.get(p, len(bpe.made)) for p in zip(ids, ids[1:])]
+        if (best := min(ranks)) == len(bpe.made):
+            break
+        at = ranks.index(best)
+        ids[at : at + 2] = [bpe.made[best]]
+    return ids
+
+
+def test_merging_by_a_heap_equals_plain_merging(bpe):
+    rng = random.Random(5)
+    words = ["".join(rng.choices(letters, k=n)) for letters in ("a", "ab", "etaoinshr", "thé日x") for n in (1, 2, 3, 7, 40, 63, 64, 65, 200)]
+    assert [bpe.merge(w) for w in words] == [plain_merge(bpe, w) for w in words]
+    assert [m.tolist() for m in bpe.merge_many(words * 2)] == [plain_merge(bpe, w) for w in words] * 2
+
+
+def test_a_word_of_a_million_letters_is_merged_in_seconds(spark, bpe, library):
+    """In the lexicon's build and in the tasks, among usual texts, and as the library has it."""
+    rng = random.Random(6)
+    word = "".join(rng.choices("etaoinshrdlu", k=1_000_000))
+    texts = [(i, "usual words of a usual text") for i in range(50)] + [(99, f"before {word} after")]
+    began = time.monotonic()
+    got = {r.doc_id: r.ids for r in bpe_encode(docs_of(spark, texts), VOCABULARY).collect()}
+    assert time.monotonic() - began < 60
+    assert got[99] == library.encode(texts[-1][1], add_special_tokens=False).ids and got[0] == library.encode(texts[0][1], add_special_tokens=False).ids
+
+
 def test_merging_many_equals_merging_one(bpe):
     words = [w for t in odd_texts() for w in bpe.split(t)]
     assert [m.tolist() for m in bpe.merge_many(words)] == [bpe.merge(w) for w in words] and bpe.merge_many([]) == []
