@@ -114,6 +114,17 @@ def plain_merge(bpe, word):
     return ids
 
 
+def test_nodes_of_a_text_beyond_the_usual_bits_of_a_place(monkeypatch):
+    """As if a place had few bits: nodes are those of the whole text."""
+    import symloom.llm.substring_dedup as s
+
+    values = np.random.default_rng(4).integers(0, 1 << 63, 5000, dtype=np.uint64)
+    first = np.array([0, 2000, 5000])
+    want = [x.tolist() for x in wide_nodes(values, first, 40)]
+    monkeypatch.setattr(s, "_PLACE", 6)
+    assert [x.tolist() for x in wide_nodes(values, first, 40)] == want and max(want[0]) > 4000
+
+
 def test_merging_by_a_heap_equals_plain_merging(bpe):
     rng = random.Random(5)
     words = ["".join(rng.choices(letters, k=n)) for letters in ("a", "ab", "etaoinshr", "thé日x") for n in (1, 2, 3, 7, 40, 63, 64, 65, 200)]
