@@ -48,7 +48,7 @@ MIN_BYTES = 200
 #: Bytes of an anchor.
 GRAM = 48
 #: Stretches of a key that may meet in a task.
-FEW = 2048
+FEW = 512
 #: Bytes of stretches that are transformed together, unless one key has more.
 TOGETHER = 1 << 20
 #: Bytes of text that are hashed at a time.
