@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from symloom.functions.text import _column
+from symloom.functions.yamltext import YamlError, parse_yaml
 
 HEADER_LINES, CLASS_LINES, CALLABLE_LINES = 6, 20, 10
 SIGNATURE_KINDS = ("class", "interface", "function", "method")
@@ -383,15 +384,16 @@ def frontmatter_symbols_of(text: pd.Series) -> pd.Series:
 
 
 def frontmatter_symbols(text: str) -> list[str]:
-    """The strings of the frontmatter's list ``symbols``, in block or flow style; [] without."""
-    found = re.match(r"---\n(.*?)\n---\n", text, re.S)
-    block = re.search(r"^symbols:[ \t]*(\[.*?\])?[ \t]*(?:#.*)?$((?:\n[ \t]*-[ \t]+.*|\n[ \t]*#.*|\n[ \t]*$)*)", found[1], re.M) if found else None
-    if not block:
+    """The strings of the frontmatter's list ``symbols``; [] without one, and where the frontmatter is malformed."""
+    end = text.find("\n---\n", 4) if text.startswith("---\n") else -1
+    if end < 0:
         return []
-    raw = split_top(block[1][1:-1]) if block[1] else re.findall(r"^[ \t]*-[ \t]+(.*)$", block[2], re.M)
-    names = [re.sub(r"\s+#.*$", "", r.strip()) for r in raw]
-    plain = [n[1:-1] if len(n) > 1 and n[0] == n[-1] and n[0] in "'\"" else n for n in names]
-    return [n for n, written in zip(plain, names, strict=True) if n and (n != written or not re.fullmatch(r"[-+]?\d+(\.\d+)?|true|false|null|~", n))]
+    try:
+        found = parse_yaml(text[4:end])
+    except YamlError:
+        return []
+    names = found.get("symbols") if isinstance(found, dict) else None
+    return [n for n in names if isinstance(n, str) and n] if isinstance(names, list) else []
 
 
 def class_table(files: DataFrame) -> DataFrame:

@@ -6,13 +6,27 @@ All of them are built-in functions over columns; nothing leaves the JVM.
 from __future__ import annotations
 
 import re
+import unicodedata
+from string import ascii_lowercase
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented letters and what they are folded to.
-ACCENTED = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ"
-FOLDED = "aaaaaaceeeeiiiinooooouuuuyy"
+# Marks that are dropped where they stand alone, and letters that count as another one.
+MARKS = "".join(map(chr, (*range(0x300, 0x305), *range(0x306, 0x30D), 0x30F, 0x311, 0x31B, *range(0x323, 0x329), 0x32D, 0x32E, 0x330, 0x331)))
+VARIANTS, PLAIN = "ſẛµςϐϑϕϖϰϱϵ\u1fbe", "ssμσβθφπκρει"
+
+
+def _marked_letters() -> dict[str, str]:
+    """Lower-case letters that are a letter of a to z with one mark, by the decompositions of Unicode; others keep their marks."""
+    low = {chr(c).lower() for c in range(0xC0, 0x2000)}
+    parts = {c: unicodedata.normalize("NFD", c) for c in low if len(c) == 1}
+    return {c: d[0] for c, d in sorted(parts.items()) if len(d) == 2 and d[0] in ascii_lowercase and unicodedata.combining(d[1])}
+
+
+#: What folding replaces, as ``translate`` takes it: letters and what they become, then marks, which become nothing.
+FOLDED = "".join(_marked_letters().values()) + PLAIN
+ACCENTED = "".join(_marked_letters()) + VARIANTS + MARKS
 #: What separates tokens of indexed text.
 TOKEN_BREAK = r"[^\p{L}\p{N}_-]+"
 #: What a query may not contain.
@@ -46,6 +60,18 @@ def match_expression(query: str) -> str | None:
     return quoted[0] if len(words) == 1 else " OR ".join([f'"{" ".join(words)}"', *quoted])
 
 
+def match_expression_of(query: Column | str) -> Column:
+    """``match_expression`` over a column."""
+    words = query_words(query)
+    quoted = F.transform(words, lambda w: F.when(w.contains("-"), F.concat(F.lit('"'), w, F.lit('"'))).otherwise(w))
+    phrase = F.array(F.concat(F.lit('"'), F.array_join(words, " "), F.lit('"')))
+    return F.when(F.size(words) == 1, F.get(quoted, F.lit(0))).when(F.size(words) > 1, F.array_join(F.concat(phrase, quoted), " OR "))
+
+
+def match_limit_of(limit: Column | str) -> Column:
+    return F.greatest(F.lit(1), F.least(F.lit(MAX_MATCHES), _column(limit)))
+
+
 def dual_form(text: Column | str) -> Column:
     """The text, and once more with ``_`` and ``-`` as spaces; null counts as empty."""
     plain = F.coalesce(_column(text), F.lit(""))
@@ -65,7 +91,8 @@ def tokens(text: Column | str) -> Column:
 
 
 def fold_text(text: str) -> str:
-    return text.lower().translate(str.maketrans(ACCENTED, FOLDED))
+    n = len(FOLDED)
+    return text.lower().translate(str.maketrans(ACCENTED[:n], FOLDED, ACCENTED[n:]))
 
 
 def name_overlap(name: Column | str, words: list[str]) -> Column:

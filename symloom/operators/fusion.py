@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection
+import logging
+from collections.abc import Callable, Collection
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +17,8 @@ from symloom.operators.history import CO_CHANGE_LIMIT, RECENT, co_change_top, fi
 from symloom.operators.intent import ranked_claims
 from symloom.schemas import SIGNALS
 
+_LOG = logging.getLogger(__name__)
+
 DEFAULT_REFS = 20
 
 
@@ -31,6 +36,27 @@ class Knowledge:
     file_commits: DataFrame | None = None
 
 
+def readable(signals: dict[str, Callable[[], DataFrame]]) -> tuple[Knowledge, dict[str, str]]:
+    """The tables of a code base from what loads each, and why some could not be read.
+
+    A signal whose source fails, when it is opened or when its first row is read, is
+    absent from the bundles and does not fail them; without symbols there is nothing to tell.
+    """
+    tables: dict[str, DataFrame] = {}
+    failed: dict[str, str] = {}
+    for name, load in signals.items():
+        try:
+            table = load()
+            table.limit(1).collect()
+            tables[name] = table
+        except (PySparkException, Py4JJavaError, OSError, RuntimeError) as error:
+            if name == "symbols":
+                raise
+            failed[name] = str(error).splitlines()[0] if str(error) else type(error).__name__
+            _LOG.warning("%s cannot be read: %s", name, failed[name])
+    return Knowledge(**tables), failed
+
+
 def reference_clusters(refs: DataFrame, max_refs: int = DEFAULT_REFS) -> DataFrame:
     """(symbol_id, module, count, top_ids, place): references by module, largest first, ties by appearance.
 

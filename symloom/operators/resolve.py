@@ -51,6 +51,18 @@ def resolve_symbols(inputs: DataFrame, symbols: DataFrame) -> DataFrame:
     return joined.select("input_pos", "input", status.alias("status"), n.alias("n_candidates"), "symbol_id")
 
 
+def symbols_where(symbols: DataFrame, **values: str) -> DataFrame:
+    """The symbols whose id, name or path (any columns) are those given, by id; equality reaches the scan."""
+    for column, value in values.items():
+        symbols = symbols.where(F.col(column) == F.lit(value))
+    return symbols.orderBy("id")
+
+
+def symbols_of_paths(symbols: DataFrame, paths: DataFrame) -> DataFrame:
+    """The symbols of some paths (path)."""
+    return symbols.join(paths.select("path").distinct(), "path", "left_semi")
+
+
 def resolve_candidates(extracted: DataFrame, symbols: DataFrame, key: str = "claim_id") -> tuple[DataFrame, DataFrame]:
     """Links (key, symbol_id) of candidate names to all symbols of that name, and names (key, candidate) without any."""
     names = extracted.select(key, F.explode(F.array_distinct("symbol_candidates")).alias("candidate"))

@@ -31,6 +31,9 @@ def context_batch(
         raise ValueError(f"format: one of {', '.join(FORMATS)}")
     if depth not in DEPTHS:
         raise ValueError(f"depth: one of {', '.join(DEPTHS)}")
+    if isinstance(include, str) or (unknown := [s for s in include if s not in SIGNALS]):
+        raise ValueError(f"include: a list of {', '.join(SIGNALS)}" + ("" if isinstance(include, str) else f"; not {', '.join(map(str, unknown))}"))
+    checked_int("max_refs", max_refs, 0)
     inputs = spark.createDataFrame([(k, name, file_hint) for k, name in request_inputs(list(requests))], "input_pos long, input string, file_hint string")
     resolved = resolve_symbols(inputs, know.symbols)
     wanted = resolved.where("status = 'resolved'").select("input_pos", "input", "symbol_id")
@@ -46,15 +49,23 @@ def context_batch(
     return envelope_json(inputs.select("input_pos", "input").join(good.drop("input"), "input_pos", "left").join(bad, "input_pos", "left"))
 
 
+def checked_int(name: str, value: object, least: int | None = None) -> int:
+    """A whole number of ``least`` or more; other values are an error before any plan is made."""
+    if isinstance(value, bool) or not isinstance(value, int) or (least is not None and value < least):
+        raise ValueError(f"{name}: a whole number{'' if least is None else f' of {least} or more'} is needed, not {value!r}")
+    return value
+
+
 def intent_matches(spark: SparkSession, query: str, know: Knowledge, limit: int = DEFAULT_MATCHES) -> DataFrame:
     """One row (text): the symbols whose claims match a query."""
     if not isinstance(query, str) or not query.strip():
         raise ValueError("query must be a non-empty string")
-    return compact_matches(find_by_intent(know.claims, know.claim_symbols, know.symbols, query, match_limit(limit)), query)
+    return compact_matches(find_by_intent(know.claims, know.claim_symbols, know.symbols, query, match_limit(checked_int("limit", limit))), query)
 
 
 def change_impact(spark: SparkSession, request: str, know: Knowledge, file_hint: str | None = None, recent: int = RECENT) -> DataFrame:
     """(text, is_error) of the impact of changing one symbol."""
+    checked_int("recent", recent, 0)
     inputs = spark.createDataFrame([(k, name, file_hint) for k, name in request_inputs([request])], "input_pos long, input string, file_hint string")
     resolved = resolve_symbols(inputs, know.symbols)
     impacts = impact_of_change(resolved.where("status = 'resolved'").select("symbol_id"), know, recent=recent)

@@ -458,10 +458,18 @@ PATH_CASES = (
 _PATH_VALUES = ", ".join(f"('{a}', '{b}')" for a, b in PATH_CASES)
 
 
-@_query(f"SELECT input, expected AS normal FROM (VALUES {_PATH_VALUES}) v(input, expected)")
+@_query(f"""SELECT 'part ' || p_partkey AS row_of, input, expected AS normal FROM part JOIN (SELECT row_number() OVER () - 1 AS k, * FROM (VALUES {_PATH_VALUES}) v(input, expected)) c ON p_partkey % {len(PATH_CASES)} = c.k
+UNION ALL SELECT 'page ' || page_id, 'file:///C:/' || p || '//x\\', 'c:/' || p || '/x' FROM (SELECT page_id, replace(regexp_extract(url, '^[a-z]+://([^?#]*[^?#/])', 1), '//', '/') AS p FROM pages)
+UNION ALL SELECT 'name ' || p_partkey, './' || replace(p_name, ' ', '\\') || '/', replace(p_name, ' ', '/') FROM part""")
 def path_normalize(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.range(1).select(F.explode(F.array(*[F.lit(a) for a, _ in PATH_CASES])).alias("input"))
-    return rows.select("input", normalize_path("input").alias("normal"))
+    """Fixed cases by row number, paths of pages as file URIs, and names as folders."""
+    part, pages = _read(spark, d, "part"), _read(spark, d, "pages")
+    case = F.element_at(F.array(*[F.lit(a) for a, _ in PATH_CASES]), (F.col("p_partkey") % len(PATH_CASES)).cast("int") + 1)
+    below = F.replace(F.regexp_extract("url", "^[a-z]+://([^?#]*[^?#/])", 1), F.lit("//"), F.lit("/"))
+    rows = part.select(F.concat(F.lit("part "), "p_partkey").alias("row_of"), case.alias("input"))
+    rows = rows.unionByName(pages.select(F.concat(F.lit("page "), "page_id").alias("row_of"), F.concat(F.lit("file:///C:/"), below, F.lit("//x\\")).alias("input")))
+    rows = rows.unionByName(part.select(F.concat(F.lit("name "), "p_partkey").alias("row_of"), F.concat(F.lit("./"), F.replace("p_name", F.lit(" "), F.lit("\\")), F.lit("/")).alias("input")))
+    return rows.select("row_of", "input", normalize_path("input").alias("normal"))
 
 
 def _knowledge(spark: SparkSession, d: str) -> tuple[DataFrame, Knowledge]:

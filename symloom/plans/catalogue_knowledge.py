@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.functions.text import match_expression, match_limit
+from symloom.functions.text import match_expression_of, match_limit_of
 from symloom.operators.diff import delete_symbols_by_path, insert_claims, sha_diff, staleness_of, to_extract, usage_totals
 from symloom.operators.fusion import Knowledge, impact_of_change, symbol_contexts
 from symloom.operators.history import pivot_files
@@ -15,7 +15,7 @@ from symloom.operators.resolve import documented_claims, resolve_symbols
 from symloom.operators.textindex import build_index, update_index
 from symloom.plans.batch import context_batch, intent_matches
 from symloom.plans.catalogue import PART_CLAIMS, SEVERITY_RANK, _query, _read, bm25_sql, part_claims
-from symloom.plans.render import compact, compact_impact, error_text, run_summary
+from symloom.plans.render import SUMMARY, compact, compact_impact, error_text, summary_text_of
 from symloom.sources.artifact import nest
 from symloom.sources.extraction import explode_claims, parse_answers
 from symloom.sources.gitlog import FIELD, parse_git_log
@@ -61,11 +61,14 @@ def index_update(spark: SparkSession, d: str) -> DataFrame:
     return index.search(_texts(spark, *_SEARCHES)).select("query_id", F.col("id").alias("claim_id"), F.round("bm25", 6).alias("bm25"))
 
 
-@_query("""SELECT * FROM (VALUES ('', NULL, 1), ('pay-now', '"pay-now"', 1), ('a b', '"a b" OR a OR b', 7), ('x(y) z-1', '"x y z-1" OR x OR y OR "z-1"', 50)) v(query, expression, matches)""")
+@_query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '"' || replace(p_name, ' ', '-') || '"' WHEN 2 THEN '"' || p_name || '" OR ' || replace(p_name, ' ', ' OR ')
+  WHEN 3 THEN '"' || p_name || ' z-1" OR ' || replace(p_name, ' ', ' OR ') || ' OR "z-1"' ELSE 'é_' || p_partkey END AS expression, CAST(greatest(1, least(50, p_size * 3 - 30)) AS INTEGER) AS matches FROM part""")
 def match_expressions(spark: SparkSession, d: str) -> DataFrame:
-    asked = (("", 0), ("pay-now", -3), ("a b", 7), ("x(y) z-1", 900))
-    rows = F.array(*[F.struct(F.lit(q).alias("query"), F.lit(match_expression(q)).cast("string").alias("expression"), F.lit(match_limit(n)).alias("matches")) for q, n in asked])
-    return spark.range(1).select(F.inline(rows))
+    """Names of parts as queries: none, one word, several words, words with joints and marks."""
+    name, kind = F.col("p_name"), F.col("p_partkey") % 5
+    query = F.when(kind == 0, F.lit(" ?! ")).when(kind == 1, F.replace(name, F.lit(" "), F.lit("-"))).when(kind == 2, F.replace(name, F.lit(" "), F.lit("  .")))
+    query = query.when(kind == 3, F.concat(F.replace(name, F.lit(" "), F.lit("(")), F.lit(") z-1"))).otherwise(F.concat(F.lit("'é_"), F.col("p_partkey").cast("string"), F.lit("'")))
+    return _read(spark, d, "part").select("p_partkey", match_expression_of(query).alias("expression"), match_limit_of(F.col("p_size") * 3 - 30).cast("int").alias("matches"))
 
 
 # ---- renderers
@@ -182,11 +185,24 @@ def intent_match_text(spark: SparkSession, d: str) -> DataFrame:
     return intent_matches(spark, "000000001", _knowledge(spark, d))
 
 
-@_query("""SELECT 'files_extracted=' || count(*) || chr(10) || 'files_unchanged=2' || chr(10) || 'files_deleted=0' || chr(10) || 'claims_written=0' || chr(10) || 'symbols_indexed=0' || chr(10) || 'unresolved_candidates=0' || chr(10) || 'unresolved_frontmatter_hints=0' || chr(10)
-  || 'git_commits_indexed=0' || chr(10) || 'extracted_at_sha=null' || chr(10) || 'atlas_exported=true' || chr(10) || 'wall_clock_ms=0' || chr(10) || 'api_calls=0' || chr(10) || 'input_tokens=0' || chr(10) || 'output_tokens=0' || chr(10) || 'cost_usd=1.2346' || chr(10) || 'extraction_errors=1' || chr(10) AS text FROM nation""")
+_RUN_SQL = " || ".join(f"'{name}=' || {value} || chr(10)" for name, value in (
+    ("files_extracted", "count(*)"), ("files_unchanged", "count(*) FILTER (WHERE o_orderstatus = 'O')"), ("files_deleted", "count(*) FILTER (WHERE o_orderstatus = 'F')"), ("claims_written", "count(*) FILTER (WHERE o_orderpriority = '1-URGENT')"),
+    ("symbols_indexed", "0"), ("unresolved_candidates", "0"), ("unresolved_frontmatter_hints", "0"), ("git_commits_indexed", "count(DISTINCT o_orderdate)"), ("extracted_at_sha", "coalesce(max(CASE WHEN o_orderkey % 2 = 0 THEN 's' || o_orderkey END), 'null')"),
+    ("atlas_exported", "CAST(count(*) > 10 AS VARCHAR)"), ("wall_clock_ms", "0"), ("api_calls", "0"), ("input_tokens", "sum(o_orderkey)"), ("output_tokens", "0"), ("cost_usd", "printf('%.4f', CAST(sum(o_orderkey) AS DOUBLE) / 16)"), ("extraction_errors", "0"),
+))
+
+
+@_query(f"SELECT o_custkey, {_RUN_SQL} AS text FROM orders GROUP BY o_custkey")
 def run_summaries(spark: SparkSession, d: str) -> DataFrame:
-    counters = {"files_extracted": _read(spark, d, "nation").count(), "files_unchanged": 2, "atlas_exported": True, "cost_usd": 1.23456}
-    return spark.range(1).select(F.lit(run_summary(counters, errors=["x"])).alias("text"))
+    """Each customer's orders as a run."""
+    nothing = F.lit(0)
+    revision = F.max(F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("s"), F.col("o_orderkey").cast("string"))))
+    told = {
+        "files_extracted": F.count(F.lit(1)), "files_unchanged": F.count_if(F.col("o_orderstatus") == "O"), "files_deleted": F.count_if(F.col("o_orderstatus") == "F"), "claims_written": F.count_if(F.col("o_orderpriority") == "1-URGENT"),
+        "git_commits_indexed": F.count_distinct("o_orderdate"), "extracted_at_sha": revision, "atlas_exported": F.count(F.lit(1)) > 10, "input_tokens": F.sum("o_orderkey"), "cost_usd": F.sum("o_orderkey").cast("double") / 16,
+    }
+    runs = _read(spark, d, "orders").groupBy("o_custkey").agg(*[c.alias(n) for n, c in told.items()])
+    return runs.select("o_custkey", summary_text_of({name: F.col(name) if name in told else nothing for name in SUMMARY}).alias("text"))
 
 
 # ---- maintenance

@@ -205,6 +205,17 @@ def summary_text(counters: dict) -> str:
     return "".join(f"{k}={v:.4f}\n" if isinstance(v, float) else f"{k}={str(v).lower() if isinstance(v, bool) else v}\n" for k, v in counters.items())
 
 
+def summary_text_of(counters: dict[str, Column]) -> Column:
+    """``summary_text`` over columns, for many runs; null counters are told as null."""
+
+    def line(name: str, value: Column) -> Column:
+        kind = F.typeof(value)
+        text = F.when(kind == "double", F.format_string("%.4f", value.cast("double"))).otherwise(value.cast("string"))
+        return F.concat(F.lit(f"{name}="), F.coalesce(text, F.lit("null")), F.lit("\n"))
+
+    return F.concat(*[line(name, value) for name, value in counters.items()])
+
+
 # The lines of a run's summary, in order.
 SUMMARY = (
     "files_extracted", "files_unchanged", "files_deleted", "claims_written", "symbols_indexed", "unresolved_candidates", "unresolved_frontmatter_hints", "git_commits_indexed",

@@ -16,6 +16,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -149,7 +150,7 @@ def run_into_store(
             counters["atlas_exported"] = True
         if after is not None:
             after(manifest)
-    except (ArtifactError, RuntimeError, PySparkException) as error:  # what a run can meet; anything else is a mistake of this code
+    except (ArtifactError, RuntimeError, PySparkException, Py4JJavaError) as error:  # what a run can meet; anything else is a mistake of this code
         return Report(FAILED, error=str(error))
     counters["wall_clock_ms"] = int((time.monotonic() - began) * 1000)
     return Report(DONE, counters, manifest=manifest)

@@ -6,6 +6,7 @@ from dataclasses import dataclass, field, fields
 from typing import Any
 
 from symloom.functions.text import DEFAULT_MATCHES
+from symloom.functions.yamltext import YamlError, parse_yaml
 from symloom.operators.history import RECENT
 from symloom.operators.resolve import ATTRIBUTION_MODES
 
@@ -76,6 +77,8 @@ class Config:
 
 _SECTIONS = {"adrs": Adrs, "docs": Docs, "git": Git, "index": Index, "artifact": Artifact, "source": Source, "extraction": Extraction, "serving": Serving}
 LANGUAGES = ("typescript", "python", "go")
+# Another name of a section.
+OTHER_NAMES = {"atlas": "artifact"}
 
 
 def _kind(value: Any) -> str:
@@ -109,10 +112,24 @@ def _section(name: str, kind: type, given: Any) -> Any:
     return kind(**{k: _checked(f"{name}.{k}", v, known[k].default, str(known[k].type)) for k, v in given.items()})
 
 
+def read_config(path: str) -> Config:
+    """The configuration of a YAML file; one that is missing or malformed is an error that names it."""
+    try:
+        with open(path, encoding="utf-8") as file:
+            return load_config(parse_yaml(file.read()))
+    except FileNotFoundError:
+        raise ConfigError(f"{path}: no such file") from None
+    except (YamlError, ConfigError) as error:
+        raise ConfigError(f"{path}: {error}") from error
+
+
 def load_config(given: Any) -> Config:
     """A validated configuration; unknown keys anywhere are errors."""
     if not isinstance(given, dict):
         raise ConfigError(f"a mapping is needed, not {_kind(given)}")
+    if both := [k for k, own in OTHER_NAMES.items() if k in given and own in given]:
+        raise ConfigError(f"{both[0]}: named twice")
+    given = {OTHER_NAMES.get(k, k): v for k, v in given.items()}
     if extra := sorted(set(given) - {f.name for f in fields(Config)}):
         raise ConfigError(f"unknown keys {', '.join(extra)}")
     if given.get("version", 1) != 1:

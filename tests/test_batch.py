@@ -1,11 +1,13 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from symloom.operators.fusion import Knowledge
+from symloom.operators.fusion import Knowledge, readable
+from symloom.operators.resolve import symbols_of_paths, symbols_where
 from symloom.operators.types import known_kinds
 from symloom.plans.batch import UnknownTool, call, context_batch
-from symloom.plans.render import SUMMARY, run_summary
+from symloom.plans.render import SUMMARY, run_summary, summary_text_of
 from symloom.sources.artifact import cleared, is_empty, same_content, setting_of, source_sha_of, write_artifact
 from symloom.schemas import CLAIM_SYMBOLS, CLAIMS, COMMITS, FILE_COMMITS, META, SOURCE_SHAS, SYMBOLS
 
@@ -84,6 +86,13 @@ def test_summary_has_its_lines_and_details():
     assert done["cost_usd"] == 0.1235 and done["extraction_errors"] == ["boom"] and done["extracted_at_sha"] is None
 
 
+def test_summary_of_columns(spark):
+    counters = {"files_extracted": 3, "cost_usd": 1.23456, "atlas_exported": True, "extracted_at_sha": None, "input_tokens": 7}
+    row = spark.createDataFrame([(3, 1.23456, True, None, 7)], "files_extracted int, cost_usd double, atlas_exported boolean, extracted_at_sha string, input_tokens long")
+    told = {n: F.col(n) if n in counters else F.lit(0) for n in SUMMARY}
+    assert row.select(summary_text_of(told).alias("t")).first().t == run_summary(counters)
+
+
 def test_stored_tables(spark, tables, tmp_path):
     assert not is_empty(tables) and is_empty(cleared(tables, "symbols"))
     less = cleared(tables, "claims")
@@ -96,3 +105,45 @@ def test_stored_tables(spark, tables, tmp_path):
     one, two = ((tmp_path / f).read_text() for f in ("a.json", "b.json"))
     assert one != two and same_content(one, two) and one.endswith("}\n")
     assert not same_content(one, one.replace("hard", "soft"))
+
+
+@pytest.mark.parametrize("wrong", [{"max_refs": -1}, {"max_refs": 1.5}, {"max_refs": True}, {"max_refs": "3"}, {"include": "refs"}, {"include": ["refs", "colour"]}, {"include": [1]}])
+def test_values_of_requests_are_checked(spark, symbols, wrong):
+    with pytest.raises(ValueError, match=next(iter(wrong))):
+        context_batch(spark, ["One"], Knowledge(symbols), **wrong)
+    assert not context_batch(spark, ["One"], Knowledge(symbols), max_refs=0, include=[]).first().is_error
+
+
+def test_limits_are_whole_numbers(spark, symbols, tables):
+    know = Knowledge(symbols, tables["claims"], tables["claim_symbols"])
+    for limit in (2.5, None, True, "5"):
+        with pytest.raises(ValueError, match="limit"):
+            call(spark, "find_by_intent", know, query="c", limit=limit)
+    assert "One" in call(spark, "find_by_intent", know, query="c", limit=9999).first().text
+    with pytest.raises(ValueError, match="recent"):
+        call(spark, "impact_of_change", know, symbol="One", recent=-1)
+
+
+def test_lookups(spark, symbols):
+    assert [r.id for r in symbols_where(symbols, path="src/a.ts").collect()] == ["sym:ts:src/a.ts:One", "sym:ts:src/a.ts:Two"]
+    assert [r.path for r in symbols_where(symbols, name="Two").collect()] == ["src/a.ts", "src/b.ts"] and symbols_where(symbols, id="no").count() == 0
+    assert symbols_of_paths(symbols, spark.createDataFrame([("src/b.ts",), ("src/b.ts",), ("none",)], "path string")).count() == 1
+
+
+def test_a_failing_signal_is_absent(spark, symbols, tables, tmp_path):
+    """One that is not there, one whose rows cannot be read, one that its source refuses."""
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0.parquet").write_bytes(b"no parquet")
+
+    def refused():
+        raise RuntimeError("the server is gone")
+
+    know, failed = readable({
+        "symbols": lambda: symbols, "claims": lambda: tables["claims"], "claim_symbols": lambda: tables["claim_symbols"],
+        "refs": lambda: spark.read.parquet(f"{tmp_path}/none"), "type_edges": refused, "diagnostics": lambda: spark.read.schema("path string, line int").parquet(f"{tmp_path}/bad"), "commits": lambda: spark.range(1).select(F.raise_error(F.lit("broken"))),
+    })
+    assert set(failed) == {"refs", "type_edges", "diagnostics", "commits"} and failed["type_edges"] == "the server is gone"
+    text = context_batch(spark, ["One"], know).first().text
+    assert "SYM One@src/a.ts:3 class" in text and "d.md" not in text and "c" in text
+    with pytest.raises(RuntimeError):
+        readable({"symbols": refused})

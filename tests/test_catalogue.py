@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from symloom.plans import catalogue, catalogue_code, catalogue_knowledge, catalogue_store  # noqa: F401, they register queries
+from symloom.plans import catalogue, catalogue_code, catalogue_knowledge, catalogue_shapes, catalogue_store  # noqa: F401, they register queries
 from tests.sqlcheck import SF_DIR, connect, same
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the driver's tables are not here")

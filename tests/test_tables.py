@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from symloom.operators import diff, history, resolve
 from symloom.sources.artifact import ArtifactError, export_artifact, import_artifact, read_artifact, read_tables, write_tables
-from symloom.sources.config import ConfigError, load_config, setting
+from symloom.sources.config import ConfigError, load_config, read_config, setting
 from symloom.sources.extraction import explode_claims, parse_answers
 from symloom.sources.files import scan_markdown, scan_prose, scan_sources
 from symloom.sources.gitlog import parse_git_log
@@ -203,3 +203,37 @@ def test_config():
     config = load_config({"version": 1, "languages": ["go", "python"], "git": {"recent_commits": 0}, "docs": {"include": ["docs/*.md"]}, "extraction": {"narrow_attribution": "drop", "budget_warn_usd": 2}})
     assert config.git.recent_commits == 0 and config.docs.include == ("docs/*.md",) and config.extraction.narrow_attribution == "drop" and config.adrs.path == "docs/adr"
     assert setting(None, 0, 5) == 0
+
+
+FULL = """version: 1
+languages:
+  - typescript
+  - python
+adrs:
+  path: docs/adr/   # where decisions are
+  format: markdown-frontmatter
+docs:
+  include:
+    - README.md
+    - "docs/**/*.md"
+git: {recent_commits: 10}
+index:
+  model: some-model
+atlas:
+  committed: false
+  path: .a/b.json
+"""
+
+
+def test_a_configuration_file(tmp_path):
+    path = tmp_path / "c.yml"
+    path.write_text(FULL)
+    config = read_config(str(path))
+    assert (config.languages, config.adrs.path, config.docs.include, config.git.recent_commits) == (("typescript", "python"), "docs/adr/", ("README.md", "docs/**/*.md"), 10)
+    assert (config.artifact.committed, config.artifact.path, config.index.model) == (False, ".a/b.json", "some-model")
+    for text, told in ((FULL + "extra: 1\n", "extra"), ("languages: [go\n", "line 1"), (FULL.replace("- python", " python: x: y"), "line 4"), (FULL + "artifact: {}\n", "twice"), ("", "mapping")):
+        path.write_text(text)
+        with pytest.raises(ConfigError, match=told):
+            read_config(str(path))
+    with pytest.raises(ConfigError, match="no such file"):
+        read_config(str(tmp_path / "none.yml"))

@@ -1,4 +1,5 @@
 import sqlite3
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +36,13 @@ def test_match_expression(query, expected):
     assert T.match_expression(query) == expected
 
 
+def test_match_expressions_of_a_column(spark):
+    queries = ["?", "one", "a-b", "a b-c", "", "x(y) z-1", "é_1 É", " two  words "]
+    rows = spark.createDataFrame(list(enumerate(queries)), "i int, q string").select("i", T.match_expression_of("q").alias("e"), T.match_limit_of(F.col("i") * 20 - 10).alias("n")).collect()
+    assert {queries[r.i]: r.e for r in rows} == {q: T.match_expression(q) for q in queries}
+    assert [r.n for r in sorted(rows)] == [T.match_limit(i * 20 - 10) for i in range(len(queries))]
+
+
 def test_limits():
     assert [T.match_limit(n) for n in (-1, 0, 5, 9999)] == [1, 1, 5, 50]
     assert [T.overfetch(n) for n in (1, 5, 50)] == [5, 25, 200]
@@ -68,6 +76,24 @@ def test_bm25_equals_a_full_text_engine(spark, query, tmp_path):
     assert found == pytest.approx(expected, abs=1e-8)
 
 
+def test_letters_and_marks_fold_as_in_a_full_text_engine(spark):
+    """All letters of the Latin, Greek and Cyrillic blocks, and marks that stand alone; the engine's case tables are older than five of them."""
+    db = sqlite3.connect(":memory:")
+    db.execute("create virtual table t using fts5(x, tokenize=\"unicode61 tokenchars '_-'\")")
+    db.execute("create virtual table v using fts5vocab(t, row)")
+    newer = "ͿԨԪԬԮ"
+    letters = [c for c in map(chr, [*range(0xB5, 0x530), *range(0x1E00, 0x2000)]) if unicodedata.category(c)[0] == "L" and c not in newer]
+    texts = [f"q{c}z" for c in letters] + [f"e{m}x" for m in T.MARKS] + ["Crème BRÛLÉE e\u0301te\u0301 ΣΊΣΥΦΟΣ ё Й"]
+    want = []
+    for text in texts:
+        db.execute("delete from t")
+        db.execute("insert into t(x) values (?)", (text,))
+        want.append(sorted(r[0] for r in db.execute("select term from v")))
+    got = {r.i: sorted(set(r.t)) for r in spark.createDataFrame(list(enumerate(texts)), "i long, x string").select("i", T.tokens("x").alias("t")).collect()}
+    assert [(t, got[i]) for i, t in enumerate(texts) if got[i] != want[i]] == []
+    assert all([T.fold_text(t)] == w for t, w in zip(texts[:-1], want[:-1], strict=True))
+
+
 def test_index_equals_scan_and_follows_changes(spark, tmp_path):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(CORPUS, 1)], "id long, claim string, rationale string, excerpt string")
     fields = ["claim", "rationale", "excerpt"]
