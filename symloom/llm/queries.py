@@ -240,7 +240,35 @@ SELECT item_id, rank, doc_id, score
 FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored WHERE score > 0) WHERE rank <= 10"""
 
 
+def _suffix_sql() -> str:
+    """Every string of 200 bytes by its hash, out of hexadecimal pieces of 2000 starts; bytes are two digits."""
+    return """
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), sized AS (
+  SELECT *, length(h) // 2 AS n_bytes FROM texts
+), pieces AS (
+  SELECT r, c * 2000 AS base, substr(h, c * 4000 + 1, 4398) AS h FROM (SELECT r, h, unnest(range((n_bytes - 200) // 2000 + 1)) AS c FROM sized WHERE n_bytes >= 200)
+), strings AS (
+  SELECT r, base + p AS p, md5_number(substr(h, 2 * p + 1, 400)) AS k FROM (SELECT r, base, h, unnest(range(least(2000, length(h) // 2 - 199))) AS p FROM pieces)
+), twice AS (
+  SELECT k FROM strings GROUP BY k HAVING count(*) > 1
+), starts AS (
+  SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM strings WHERE k IN (SELECT k FROM twice)
+), spans AS (
+  SELECT r, g, min(p) AS a, max(p) + 200 AS b FROM (SELECT r, p, sum(CASE WHEN before IS NULL OR p > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS g FROM starts) GROUP BY r, g
+), gaps AS (
+  SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS from_byte FROM spans
+), cut AS (
+  SELECT g.r, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * from_byte + 1, 2 * (a - from_byte)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+  FROM gaps g JOIN sized s ON s.r = g.r GROUP BY g.r
+)
+SELECT s.doc_id, s.n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, s.h))) AS kept_sha256
+FROM sized s LEFT JOIN cut c ON c.r = s.r"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_suffix_dedup": _suffix_sql(),
     "op13_ranked_search": _ranked_sql(),
     "op11_merkle_manifest": _merkle_sql(),
     "op2_minhash_dedup": _near_sql(),
