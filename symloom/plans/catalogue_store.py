@@ -7,16 +7,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symloom.operators.fusion import Knowledge
 from symloom.operators.history import co_change_top
 from symloom.operators.segments import SegmentIndex, build_segments
+from symloom.plans.batch import context_batch
 from symloom.plans.catalogue import DOC_CLAIMS, PART_CLAIMS, PHRASE_QUERY, QUERY, SINGLE, _query, _read, bm25_sql, doc_claims, part_claims
 from symloom.plans.catalogue_knowledge import _CLAIMS, _SEARCHES, _SYMBOLS, _claims, _links, _symbols
 from symloom.plans.index_run import Inputs
 from symloom.plans.store_run import blank_tables, run_into_store
 from symloom.schemas import META
 from symloom.sources.artifact import artifact_pieces, empty_history, import_artifact, read_artifact
+from symloom.sources.config import read_configs
 from symloom.sources.files import scan_prose, scan_sources
 from symloom.sources.folders import shared_folder
+from symloom.sources.provider import TableSource, conformance
 from symloom.sources.snapshots import SnapshotStore, migrate, open_tables, save_tables
 from symloom.sources.trees import read_tree, write_tree
 from symloom.streaming.incremental import Baseline
@@ -202,3 +206,52 @@ def artifact_file(spark: SparkSession, d: str) -> DataFrame:
     import_artifact(document)  # it is valid
     n = F.size("symbols")
     return document.select(n.alias("n"), F.posexplode("symbols").alias("at", "s")).select((F.col("n") - F.col("at")).cast("long").alias("place"), F.col("s.id").alias("path"), "s.name", "s.line", "s.signature")
+
+
+# ---- configurations, sources, batches as JSON
+
+_CONFIGS = (
+    "version: 1\nlanguages: [python, go]\ngit: {recent_commits: {n}}\n", "languages:\n  - typescript\nadrs:\n  path: docs/{n}/  # decisions\ndocs:\n  include:\n    - README.md\n    - 'docs/**/*.md'\natlas:\n  committed: false\n",
+    "languages: [go]\nextraction:\n  narrow_attribution: drop\n", "languages: [go]\ncolour: {n}\n", "languages: [go\n", "languages: [cobol{n}]\n", "", "languages: [go]\ngit:\n  recent_commits: -{n}\n", "languages: [go]\nversion: 2\n",
+)
+
+
+@_query(f"""SELECT CAST(p_partkey AS VARCHAR) AS path, CASE p_partkey % {len(_CONFIGS)} WHEN 0 THEN 'python,go' WHEN 1 THEN 'typescript' WHEN 2 THEN 'go' END AS languages,
+  CASE p_partkey % {len(_CONFIGS)} WHEN 0 THEN 'docs/adr' WHEN 1 THEN 'docs/' || p_partkey || '/' WHEN 2 THEN 'docs/adr' END AS adr_path, CASE p_partkey % {len(_CONFIGS)} WHEN 0 THEN '' WHEN 1 THEN 'README.md,docs/**/*.md' WHEN 2 THEN '' END AS include,
+  CASE p_partkey % {len(_CONFIGS)} WHEN 0 THEN p_partkey WHEN 1 THEN 5 WHEN 2 THEN 5 END AS recent_commits, CASE p_partkey % {len(_CONFIGS)} WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true END AS committed,
+  CASE WHEN p_partkey % {len(_CONFIGS)} = 2 THEN 'drop' END AS attribution, CASE p_partkey % {len(_CONFIGS)} WHEN 3 THEN 'unknown keys colour' WHEN 4 THEN 'line 1: ] is missing' WHEN 5 THEN 'languages: unknown cobol' || p_partkey
+  WHEN 6 THEN 'a mapping is needed, not null' WHEN 7 THEN 'git.recent_commits: int is needed, not int' WHEN 8 THEN 'version: 1 is needed' END AS error FROM part""")
+def config_files(spark: SparkSession, d: str) -> DataFrame:
+    """Configuration files of many code bases, right and wrong ones."""
+    key = F.col("p_partkey")
+    text = F.element_at(F.array(*map(F.lit, _CONFIGS)), (key % len(_CONFIGS)).cast("int") + 1)
+    found = read_configs(_read(spark, d, "part").select(key.cast("string").alias("path"), F.replace(text, F.lit("{n}"), key.cast("string")).alias("text")))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("languages", "include")}).withColumn("recent_commits", F.col("recent_commits").cast("long"))
+
+
+@_query("""SELECT * FROM (VALUES ('ids repeat'), ('kinds are unknown'), ('lines start below 1'), ('names are empty'), ('languages differ'), ('ids disagree with language, path or name'), ('references lead nowhere'), ('severities are unknown')) v(wrong)
+WHERE (SELECT count(*) FROM part) > 20""")
+def source_conformance(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with a source whose rows are spoilt by their number."""
+    key = F.col("p_partkey")
+    part = _read(spark, d, "part")
+    name = F.when(key == 7, F.lit(" ")).otherwise(F.concat(F.lit("N"), key.cast("string")))
+    path = F.concat(F.lit("src/p"), key.cast("string"), F.lit(".go"))
+    rows = part.select(
+        F.concat(F.lit("sym:go:"), path, F.lit(":"), name).alias("id"), F.when(key == 11, "other").otherwise(name).alias("name"), F.when(key == 5, "thing").otherwise("class").alias("kind"), path.alias("path"), F.when(key == 3, 0).otherwise(F.col("p_size")).alias("line"),
+        F.lit(None).cast("string").alias("signature"), F.lit(None).cast("string").alias("parent_id"), F.lit("0").alias("file_sha"), F.when(key == 9, "python").otherwise("go").alias("language"), key.alias("n"),
+    )
+    symbols = rows.unionByName(rows.where("n = 2")).drop("n")
+    pages = _read(spark, d, "pages")
+    refs = pages.select(F.lit(0).alias("ordinal"), F.lit("ref:go:b.go:3").alias("ref_id"), F.concat(F.lit("sym:go:gone:"), F.col("page_id").cast("string")).alias("symbol_id"), F.lit("b.go").alias("path"), F.lit(3).alias("line"), F.lit(None).cast("int").alias("col"))
+    notes = _read(spark, d, "events").select(F.lit("a.go").alias("path"), F.lit(1).alias("line"), F.lit(None).cast("int").alias("col"), F.col("event_type").alias("severity"), F.col("props").alias("message"))
+    wrong = conformance(spark, TableSource("go", symbols, refs, None, notes))
+    return spark.createDataFrame([(w,) for w in wrong], "wrong string")
+
+
+@_query(f"""WITH {_SYMBOLS} SELECT '{{"results":[{{"symbol":"part3","bundle":{{"symbol_id":"' || a.id || '","name":"part3","kind":"class","path":"' || a.path || '","line":' || a.line || ',"signature":"' || a.signature
+  || '","intent":null,"refs":null,"tests":null,"types":null,"git":null,"diagnostics":null}},"error":null}},{{"symbol":"nothing","bundle":null,"error":{{"code":"not_found","message":"' AS head, true AS closed FROM symbols a WHERE name = 'part3'""")
+def json_batches(spark: SparkSession, d: str) -> DataFrame:
+    """A batch of two names as JSON: one bundle, one error, up to the error's message."""
+    found = context_batch(spark, ["part3", "nothing"], Knowledge(_symbols(spark, d)), include=[], output="json")
+    return found.select(F.concat(F.substring_index("json", '"message":"', 1), F.lit('"message":"')).alias("head"), F.col("json").endswith("]}").alias("closed"))

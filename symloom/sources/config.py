@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field, fields
 from typing import Any
 
+import pandas as pd
+from pyspark.sql import DataFrame
+
 from symloom.functions.text import DEFAULT_MATCHES
 from symloom.functions.yamltext import YamlError, parse_yaml
 from symloom.operators.history import RECENT
@@ -123,6 +127,26 @@ def read_config(path: str) -> Config:
         raise ConfigError(f"{path}: {error}") from error
 
 
+READ = "path string, languages array<string>, adr_path string, include array<string>, recent_commits int, committed boolean, attribution string, error string"
+
+
+def read_configs(files: DataFrame) -> DataFrame:
+    """What the configuration files (path, text) of many code bases say, or in ``error`` why one cannot be used."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for path, text in zip(frame.path, frame.text, strict=True):
+                try:
+                    c = load_config(parse_yaml(text or ""))
+                    rows.append((path, list(c.languages), c.adrs.path, list(c.docs.include), c.git.recent_commits, c.artifact.committed, c.extraction.narrow_attribution, None))
+                except (YamlError, ConfigError) as error:
+                    rows.append((path, *[None] * 6, str(error)))
+            yield pd.DataFrame(rows, columns=[f.split()[0] for f in READ.split(", ")], dtype=object)
+
+    return files.select("path", "text").mapInPandas(run, READ)
+
+
 def load_config(given: Any) -> Config:
     """A validated configuration; unknown keys anywhere are errors."""
     if not isinstance(given, dict):
