@@ -75,7 +75,7 @@ NOISE_ROLES = "navigation banner contentinfo complementary search form dialog al
 NOISE_WORDS = (
     "ad ads advert adverts advertisement banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer "
     "cookie cookies consent notice gdpr popup modal newsletter subscribe signup login share sharing social related recommended comment comments "
-    "disqus respond replies widget pagination pager search toolbar masthead skip"
+    "commentlist commentform disqus respond replies widget pagination pager search toolbar masthead skip"
 )
 # Words that make a class name one of a state, and words of mere containers.
 STATE_WORDS = "has no with without is not hide show"
@@ -130,7 +130,8 @@ def _opened(tag: str, rest: str, parent: _Element) -> _Element:
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id"):
             label += "." + ".".join(sorted(value.split())) if name == "class" else "#" + re.sub(r"\d+", "0", value)
-            if tag not in ("html", "body") and any(map(is_noise_name, value.split())):
+            named = [v for v in value.split() if is_noise_name(v) and not (inside and tag == "section" and v == "menu")]  # a section of an article may hold a restaurant's
+            if named and tag not in ("html", "body"):
                 noise = max(noise, 1)
         elif name == "role":
             noise = 2 if value in _NOISE_ROLES else noise

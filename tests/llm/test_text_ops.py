@@ -151,6 +151,16 @@ def test_merging_many_equals_merging_one(bpe):
 # ---- html
 
 
+def test_comments_go_and_a_section_of_an_article_stays():
+    def text(page):
+        return Page(page).text()
+
+    assert text('<article><p>Own</p><ol class="commentlist"><li>Reader says</li></ol><div class="comment-list">x</div></article>') == "Own"
+    assert text('<article><p>Eat</p><section class="menu"><p>Menu of the restaurant: soup</p></section></article>') == "Eat Menu of the restaurant: soup"
+    assert text('<article><p>Own</p><ul class="menu"><li>Home</li></ul><nav><section class="menu">x</section></nav></article><section class="menu">y</section>') == "Own"
+
+
+
 def test_page_text():
     page = "<!DOCTYPE html><html><head><title>no</title><script>var t='</p>';</script></head><body><header>menu</header><nav><ul><li><a href='/'>x</a></ul></nav><div class='ad'>buy</div><article><h1>T &eacute;&amp;</h1><p>one  <b>two</b>\n three<p>four<br>five<!-- no --><div class='post-comments'><p>bad</div><aside>no</aside></article><footer>&copy; no</footer></body></html>"
     assert Page(page).text() == "T é& one two three four five"
