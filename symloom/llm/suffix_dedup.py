@@ -61,8 +61,8 @@ _BYTE = seeds(256, 12)
 #: No byte of a UTF-8 text is 0xFF; texts are moved up by one, so that 0 ends the whole.
 _GAP = 0xFF
 
-#: ``shape`` packs the bytes of a stretch and the place of its anchor.
-_STRETCH = "anchor long, t1 long, t2 long, lo int, shape int, ctx long"
+#: ``shape`` packs the bytes of a stretch and the place of its anchor; ``reach`` is the bytes from it to the end of its last repetition, or 0.
+_STRETCH = "anchor long, t1 long, t2 long, lo int, shape int, reach int, ctx long"
 _CANDIDATE = "t1 long, t2 long, body binary, begins array<int>, ends array<int>, parts array<struct<key:bigint,lo:int,at:int,body:binary>>"
 _SPAN = "t1 long, t2 long, lo int, hi int"
 
@@ -179,6 +179,18 @@ def stretches_of(data: np.ndarray, offsets: np.ndarray, min_bytes: int, gram: in
     return text[begin], first, last, grams[anchor], anchor, body
 
 
+def repeated_runs(*same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(kept, last): of neighbours that are equal in all columns, the first and the last are kept; for each row, the last of its neighbours."""
+    n = len(same[0])
+    if not n:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    new = np.ones(n + 1, dtype=bool)
+    new[1:n] = np.any([c[1:] != c[:-1] for c in same], axis=0)
+    begin = np.flatnonzero(new[:n])
+    last = np.repeat(np.append(begin[1:], n) - 1, np.diff(np.append(begin, n)))
+    return np.flatnonzero(new[:n] | new[1:]), last
+
+
 def _segments(texts: pa.Array, min_bytes: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, byte of it, bytes, offsets); a text beyond the block is cut so that no window is lost or doubled."""
     for i, _, data, offsets in text_blocks(texts, _BLOCK):
@@ -195,18 +207,25 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _anchored(min_bytes: int, gram: int) -> Callable[[Iterator], Iterator]:
-    """(anchor, text, first byte, bytes, hash) of every stretch of (t1, t2, body)."""
+    """The stretches of (t1, t2, body).
+
+    Where a text repeats a few bytes on and on, a stretch follows itself; of such a
+    run the first and the last are given, and the first reaches to the end, so rows
+    stay in proportion to bytes whatever the text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t1, t2 = (batch.column(k).to_numpy() for k in (0, 1))
             for i, shift, data, offsets in _segments(batch.column(2), min_bytes):
                 text, first, last, anchor, at, body = stretches_of(data, offsets, min_bytes, gram)
-                lo = first - offsets[text] + shift
-                for a in range(0, len(text), _ROWS):
-                    b = slice(a, a + _ROWS)
-                    columns = [_signed(anchor[b]), pa.array(t1[i + text[b]]), pa.array(t2[i + text[b]]), pa.array(lo[b].astype(np.int32)), pa.array(((last[b] - first[b] + min_bytes) * min_bytes + at[b] - first[b]).astype(np.int32)), _signed(body[b])]
-                    yield pa.RecordBatch.from_arrays(columns, names=["anchor", "t1", "t2", "lo", "shape", "ctx"])
+                lo, size = first - offsets[text] + shift, last - first + min_bytes
+                kept, end = repeated_runs(text, anchor, body, at - first, size)
+                reach = np.where(end > np.arange(len(end)), last[end] - first + min_bytes, 0)
+                for a in range(0, len(kept), _ROWS):
+                    b = kept[a : a + _ROWS]
+                    columns = [_signed(anchor[b]), pa.array(t1[i + text[b]]), pa.array(t2[i + text[b]]), pa.array(lo[b].astype(np.int32)), pa.array((size[b] * min_bytes + at[b] - first[b]).astype(np.int32)), pa.array(reach[b].astype(np.int32)), _signed(body[b])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["anchor", "t1", "t2", "lo", "shape", "reach", "ctx"])
 
     return lean(run)
 
@@ -217,7 +236,7 @@ def _cut(min_bytes: int) -> Callable[[Iterator], Iterator]:
     schema = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("body", pa.binary()), ("begins", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("parts", pa.list_(part))])
 
     def one(body: bytes, entries: list[dict]) -> tuple:
-        covered = [(e["lo"], e["lo"] + e["shape"] // min_bytes) for e in entries if e["covered"]]
+        covered = [(e["lo"], e["lo"] + max(e["reach"], e["shape"] // min_bytes)) for e in entries if e["covered"]]
         begins, ends = joined_spans(*(np.array([c[k] for c in covered], dtype=np.int64) for k in (0, 1)))
         parts = [{"key": e["anchor"], "lo": e["lo"], "at": e["shape"] % min_bytes, "body": body[e["lo"] : e["lo"] + e["shape"] // min_bytes]} for e in entries if e["wanted"]]
         whole = len(begins) == 1 and begins[0] == 0 and ends[0] == len(body)
@@ -352,9 +371,9 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", min_bytes: int = MIN
     mixed = shared.where("NOT same")
     kinds = mixed.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t1", "t2", "lo")).alias("rep"))
     kinds = scratch.write(kinds, "suffix-kinds")
-    told = mixed.join(kinds, ["anchor", "ctx"]).select("anchor", "t1", "t2", "lo", "shape", (F.col("n") > 1).alias("covered"), (F.struct("t1", "t2", "lo") == F.col("rep")).alias("wanted"))
-    told = told.unionByName(shared.where("same").select("anchor", "t1", "t2", "lo", "shape", F.lit(True).alias("covered"), F.lit(False).alias("wanted")))
-    by_text = told.where("covered OR wanted").groupBy("t1", "t2").agg(F.collect_set(F.struct("anchor", "lo", "shape", "covered", "wanted")).alias("entries"))
+    told = mixed.join(kinds, ["anchor", "ctx"]).select("anchor", "t1", "t2", "lo", "shape", "reach", (F.col("n") > 1).alias("covered"), (F.struct("t1", "t2", "lo") == F.col("rep")).alias("wanted"))
+    told = told.unionByName(shared.where("same").select("anchor", "t1", "t2", "lo", "shape", "reach", F.lit(True).alias("covered"), F.lit(False).alias("wanted")))
+    by_text = told.where("covered OR wanted").groupBy("t1", "t2").agg(F.collect_set(F.struct("anchor", "lo", "shape", "reach", "covered", "wanted")).alias("entries"))
     one = texts.groupBy("t1", "t2").agg(F.first("body").alias("body"))  # copies are one text before the shuffle
     touched = one.join(by_text, ["t1", "t2"]).select("t1", "t2", F.col("body").cast("binary").alias("body"), "entries")
     candidates = scratch.write(touched.mapInArrow(_cut(min_bytes), _CANDIDATE), "suffix-candidates")

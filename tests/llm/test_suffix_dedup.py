@@ -4,7 +4,7 @@ from hashlib import sha256
 import numpy as np
 import pytest
 
-from symloom.llm.suffix_dedup import bounded_lcp, joined_spans, repeated_starts, stretches_of, suffix_dedup, suffix_order
+from symloom.llm.suffix_dedup import bounded_lcp, joined_spans, repeated_runs, repeated_starts, stretches_of, suffix_dedup, suffix_order
 
 DOCS = "doc_id long, text string, t1 string, anchor int, lo string, body int, key string"
 
@@ -96,6 +96,27 @@ def test_long_texts_are_cut_without_loss(spark, monkeypatch):
     assert found == [len(t) - 199 for t in texts]
 
 
+def test_texts_that_repeat_a_few_bytes_have_few_rows(spark):
+    """A row for each byte of such a text would be more than its bytes."""
+    import symloom.llm.suffix_dedup as s
+
+    rng = random.Random(3)
+    texts = ["a" * 300_000, "ab" * 100_000 + "x" + "ab" * 50_000, "=-" * 90 + prose(rng, 60) + "\n" * 5000, "".join("line of a table\n" for _ in range(4000)), prose(rng, 3000)]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * 5), pa.array(range(5)), pa.array(texts)], names=["t1", "t2", "body"])
+    rows = sum(b.num_rows for b in s._anchored(200, 48)(iter([batch])))
+    assert rows < sum(map(len, texts[4:])) / 60 + 100
+    got = sorted((tuple(r) for r in suffix_dedup(spark.createDataFrame([(i, t, "x", 1, "y", 2, "z") for i, t in enumerate(texts)], DOCS)).collect()), key=str)
+    assert got == plain_rows(list(enumerate(texts)))
+
+
+def test_runs_of_equal_neighbours():
+    kept, last = repeated_runs(np.array([1, 1, 1, 2, 3, 3]), np.array([0, 0, 0, 0, 0, 1]))
+    assert kept.tolist() == [0, 2, 3, 4, 5] and last.tolist() == [2, 2, 2, 3, 4, 5]
+    assert [x.tolist() for x in repeated_runs(np.zeros(0))] == [[], []]
+
+
 def test_an_empty_table(spark):
     empty = suffix_dedup(spark.createDataFrame([], DOCS))
     assert empty.collect() == [] and empty.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
