@@ -22,6 +22,8 @@ from symloom.sources.snapshots import Manifest, Part, SnapshotStore
 FILE_EVENTS = "path string, sha string, seq long"
 #: Parts of a tier that are merged into one; rows of the smallest tier.
 FANOUT, SMALLEST = 4, 1024
+#: Batches whose changes a version names; those of earlier ones are in the versions before.
+NAMED = 64
 #: Paths up to which the baseline is looked up by value, so that the scan skips what does not hold them.
 LOOKED_UP = 1000
 
@@ -65,7 +67,7 @@ class Baseline:
         return _latest(every).where("sha IS NOT NULL").select("path", "sha")
 
     def changes(self, batch: int) -> DataFrame:
-        """(path, status) of a batch; nothing for one that changed nothing."""
+        """(path, status) of a batch; nothing for one that changed nothing, or that the newest version names no more."""
         parts = [p for p in self._parts(self.store.manifest(), "changes") if p.notes["batch"] == batch]
         return self.store.rows(parts) if parts else self.store.spark.createDataFrame([], "path string, status string")
 
@@ -79,7 +81,7 @@ class Baseline:
         changes = sha_diff(self.rows(wanted.select("path"), base), wanted.where("sha IS NOT NULL")).where("status <> 'unchanged'")
         changed = self.store.write("changes", changes, batch=batch)
         told = self.store.rows([changed]).join(wanted, "path", "left").select("path", F.when(F.col("status") != "deleted", F.col("sha")).alias("sha"), F.lit(batch).cast("long").alias("batch"))
-        tables = {"changes": [*self._parts(base, "changes"), changed]}
+        tables = {"changes": [*self._parts(base, "changes"), changed][-NAMED:]}
         parts = list(self._parts(base))
         if changed.rows:
             parts = self._merged([*parts, self._written(told, batch)])
