@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from symloom.operators.fusion import Knowledge
 from symloom.operators.history import co_change_top
+from symloom.operators.resolve import symbols_of_paths, symbols_where
 from symloom.operators.segments import SegmentIndex, build_segments
 from symloom.plans.batch import context_batch
 from symloom.plans.catalogue import DOC_CLAIMS, PART_CLAIMS, PHRASE_QUERY, QUERY, SINGLE, _query, _read, bm25_sql, doc_claims, part_claims
@@ -16,7 +17,7 @@ from symloom.plans.catalogue_knowledge import _CLAIMS, _SEARCHES, _SYMBOLS, _cla
 from symloom.plans.index_run import Inputs
 from symloom.plans.store_run import blank_tables, run_into_store
 from symloom.schemas import META
-from symloom.sources.artifact import artifact_pieces, empty_history, import_artifact, read_artifact
+from symloom.sources.artifact import artifact_pieces, empty_history, import_artifact, read_artifact, setting_of
 from symloom.sources.config import read_configs
 from symloom.sources.files import scan_prose, scan_sources
 from symloom.sources.folders import shared_folder
@@ -255,3 +256,26 @@ def json_batches(spark: SparkSession, d: str) -> DataFrame:
     """A batch of two names as JSON: one bundle, one error, up to the error's message."""
     found = context_batch(spark, ["part3", "nothing"], Knowledge(_symbols(spark, d)), include=[], output="json")
     return found.select(F.concat(F.substring_index("json", '"message":"', 1), F.lit('"message":"')).alias("head"), F.col("json").endswith("]}").alias("closed"))
+
+
+@_query(f"""WITH {_SYMBOLS} SELECT 'path' AS way, id FROM symbols WHERE path IN (SELECT 'src/p' || page_id || '.ts' FROM pages)
+UNION ALL SELECT 'name', id FROM symbols WHERE name = 'part6' UNION ALL SELECT 'both', id FROM symbols WHERE name = 'part6' AND path = 'src/p7.ts'""")
+def symbol_lookups(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols of the paths of a table, of one name, and of a name at a path."""
+    symbols = _symbols(spark, d)
+    paths = _read(spark, d, "pages").select(F.concat(F.lit("src/p"), F.col("page_id").cast("string"), F.lit(".ts")).alias("path"))
+    found = (("path", symbols_of_paths(symbols, paths)), ("name", symbols_where(symbols, name="part6")), ("both", symbols_where(symbols, name="part6", path="src/p7.ts")))
+    return reduce(DataFrame.unionByName, [rows.select(F.lit(way).alias("way"), "id") for way, rows in found])
+
+
+@_query("""SELECT n_name AS key, stored, coalesce(stored, 'none') AS told FROM (SELECT n_name, CASE WHEN n_nationkey % 2 = 0 THEN 'v' || (SELECT count(*) FROM customer c WHERE c.c_nationkey = n.n_nationkey) END AS stored FROM nation n)""")
+def stored_settings(spark: SparkSession, d: str) -> DataFrame:
+    """Values of the meta data of a store: what is stored, else the default."""
+    counts = _read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n"))
+    nations = _read(spark, d, "nation")
+    meta = nations.where("n_nationkey % 2 = 0").join(counts, "n_nationkey", "left").select(F.col("n_name").alias("key"), F.concat(F.lit("v"), F.coalesce("n", F.lit(0)).cast("string")).alias("value"))
+    store = SnapshotStore(spark, shared_folder(spark, "settings"))
+    save_tables(store, blank_tables(store) | {"meta": meta})
+    tables = open_tables(store)
+    told = [(r.n_name, setting_of(tables, r.n_name), setting_of(tables, r.n_name, default="none")) for r in nations.select("n_name").collect()]  # 25 nations
+    return spark.createDataFrame(told, "key string, stored string, told string")
