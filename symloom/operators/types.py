@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from symloom.functions.parsers import (
     alias_signature, body_docstring_of, callable_signature, class_bases, class_header, go_docstring, import_aliases,
@@ -38,11 +36,14 @@ def _python_symbol(text: str, kind: int, line: int, name: str, aliases: dict[str
     return ("variable", None) if kind == _CONSTANT else (None, None)
 
 
-@F.pandas_udf(StructType([StructField("kind", StringType()), StructField("signature", StringType())]))
-def _python_symbol_of(text: pd.Series, kind: pd.Series, line: pd.Series, name: pd.Series) -> pd.DataFrame:
-    aliases = lru_cache(8)(import_aliases)
-    rows = [_python_symbol(t or "", int(k), int(n), s, aliases(t or "")) for t, k, n, s in zip(text, kind, line, name, strict=True)]
-    return pd.DataFrame(rows, columns=["kind", "signature"])
+@F.pandas_udf(ArrayType(StructType([StructField("kind", StringType()), StructField("signature", StringType())])))
+def _python_symbols_of(text: pd.Series, listed: pd.Series) -> pd.Series:
+    out = []
+    for own, symbols in zip(text, listed, strict=True):
+        own = own or ""
+        aliases = import_aliases(own) if any(s["kind"] == _CLASS for s in symbols) else {}
+        out.append([dict(zip(("kind", "signature"), _python_symbol(own, s["kind"], s["line"], s["name"], aliases), strict=True)) for s in symbols])
+    return pd.Series(out, dtype=object)
 
 
 def python_symbols(flat: DataFrame, files: DataFrame) -> DataFrame:
@@ -50,9 +51,12 @@ def python_symbols(flat: DataFrame, files: DataFrame) -> DataFrame:
 
     Classes with a Protocol base are interfaces, assignments in alias form are
     types, other assignments inside functions and all unknown kinds are dropped.
+    A text goes to Python once, with all symbols of its file, and is never broadcast.
     """
-    rows = flat.join(files.select("path", "text"), "path").withColumn("s", _python_symbol_of("text", "kind", "line", "name"))
-    return rows.where("s.kind is not null").select("path", "name", F.col("s.kind").alias("kind"), "line", F.col("s.signature").alias("signature"))
+    listed = flat.groupBy("path").agg(F.collect_list(F.struct("name", "kind", "line")).alias("listed"))
+    rows = files.select("path", "text").hint("merge").join(listed, "path").withColumn("told", _python_symbols_of("text", "listed"))
+    every = rows.select("path", F.explode(F.arrays_zip("listed", "told")).alias("s")).where("s.told.kind is not null")
+    return every.select("path", "s.listed.name", "s.told.kind", "s.listed.line", "s.told.signature")
 
 
 def protocol_classes(classes: DataFrame) -> DataFrame:

@@ -46,6 +46,15 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tasks for each core where rows are dealt before texts are made of them and parsed.
+TASKS = 4
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a table that may be one small file, dealt over all cores by their keys."""
+    return rows.repartition(TASKS * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 # ---- stand-ins, in Spark and in SQL
 
 

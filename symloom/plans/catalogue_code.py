@@ -13,7 +13,7 @@ from symloom.functions import paths, text
 from symloom.functions.parsers import class_table, flatten_symbols, frontmatter_symbols_of, go_embedded, module_symbols, ts_heritage_of, ts_signature_of
 from symloom.operators import types
 from symloom.operators.resolve import enclosing_symbols, split_bases, unresolved_frontmatter, used_by_types
-from symloom.plans.catalogue import _query, _read
+from symloom.plans.catalogue import _query, _read, dealt
 
 
 def _pick(n: Column, *values: str) -> Column:
@@ -138,7 +138,7 @@ _PY_LISTED = (("Shape{n}", 5, 2), ("Box{n}", 5, 6), ("area", 6, 7), ("a", 13, 7)
 
 
 def _py_files(spark: SparkSession, d: str) -> DataFrame:
-    return _read(spark, d, "part").select(_key().cast("string").alias("path"), _fill(_PY, n=_key(), s=_key() % 7).alias("text"))
+    return dealt(_read(spark, d, "part").select("p_partkey"), "p_partkey").select(_key().cast("string").alias("path"), _fill(_PY, n=_key(), s=_key() % 7).alias("text"))
 
 
 _PY_SQL = "py AS (SELECT CAST(p_partkey AS VARCHAR) AS path, p_partkey AS n, p_partkey % 7 AS s FROM part)"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from symloom.functions import paths
 from symloom.functions.parsers import class_table, flatten_symbols, frontmatter_symbols_of, ts_heritage_of, ts_signature_of
 from symloom.operators import types
-from symloom.plans.catalogue import _query, _read
+from symloom.plans.catalogue import _query, _read, dealt
 
 
 def _literal(value: str | int | None) -> str:
@@ -28,7 +28,7 @@ def _shaped(spark: SparkSession, d: str, texts: list[str]) -> DataFrame:
     """(n, shape, text) of every part."""
     shape = F.col("p_partkey") % len(texts)
     text = F.element_at(F.array(*map(F.lit, texts)), (shape + 1).cast("int"))
-    return _read(spark, d, "part").select(F.col("p_partkey").alias("n"), shape.alias("shape"), F.replace(text, F.lit("{n}"), F.col("p_partkey").cast("string")).alias("text"))
+    return dealt(_read(spark, d, "part").select("p_partkey"), "p_partkey").select(F.col("p_partkey").alias("n"), shape.alias("shape"), F.replace(text, F.lit("{n}"), F.col("p_partkey").cast("string")).alias("text"))
 
 
 def _of_shape(column: str, values: list) -> Column:
