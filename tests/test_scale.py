@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from symloom.operators import types
+from symloom.operators.resolve import attribute_claims, documented_claims, resolved_sets
 
 
 def plan_of(df):
@@ -38,3 +39,18 @@ def test_imports_are_those_of_all_statements():
 
     text = "def f():\n    import a as x\n    try:\n        from b import c as y\n    except E:\n        from d import e as z\nfrom g import h as y\nmatch v:\n    case 1:\n        from i import j as w\n"
     assert {k: v for k, v in import_aliases(text).items() if len(k) == 1} == {"y": "c", "z": "e", "w": "j"}
+
+
+def test_claims_with_the_same_candidates_are_resolved_once(spark):
+    n, m = 300, 400
+    symbols = spark.range(m).select(F.col("id").cast("string").alias("id"), F.lit("same").alias("name"))
+    claims = spark.range(n).select(F.col("id").alias("claim_id"), F.concat(F.lit("own"), "id").alias("documented_id"), F.lit("d").alias("source_path"), F.array(F.lit("same"), F.lit("same"), F.lit("none")).alias("symbol_candidates"))
+    sets = resolved_sets(claims, symbols).collect()
+    every = sorted(map(str, range(m)))
+    assert [r.resolved for r in sets] == [every]  # one row, not n * m links
+    blank = spark.createDataFrame([(n, "7", "d", ["same"]), (n + 1, None, "d", ["none"]), (n + 2, "z", "d", None), (n + 3, None, "d", None)], "claim_id long, documented_id string, source_path string, symbol_candidates array<string>")
+    told = {r.claim_id: r.symbol_ids for r in documented_claims(claims.unionByName(blank), symbols).collect()}
+    assert told[5] == sorted([*every, "own5"]) and told[n] == every and told[n + 1] == [] and told[n + 2] == ["z"] and told[n + 3] == [] and len(told) == n + 4
+    front = spark.createDataFrame([("d", ["same"])], "source_path string, symbols array<string>")
+    out = attribute_claims(claims.unionByName(blank), symbols, front, "drop")
+    assert {r.claim_id: r.symbol_ids for r in out.collect()}[n + 1] == [] and out.columns == [*claims.columns, "symbol_ids"]
