@@ -17,13 +17,13 @@ from symloom.plans.catalogue_knowledge import _CLAIMS, _SEARCHES, _SYMBOLS, _cla
 from symloom.plans.index_run import Inputs
 from symloom.plans.store_run import blank_tables, run_into_store
 from symloom.schemas import META
-from symloom.sources.artifact import artifact_pieces, empty_history, import_artifact, read_artifact, setting_of
+from symloom.sources.artifact import empty_history, import_artifact, read_artifact, setting_of, write_artifact
 from symloom.sources.config import read_configs
 from symloom.sources.files import scan_prose, scan_sources
 from symloom.sources.folders import shared_folder
 from symloom.sources.provider import TableSource, conformance
 from symloom.sources.snapshots import SnapshotStore, migrate, open_tables, save_tables
-from symloom.sources.trees import read_tree, write_tree
+from symloom.sources.trees import make_folder, read_tree, write_tree
 from symloom.streaming.incremental import Baseline
 
 _TOP = 20
@@ -201,8 +201,8 @@ def artifact_file(spark: SparkSession, d: str) -> DataFrame:
     )
     tables = blank_tables(SnapshotStore(spark, shared_folder(spark, "none"))) | {"symbols": symbols, "meta": spark.createDataFrame([("version", "1.3"), ("generator.symloom_version", "1")], META)}
     root = shared_folder(spark, "artifact")
-    pieces = spark.createDataFrame([("a.json", "".join(artifact_pieces(tables)))], "rel_path string, text string")
-    write_tree(pieces, root)
+    make_folder(root)
+    write_artifact(tables, f"{root}/a.json")
     document = read_artifact(spark, f"{root}/a.json")
     import_artifact(document)  # it is valid
     n = F.size("symbols")

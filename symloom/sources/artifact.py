@@ -7,7 +7,6 @@ on import and collected again, in canonical order, on export.
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from collections.abc import Iterator
 from contextlib import suppress
@@ -19,9 +18,12 @@ from pyspark.sql import functions as F
 from symloom.functions.paths import language_of_id
 from symloom.operators.history import commit_files, pivot_files
 from symloom.schemas import ARTIFACT, ARTIFACT_VERSIONS, CLAIM_SYMBOLS, COMMITS, META, dangling
+from symloom.sources.trees import located
 
 _OPTIONAL_SYMBOL = ("signature", "parent_id")
 _OPTIONAL_CLAIM = ("rationale", "excerpt")
+#: Bytes of a document that are written at a time.
+_BUFFER = 1 << 20
 
 
 class ArtifactError(ValueError):
@@ -165,15 +167,17 @@ def read_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def write_artifact(tables: dict[str, DataFrame], path: str, **overrides: str) -> None:
-    """The exported document as one UTF-8 file of the driver; it takes its place when it is whole."""
-    draft = f"{path}.{uuid.uuid4().hex}.draft"
+    """The exported document as one UTF-8 file (a path or URI); it is written piece by piece and takes its place when it is whole."""
+    system, inner = located(path)
+    draft = f"{inner}.{uuid.uuid4().hex}.draft"
     try:
-        with open(draft, "w", encoding="utf-8", newline="\n") as out:
-            out.writelines(artifact_pieces(tables, **overrides))
-        os.replace(draft, path)
+        with system.open_output_stream(draft, buffer_size=_BUFFER) as out:
+            for piece in artifact_pieces(tables, **overrides):
+                out.write(piece.encode())
+        system.move(draft, inner)
     finally:
         with suppress(FileNotFoundError):
-            os.remove(draft)
+            system.delete_file(draft)
 
 
 def same_content(one: str, two: str) -> bool:

@@ -83,15 +83,21 @@ class Rules:
         return path.startswith(self.below) and size >= self.min_bytes and (self.max_bytes is None or size <= self.max_bytes)
 
 
-def _located(path: str) -> tuple[fs.FileSystem, str]:
+def located(path: str) -> tuple[fs.FileSystem, str]:
     """A path or URI as a file system and the path in it."""
     system, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
     return system, inner.rstrip("/")
 
 
+def make_folder(path: str) -> None:
+    """A folder (a path or URI) with those above it."""
+    system, top = located(path)
+    system.create_dir(top, recursive=True)
+
+
 def listed(path: str, rules: Rules) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
     """(folder, its files) of a tree; a folder that the rules leave out is not listed."""
-    system, top = _located(path)
+    system, top = located(path)
     waiting = [""]
     while waiting:
         folder = waiting.pop()
@@ -108,7 +114,7 @@ def listed(path: str, rules: Rules) -> Iterator[tuple[str, list[tuple[str, int,
 
 
 def _rows(path: str, files: Sequence[tuple[str, int, int]]) -> Iterator[pa.RecordBatch]:
-    system, top = _located(path)
+    system, top = located(path)
     rows, held = [], 0
     for below, size, modified in files:
         with system.open_input_file(f"{top}/{below}") as stream:
@@ -263,7 +269,7 @@ def write_tree(rows: DataFrame, root: str, path_col: str = "rel_path", text_col:
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, top = _located(root)
+        system, top = located(root)
         made = set()
         for batch in batches:
             n = 0

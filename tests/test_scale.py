@@ -34,6 +34,15 @@ def test_a_file_is_parsed_once_for_all_of_its_symbols(spark):
     assert got == [("f", "A", "class", 0, "class A(B)"), ("f", "x", "variable", 2, None), ("f", "x", "variable", 2, None), ("g", "x", "variable", 7, None)]
 
 
+def test_an_exported_document_reaches_its_file_in_pieces(spark, tmp_path, monkeypatch):
+    """No task and no local row holds the text: the Python worker that had the text of 1.2 million symbols failed."""
+    spark.range(3000).select(F.col("id").alias("p_partkey"), F.lit(1).alias("p_size"), F.lit("b").alias("p_brand")).write.parquet(f"{tmp_path}/part.parquet")
+    held, made = [], type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **k: held.append(len(str(data))) or made(self, data, *a, **k))
+    assert queries()["artifact_file"](spark, str(tmp_path)).where("signature = 'class b'").count() == 1000
+    assert max(held) < 1000
+
+
 def test_imports_are_those_of_all_statements():
     from symloom.functions.parsers import import_aliases
 
