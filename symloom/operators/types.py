@@ -97,12 +97,12 @@ def docstrings(symbols: DataFrame, files: DataFrame, hovers: DataFrame | None =
     hovers (symbol_id, hover).
     """
     rows = symbols.select(F.col("id").alias("symbol_id"), "language", "name", "path", "line")
-    python = rows.where("language = 'python'").join(files.select("path", "text"), "path", "left")
+    python = rows.where("language = 'python'").join(files.select("path", "text").hint("merge"), "path", "left")
     module = F.col("name") == "<module>"
     modules = python.where(module).select("symbol_id", module_docstring_of("text").alias("docstring"))
     bodies = python.where(~module).select("symbol_id", body_docstring_of("text", "line").alias("docstring"))
     others = rows.where("language <> 'python'")
-    others = others.join(hovers, "symbol_id", "left") if hovers is not None else others.withColumn("hover", F.lit(None).cast("string"))
+    others = others.join(hovers.hint("merge"), "symbol_id", "left") if hovers is not None else others.withColumn("hover", F.lit(None).cast("string"))
     text = F.when(F.col("language") == "go", go_docstring("hover")).otherwise(ts_docstring("hover"))
     return modules.unionByName(bodies).unionByName(others.select("symbol_id", text.alias("docstring")))
 
@@ -113,5 +113,5 @@ def find_go_symbol(tree: DataFrame, wanted: DataFrame) -> DataFrame:
     kids = tree.select("path", "ord", "name", F.explode("children").alias("c"))
     below = kids.where(~F.col("name").contains(".")).select("path", "ord", F.lit(1).alias("level"), F.concat("name", F.lit("."), F.col("c.name")).alias("wanted"), F.col("c.kind").alias("kind"), F.col("c.line").alias("line"))
     first = W.partitionBy("path", "wanted").orderBy("level", "ord", "line")
-    found = top.unionByName(below).join(wanted.select("path", "wanted").distinct(), ["path", "wanted"])
+    found = top.unionByName(below).join(wanted.select("path", "wanted").distinct().hint("merge"), ["path", "wanted"])
     return found.withColumn("__n", F.row_number().over(first).cast("long")).where("__n = 1").select("path", "wanted", "kind", "line")

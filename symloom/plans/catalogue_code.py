@@ -210,7 +210,7 @@ def _go_tree(spark: SparkSession, d: str) -> DataFrame:
         return F.struct(F.lit(order).alias("ord"), _fill(name, n=_key()).alias("name"), F.lit(kind).alias("kind"), F.lit(line).alias("line"), F.array(*children).alias("children"))
 
     nodes = F.array(node(0, "Store{n}", 23, 1, child("Base", 8, "Base", 2), child("size", 8, "int", 3)), node(1, "Reader{n}", 11, 5, child("Read", 6, "func()", 6)))
-    return _read(spark, d, "part").select(_key().cast("string").alias("path"), F.inline(nodes))
+    return dealt(_read(spark, d, "part").select("p_partkey"), "p_partkey").select(_key().cast("string").alias("path"), F.inline(nodes))
 
 
 @_query(f"""WITH {_PY_SQL} SELECT path, 'Store' || n AS name, NULL AS parent, 'class' AS kind, 1 AS line FROM py UNION ALL

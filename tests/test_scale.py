@@ -19,6 +19,12 @@ def parts(spark, tmp_path):
     return str(tmp_path)
 
 
+@pytest.mark.parametrize("name", ["python_heritage", "python_used_by", "docstring_lookup", "go_lookup"])
+def test_tables_that_grow_with_the_files_are_not_broadcast(spark, parts, name):
+    plan = plan_of(queries()[name](spark, parts))
+    assert "BroadcastExchange" not in plan and "REPARTITION_BY_NUM" in plan
+
+
 @pytest.mark.parametrize("name", ["python_symbol_kinds", "python_shapes"])
 def test_texts_of_symbols_are_not_broadcast_and_go_to_python_once(spark, parts, name):
     found = queries()[name](spark, parts)
