@@ -11,6 +11,8 @@ RECENT = 5
 CO_CHANGE_LIMIT = 5
 #: Files of a commit beyond which its pairs are not counted one by one.
 LARGE = 256
+#: Rows (file, commit) of a task that pairs them.
+PAIRED = 200_000
 #: Classes of a large commit that all of its classes meet first.
 LEADERS = 8
 
@@ -58,13 +60,20 @@ def _fitting(file_commits: DataFrame, max_files: int | None) -> DataFrame:
     return file_commits.join(fit, "commit_sha", "left_semi")
 
 
-def co_change_pairs(file_commits: DataFrame, file_path=None, max_files: int | None = None) -> DataFrame:
+def _tasks(file_commits: DataFrame) -> int:
+    """Tasks that pair files, in proportion to the rows, so that the pairs that one holds stay as many."""
+    return max(file_commits.sparkSession.sparkContext.defaultParallelism, -(-file_commits.count() // PAIRED))
+
+
+def co_change_pairs(file_commits: DataFrame, file_path=None, max_files: int | None = None, tasks: int | None = None) -> DataFrame:
     """(file_path, other_path, commits) for pairs of files with a commit in common.
 
     ``file_path`` (a path, or a DataFrame of them) restricts the left side before
     the join.  Pairs grow with the square of a commit's files; ``max_files`` (off by default) leaves out larger commits.
     """
     own = _fitting(file_commits.dropDuplicates(), max_files)
+    if file_path is None:
+        own = own.repartition(tasks or _tasks(file_commits), "commit_sha")
     if isinstance(file_path, DataFrame):
         left = own.join(file_path.select("file_path").distinct(), "file_path", "left_semi")
     else:
@@ -101,7 +110,7 @@ def co_change_candidates(file_commits: DataFrame, file_path: DataFrame | None, l
     sizes = own.groupBy("commit_sha").agg(F.count(F.lit(1)).alias("n"))
     huge = sizes.where(F.col("n") > large).select("commit_sha")
     if huge.isEmpty():
-        return co_change_pairs(own, file_path)
+        return co_change_pairs(own, file_path, tasks=_tasks(file_commits) if file_path is None else None)
     small, big = own.join(huge, "commit_sha", "left_anti"), own.join(huge, "commit_sha", "left_semi")
     signed = big.groupBy("file_path").agg(F.sort_array(F.collect_set("commit_sha")).alias("signature"))
     signed = signed.withColumn("class", F.md5(F.to_json("signature")))
@@ -114,7 +123,7 @@ def co_change_candidates(file_commits: DataFrame, file_path: DataFrame | None, l
         wanted = wanted.join(file_path.select("file_path").distinct(), "file_path", "left_semi")
     offered = wanted.join(offers, "class").where("file_path <> other_path").select("file_path", "other_path", "commits")
 
-    pairs = co_change_pairs(small, file_path)
+    pairs = co_change_pairs(small, file_path, tasks=_tasks(file_commits) if file_path is None else None)
     classed = pairs.join(signed.select("file_path", "class"), "file_path", "left").join(signed.select(F.col("file_path").alias("other_path"), F.col("class").alias("other")), "other_path", "left")
     shared = _shared(classed.where("class IS NOT NULL AND other IS NOT NULL").select("class", "other").distinct(), classes)
     whole = classed.join(shared, ["class", "other"], "left").select("file_path", "other_path", (F.col("commits") + F.coalesce("common", F.lit(0))).alias("commits"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
-from symloom.operators import types
+from symloom.operators import history, types
 from symloom.operators.resolve import attribute_claims, documented_claims, resolved_sets
 
 
@@ -69,3 +69,11 @@ def test_claims_with_the_same_candidates_are_resolved_once(spark):
     front = spark.createDataFrame([("d", ["same"])], "source_path string, symbols array<string>")
     out = attribute_claims(claims.unionByName(blank), symbols, front, "drop")
     assert {r.claim_id: r.symbol_ids for r in out.collect()}[n + 1] == [] and out.columns == [*claims.columns, "symbol_ids"]
+
+
+def test_tasks_that_pair_files_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(history, "PAIRED", 50)
+    table = spark.range(2000).select((F.col("id") % 40).alias("file_path"), (F.col("id") / 4).cast("int").alias("commit_sha"))
+    found = history.co_change_pairs(table)
+    assert "40), REPARTITION_BY_NUM" in plan_of(found)
+    assert found.agg(F.sum("commits").alias("n")).first().n == 2000 * 3
