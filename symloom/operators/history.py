@@ -53,6 +53,20 @@ def file_activity(commits: DataFrame, file_commits: DataFrame, n: int = RECENT)
     return out.select("file_path", "commit_count", "last_touched", F.col("a.author_email").alias("last_author"), (F.col("commit_count") >= n).alias("hot"))
 
 
+def file_history(commits: DataFrame, file_commits: DataFrame, n: int = RECENT) -> DataFrame:
+    """``file_activity`` with ``recent_commits``, the list of a file's newest ``n`` commits, from one pass over the commits of files."""
+    if n <= 0:
+        file_commits = file_commits.limit(0)
+    order = W.partitionBy("file_path").orderBy(F.col("date").desc(), "sha")
+    joined = file_commits.dropDuplicates().join(commits, F.col("commit_sha") == F.col("sha")).drop("commit_sha")
+    placed = joined.withColumn("place", F.row_number().over(order).cast("long"))
+    commit = F.struct(*commits.columns)
+    listed = F.sort_array(F.collect_list(F.when(F.col("place") <= n, F.struct("place", commit.alias("commit")))))
+    newest = F.max(F.when(F.col("place") == 1, F.struct("date", "author_email")))
+    told = placed.groupBy("file_path").agg(F.count(F.lit(1)).alias("commit_count"), newest.alias("newest"), F.transform(listed, lambda c: c["commit"]).alias("recent_commits"))
+    return told.select("file_path", "commit_count", F.col("newest.date").alias("last_touched"), F.col("newest.author_email").alias("last_author"), (F.col("commit_count") >= n).alias("hot"), "recent_commits")
+
+
 def _fitting(file_commits: DataFrame, max_files: int | None) -> DataFrame:
     if max_files is None:
         return file_commits
@@ -60,16 +74,19 @@ def _fitting(file_commits: DataFrame, max_files: int | None) -> DataFrame:
     return file_commits.join(fit, "commit_sha", "left_semi")
 
 
-def _tasks(file_commits: DataFrame) -> int:
+def _tasks(file_commits: DataFrame, rows: int | None = None) -> int:
     """Tasks that pair files, in proportion to the rows, so that the pairs that one holds stay as many."""
-    return max(file_commits.sparkSession.sparkContext.defaultParallelism, -(-file_commits.count() // PAIRED))
+    rows = file_commits.count() if rows is None else rows
+    return max(file_commits.sparkSession.sparkContext.defaultParallelism, -(-rows // PAIRED))
 
 
-def co_change_pairs(file_commits: DataFrame, file_path=None, max_files: int | None = None, tasks: int | None = None) -> DataFrame:
+def co_change_pairs(file_commits: DataFrame, file_path=None, max_files: int | None = None, tasks: int | None = None, by_file: bool = False) -> DataFrame:
     """(file_path, other_path, commits) for pairs of files with a commit in common.
 
     ``file_path`` (a path, or a DataFrame of them) restricts the left side before
     the join.  Pairs grow with the square of a commit's files; ``max_files`` (off by default) leaves out larger commits.
+    With ``by_file``, all pairs of a file come to one of ``tasks`` places before they are
+    counted, so that windows over a file's pairs move none of them again.
     """
     own = _fitting(file_commits.dropDuplicates(), max_files)
     if file_path is None:
@@ -80,6 +97,8 @@ def co_change_pairs(file_commits: DataFrame, file_path=None, max_files: int | No
         left = own if file_path is None else own.where(F.col("file_path") == F.lit(file_path))
     right = own.select("commit_sha", F.col("file_path").alias("other_path"))
     both = left.join(right, "commit_sha").where("file_path <> other_path")
+    if by_file:
+        both = both.select("file_path", "other_path").repartition(tasks or _tasks(file_commits), "file_path")
     return both.groupBy("file_path", "other_path").agg(F.count(F.lit(1)).alias("commits"))
 
 
@@ -109,8 +128,10 @@ def co_change_candidates(file_commits: DataFrame, file_path: DataFrame | None, l
     own = _fitting(file_commits.dropDuplicates(), max_files)
     sizes = own.groupBy("commit_sha").agg(F.count(F.lit(1)).alias("n"))
     huge = sizes.where(F.col("n") > large).select("commit_sha")
-    if huge.isEmpty():
-        return co_change_pairs(own, file_path, tasks=_tasks(file_commits) if file_path is None else None)
+    told = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    tasks = _tasks(file_commits, told.rows)
+    if told.most <= large:
+        return co_change_pairs(own, file_path, tasks=tasks, by_file=True)
     small, big = own.join(huge, "commit_sha", "left_anti"), own.join(huge, "commit_sha", "left_semi")
     signed = big.groupBy("file_path").agg(F.sort_array(F.collect_set("commit_sha")).alias("signature"))
     signed = signed.withColumn("class", F.md5(F.to_json("signature")))
@@ -123,7 +144,7 @@ def co_change_candidates(file_commits: DataFrame, file_path: DataFrame | None, l
         wanted = wanted.join(file_path.select("file_path").distinct(), "file_path", "left_semi")
     offered = wanted.join(offers, "class").where("file_path <> other_path").select("file_path", "other_path", "commits")
 
-    pairs = co_change_pairs(small, file_path, tasks=_tasks(file_commits) if file_path is None else None)
+    pairs = co_change_pairs(small, file_path, tasks=tasks)
     classed = pairs.join(signed.select("file_path", "class"), "file_path", "left").join(signed.select(F.col("file_path").alias("other_path"), F.col("class").alias("other")), "other_path", "left")
     shared = _shared(classed.where("class IS NOT NULL AND other IS NOT NULL").select("class", "other").distinct(), classes)
     whole = classed.join(shared, ["class", "other"], "left").select("file_path", "other_path", (F.col("commits") + F.coalesce("common", F.lit(0))).alias("commits"))
