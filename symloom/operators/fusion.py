@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from symloom.functions.paths import is_test_file, module_key
-from symloom.operators.history import CO_CHANGE_LIMIT, RECENT, co_change_top, file_activity, recent_commits
+from symloom.operators.history import CO_CHANGE_LIMIT, RECENT, co_change_top, file_history
 from symloom.operators.intent import ranked_claims
 from symloom.schemas import SIGNALS
 
@@ -98,10 +98,8 @@ def _intent_block(claims: DataFrame, claim_symbols: DataFrame, query: str | None
 
 
 def _git_block(commits: DataFrame, file_commits: DataFrame, n: int) -> DataFrame:
-    recent = recent_commits(commits, file_commits, n)
-    listed = F.sort_array(F.collect_list(F.struct("place", "sha", "date", "message", "author_email")))
-    recent = recent.groupBy("file_path").agg(F.transform(listed, lambda c: c.dropFields("place")).alias("recent_commits"))
-    activity = file_activity(commits, file_commits, n).join(recent, "file_path")
+    wanted = commits.select("sha", "date", "message", "author_email")
+    activity = file_history(wanted, file_commits, n)
     return activity.select(F.col("file_path").alias("path"), F.struct("commit_count", "last_touched", "last_author", "hot", F.lit(n).alias("hot_threshold"), "recent_commits").alias("git"))
 
 

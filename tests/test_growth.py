@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from symloom.operators.history import co_change_candidates, co_change_pairs, co_change_top
+from symloom.operators.fusion import Knowledge, symbol_contexts
+from symloom.operators.history import co_change_candidates, co_change_pairs, co_change_top, file_activity, file_history, recent_commits
 from symloom.operators.resolve import dealt_ranges, enclosing_symbols
 
 RANGES = "path string, symbol_id string, depth int, start_line int, start_character int, end_line int, end_character int"
@@ -95,3 +96,35 @@ def test_a_commit_of_many_files_costs_rows_in_proportion(spark):
     assert [top[("f00006", p)] for p in range(1, 6)] == [("f00000", 2), ("f00002", 2), ("f00004", 2), ("f00005", 2), ("f00008", 2)]
     assert [top[("f19999", p)] for p in range(1, 6)] == [(f"f0000{i}", 1) for i in range(5)]
     assert [top[("f00004", p)][1] for p in range(1, 6)] == [2] * 5
+
+
+def test_pairs_of_files_are_shuffled_once_for_their_tops(spark):
+    """Windows over a file's pairs need no second shuffle of them."""
+    files = spark.range(400).select((F.col("id") % 40).cast("string").alias("file_path"), (F.col("id") % 23).cast("string").alias("commit_sha"))
+    wanted = spark.range(9).select(F.col("id").cast("string").alias("file_path"))
+    top = co_change_top(files, wanted)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(file_path" in plan and not [line for line in plan.splitlines() if "hashpartitioning(file_path" in line and "other_path" in line]
+    names = {r.file_path for r in wanted.collect()}
+    assert {tuple(r) for r in top.select("file_path", "other_path", "commits", "place").collect()} == {t for t in plain_top(co_change_pairs(files), 5) if t[0] in names}
+
+
+@pytest.mark.parametrize("n", [0, 2, 5])
+def test_history_of_files_is_read_in_one_pass(spark, n):
+    rng = random.Random(n)
+    commits = spark.createDataFrame([(f"s{i:02}", f"2024-01-{rng.randint(1, 9):02}", f"m{i}", f"a{i % 4}") for i in range(40)], "sha string, date string, message string, author_email string")
+    files = spark.createDataFrame([(f"f{rng.randint(0, 9)}", f"s{rng.randint(0, 45):02}") for _ in range(150)], "file_path string, commit_sha string")
+    got = file_history(commits, files, n)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 1
+    assert sorted(got.drop("recent_commits").collect()) == sorted(file_activity(commits, files, n).collect())
+    listed = {(r.file_path, c.sha, c.date, c.message, c.author_email, i + 1) for r in got.collect() for i, c in enumerate(r.recent_commits)}
+    assert listed == {(r.file_path, r.sha, r.date, r.message, r.author_email, r.place) for r in recent_commits(commits, files, n).collect()}
+
+
+def test_bundles_read_commits_once(spark):
+    commits = spark.createDataFrame([("s1", "2024-01-01", "m", "a")], "sha string, date string, message string, author_email string")
+    files = spark.createDataFrame([("f", "s1")], "file_path string, commit_sha string")
+    symbols = spark.createDataFrame([("i", "n", "class", "f", 1, None)], "id string, name string, kind string, path string, line int, signature string")
+    got = symbol_contexts(symbols.select(F.col("id").alias("symbol_id")), Knowledge(symbols, commits=commits, file_commits=files), ["git"])
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("[sha#") == 1
+    assert got.first().git.asDict(True) == {"commit_count": 1, "last_touched": "2024-01-01", "last_author": "a", "hot": False, "hot_threshold": 5, "recent_commits": [{"sha": "s1", "date": "2024-01-01", "message": "m", "author_email": "a"}]}
