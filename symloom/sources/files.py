@@ -3,37 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from symloom.functions.paths import EXTENSIONS, is_skipped
+from symloom.sources.trees import located, scan_tree
 
 SCANNED = "abs_path string, rel_path string, sha string, text string"
 
 
-def _scan(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    """(abs_path, below, content) of the files of a tree; a missing tree is empty."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    path = hadoop.Path(root)
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], "abs_path string, below string, content binary")
-    top = path.toUri().getPath().rstrip("/") + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    plain = F.regexp_replace("path", "^[a-z]+:/+", "/")
-    return files.select(plain.alias("abs_path"), F.substring(plain, len(top) + 1, 1 << 20).alias("below"), "content")
-
-
-def _hashed(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("sha", F.sha2("content", 256)).withColumn("text", F.decode("content", "utf-8"))
+def _scan(spark: SparkSession, root: str, extensions: Sequence[str], skip: str) -> DataFrame:
+    """(abs_path, rel_path, sha, text) of the files of a tree; a missing tree is empty."""
+    top = "/" + located(root)[1].lstrip("/")
+    return scan_tree(spark, root, extensions, skip).select(F.concat(F.lit(f"{top}/"), "rel_path").alias("abs_path"), "rel_path", "sha", "text")
 
 
 def scan_markdown(spark: SparkSession, root: str) -> DataFrame:
     """(abs_path, rel_path, sha, text) of the Markdown files below a folder, without dot entries."""
-    rows = _hashed(_scan(spark, root, "*.[mM][dD]"))
-    dots = F.exists(F.split("below", "/"), lambda p: p.startswith("."))
-    return rows.where(~dots).select("abs_path", F.col("below").alias("rel_path"), "sha", "text")
+    return _scan(spark, root, [".md"], "dots")
 
 
 def scan_prose(spark: SparkSession, adr_roots: Sequence[str], doc_roots: Sequence[str] = (), source_root: str | None = None) -> DataFrame:
@@ -58,6 +48,5 @@ def scan_prose(spark: SparkSession, adr_roots: Sequence[str], doc_roots: Sequenc
 
 def scan_sources(spark: SparkSession, root: str, extensions: Sequence[str] = tuple(EXTENSIONS)) -> DataFrame:
     """(abs_path, rel_path, sha, text) of source files, without left-out folders and dot entries."""
-    pattern = "*{" + ",".join(extensions) + "}"
-    rows = _hashed(_scan(spark, root, pattern)).where(~is_skipped("below"))
-    return rows.select("abs_path", F.col("below").alias("rel_path"), "sha", "text")
+    named = reduce(Column.__or__, [F.col("rel_path").endswith(e) for e in extensions])
+    return _scan(spark, root, extensions, "sources").where(named & ~is_skipped("rel_path"))

@@ -43,6 +43,10 @@ TREE = "rel_path string, size long, modified timestamp, sha string, text string"
 GIT = "repository string, head_sha string, log string"
 #: Files of a partition.
 PARTITION_FILES = 500
+#: Tasks of a core that read or write dealt files.
+TASKS = 4
+#: Listed files of a batch.
+_LISTED = 10_000
 #: Bytes of text in a batch.
 _BATCH_BYTES = 4 << 20
 
@@ -254,6 +258,26 @@ def read_tree(spark: SparkSession, path: str, extensions: Sequence[str] = (), **
     return spark.read.format("symloom_tree").option("extensions", ",".join(extensions)).options(**options).load(path)
 
 
+def scan_tree(spark: SparkSession, path: str, extensions: Sequence[str] = (), skip: str = "dots") -> DataFrame:
+    """The rows of ``read_tree``, listed in a task and not on the driver, and read by as many tasks as cores need, however small the files."""
+    rules = Rules(tuple(e.lower() for e in extensions), skip)
+    parts = TASKS * spark.sparkContext.defaultParallelism
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if sum(batch.num_rows for batch in batches):
+            for _, files in listed(path, rules):
+                for i in range(0, len(files), _LISTED):
+                    columns = zip(*files[i : i + _LISTED], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["rel_path", "size", "modified"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _rows(path, list(zip(*(c.to_pylist() for c in batch.columns), strict=True)))
+
+    found = spark.range(0, 1, 1, 1).mapInArrow(entries, "rel_path string, size long, modified long")
+    return found.repartition(parts, "rel_path").mapInArrow(read, TREE)
+
+
 def read_git(spark: SparkSession, folders: Sequence[str], commits: int = 500) -> tuple[DataFrame, DataFrame]:
     """Commits (sha, date, message, author_email, files) of repositories, and their heads (repository, head_sha)."""
     register(spark)
@@ -265,7 +289,8 @@ def write_tree(rows: DataFrame, root: str, path_col: str = "rel_path", text_col:
     """Write each row's text to its own file below ``root``, where the row is; the number of files.
 
     A file is written under a name of its own and moved, so that a task that is run
-    again replaces whole files by equal ones.  Rows without a path or text, and paths that lead out of the tree, are errors.
+    again replaces whole files by equal ones.  Rows are dealt by their paths, as a table
+    of many small texts may be one partition.  Rows without a path or text, and paths that lead out of the tree, are errors.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,4 +312,5 @@ def write_tree(rows: DataFrame, root: str, path_col: str = "rel_path", text_col:
                 n += 1
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
-    return rows.select(F.col(path_col), F.col(text_col)).mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    parts = TASKS * rows.sparkSession.sparkContext.defaultParallelism
+    return rows.select(F.col(path_col), F.col(text_col)).repartition(parts, path_col).mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n

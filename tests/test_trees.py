@@ -6,7 +6,8 @@ from hashlib import sha256
 import pytest
 from pyspark.sql import functions as F
 
-from symloom.sources.trees import Rules, listed, read_git, read_tree, register, write_tree
+from symloom.sources.files import scan_markdown, scan_sources
+from symloom.sources.trees import TASKS, Rules, listed, read_git, read_tree, register, write_tree
 
 
 @pytest.fixture()
@@ -115,3 +116,19 @@ def test_git_repositories(spark, tmp_path):
     head = subprocess.run(["git", "-C", str(repo), "rev-parse", "HEAD"], capture_output=True, text=True).stdout.strip()
     assert {r.repository: r.head_sha for r in heads.collect()} == {str(repo): head, str(tmp_path / "empty"): None}
     assert read_git(spark, [str(repo)], commits=1)[0].count() == 1
+
+
+def test_small_files_are_dealt_to_few_tasks_and_listed_in_one(spark, tmp_path):
+    """Rows of one partition are written by many tasks, and a scan has no task for every few files."""
+    rows = spark.range(0, 3000, 1, 1).select(F.concat(F.lit("src/d"), F.col("id") % 3, F.lit("/_f"), "id", F.lit(".py")).alias("rel_path"), F.col("id").cast("string").alias("text"))
+    seen = rows.repartition(1)
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("tree-write", "")
+    assert write_tree(seen, str(tmp_path)) == 3000
+    tasks = [jobs.getStageInfo(s).numTasks for j in jobs.getJobIdsForGroup("tree-write") for s in jobs.getJobInfo(j).stageIds if jobs.getStageInfo(s)]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert max(tasks) >= spark.sparkContext.defaultParallelism
+    found = scan_sources(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() <= TASKS * spark.sparkContext.defaultParallelism
+    assert {tuple(r) for r in found.collect()} == {(f"{tmp_path}/{r.rel_path}", r.rel_path, sha256(r.text.encode()).hexdigest(), r.text) for r in rows.collect()}
+    assert scan_sources(spark, str(tmp_path / "none")).count() == 0 == scan_markdown(spark, str(tmp_path)).count()
