@@ -134,7 +134,7 @@ _TYPES_LINE = "CASE k % 3 WHEN 0 THEN '  TYPES extends=Base implements=[I, J] us
 
 @_query(f"WITH {_SYMBOLS} SELECT id, {_HEAD} || {_TYPES_LINE} AS text FROM symbols")
 def compact_types(spark: SparkSession, d: str) -> DataFrame:
-    symbols = _symbols(spark, d)
+    symbols = dealt(_symbols(spark, d), "id")  # joins by id keep these tasks, where few bytes would be put into one
     edge = lambda relation, name, n: F.struct(F.lit(relation).alias("relation"), F.lit(name).alias("name"), F.lit(n).alias("ordinal"))
     third = F.regexp_extract("path", r"p(\d+)\.ts", 1).cast("long") % 3 == 0
     edges = F.when(third, F.array(edge("extends", "Base", 0), edge("implements", "I", 0), edge("implements", "J", 1))).otherwise(F.array(edge("extends", "A", 0), edge("extends", "B", 1), edge("used_by", "U", 0)))

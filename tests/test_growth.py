@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from symloom.operators.fusion import Knowledge, symbol_contexts
 from symloom.operators.history import co_change_candidates, co_change_pairs, co_change_top, file_activity, file_history, recent_commits
 from symloom.operators.resolve import dealt_ranges, enclosing_symbols
+from tests.sqlcheck import SF_DIR
 
 RANGES = "path string, symbol_id string, depth int, start_line int, start_character int, end_line int, end_character int"
 POSITIONS = "path string, line int, character int"
@@ -128,3 +130,9 @@ def test_bundles_read_commits_once(spark):
     got = symbol_contexts(symbols.select(F.col("id").alias("symbol_id")), Knowledge(symbols, commits=commits, file_commits=files), ["git"])
     assert got._jdf.queryExecution().optimizedPlan().toString().count("[sha#") == 1
     assert got.first().git.asDict(True) == {"commit_count": 1, "last_touched": "2024-01-01", "last_author": "a", "hot": False, "hot_threshold": 5, "recent_commits": [{"sha": "s1", "date": "2024-01-01", "message": "m", "author_email": "a"}]}
+
+
+def test_bundles_of_types_stay_dealt(spark):
+    """Small bytes are many rows: the last joins are not put into one task."""
+    found = queries()["compact_types"](spark, SF_DIR)
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
