@@ -471,6 +471,30 @@ def test_passages_around_a_frequent_phrase(spark):
     assert {tuple(r)[:4] for r in found} == want and len(found) == len(want)
 
 
+def test_near_passages_around_a_frequent_phrase(spark):
+    """Pairs with one word changed behind a phrase of a dozen texts, some of whose other words are beside it in earlier texts."""
+    rng = random.Random(14)
+    make = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, want = {}, set()
+    for group in range(60):
+        phrase, before, after = make(34 + group % 9), make(4), make(22)
+        own = {k: [*make(4), *phrase, *make(23)] for k in range(12)}
+        own[7], own[9] = ([*before, *phrase, word, *after] for word in ("one", "other"))
+        if group % 2:  # all that is beside the phrase is also in an earlier text, but no passage
+            own[1] = [*before, *phrase[:20], *make(40)]
+            own[3] = [*make(13), *phrase[-25:], *make(1), *after[:13], *make(9)]
+            own[5] = [*make(13), *phrase[-25:], *make(10), *after[9:]]
+        for k in range(12):
+            rows[12 * group + k] = make(45) + own[k] + make(45)
+        want.add((12 * group + 9, 12 * group + 7))
+    found = repeated_passages(docs_of(spark, [(i, " ".join(w)) for i, w in rows.items()]).repartition(4)).collect()
+    label = {i: r.class_id for r in found for i in (r.doc_id, r.other_id)}
+    truth = plain_passages(rows)
+    assert want <= truth and {(r.doc_id, r.other_id) for r in found} <= truth
+    caught = {(a, b) for a, b in truth if a in label and label[a] == label.get(b)}
+    assert len(caught & want) >= 0.95 * len(want) and len(caught) >= 0.95 * len(truth)
+
+
 def plain_passages(rows, min_words=50, k=5, percent=80):
     """Pairs of documents with a window of ``min_words`` words in both that is similar enough, all pairs and places tried."""
     grams = {i: [tuple(w[j : j + k]) for j in range(len(w) - k + 1)] for i, w in rows.items()}
