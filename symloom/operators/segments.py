@@ -37,6 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from symloom.operators.textindex import DIGITS, LEAST_IDF, _once, idf, n_tokens, occurrences, phrases, spaced, weight
+from symloom.sources.folders import shared_folder
 from symloom.sources.snapshots import Manifest, Part, SnapshotStore
 
 #: Postings of a block.
@@ -68,12 +69,17 @@ def _postings(forward: DataFrame) -> DataFrame:
 
 
 def _blocks(postings: DataFrame, terms: DataFrame, mean: float) -> DataFrame:
-    """Postings in blocks, the most valuable first."""
-    shares = F.ceil(F.col("df") / SHARE)
-    salted = postings.join(terms, "term").withColumn("salt", F.pmod(F.xxhash64("id"), shares).cast("int"))
+    """Postings in blocks, the most valuable first, in ranges of terms.
+
+    Only terms with several shares are joined, of which there are few; one shuffle by
+    range serves the order within a term, its blocks and the files.
+    """
+    shared = F.broadcast(terms.where(F.col("df") > SHARE).select("term", F.ceil(F.col("df") / SHARE).alias("shares")))
+    salted = postings.join(shared, "term", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("shares", F.lit(1))).cast("int")).drop("shares")
     order = W.partitionBy("term", "salt").orderBy(weight(F.col("tf"), F.col("dl"), F.lit(mean)).desc(), "id")
-    placed = salted.withColumn("place", F.row_number().over(order) - 1).withColumn("block", F.expr(f"CAST(place div {BLOCK} AS int)"))
-    return placed.groupBy("term", "salt", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.sort_array(F.collect_list("id")).alias("ids"))
+    placed = salted.repartitionByRange("term", "salt").withColumn("place", F.row_number().over(order) - 1).withColumn("block", F.expr(f"CAST(place div {BLOCK} AS int)"))
+    blocks = placed.groupBy("term", "salt", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.sort_array(F.collect_list("id")).alias("ids"))
+    return blocks.sortWithinPartitions("term", "salt", "block")
 
 
 class SegmentIndex:
@@ -125,15 +131,17 @@ class SegmentIndex:
     # writing
 
     def _segment(self, forward: DataFrame, run: int) -> dict[str, Part]:
-        """The parts of a segment of tokenised rows."""
-        rows = self.store.write("forward", forward.repartitionByRange("id").sortWithinPartitions("id"))
+        """The parts of a segment of tokenised rows in ranges of ids."""
+        rows = self.store.write("forward", forward)
         back = self.store.rows([rows])
         length = back.agg(F.coalesce(F.sum("dl"), F.lit(0.0)).alias("dl")).first().dl
         notes = {"run": run, "n": rows.rows, "dl": length}
-        postings = _postings(back)
+        counted = self.store.write("postings", _postings(back))  # for the terms and the blocks
+        postings = self.store.rows([counted])
         terms = self.store.write("terms", postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).repartitionByRange("term").sortWithinPartitions("term"), run=run)
         blocks = _blocks(postings, self.store.rows([terms]), length / rows.rows if rows.rows else 1.0)
-        blocks = self.store.write("blocks", blocks.repartitionByRange("term", "salt", "block").sortWithinPartitions("term", "salt", "block"), run=run)
+        blocks = self.store.write("blocks", blocks, run=run)
+        self.store.files.remove(counted.folder)
         return {"forward": Part(rows.folder, rows.rows, rows.schema, notes), "blocks": blocks, "terms": terms}
 
     def update(self, changed: DataFrame, id_col: str, fields: Sequence[str], deleted: DataFrame | None = None) -> Manifest:
@@ -154,7 +162,10 @@ class SegmentIndex:
                 tables["gone"].append(Part(gone.folder, gone.rows, gone.schema, {"run": run, "n": -taken.rows, "dl": -dl}))
                 tables["terms"].append(self.store.write("terms", _postings(back).groupBy("term").agg((-F.count(F.lit(1))).alias("df")), run=run))
             self.store.files.remove(taken.folder)
-        for name, part in self._segment(_forward(changed, id_col, fields), run).items():
+        # Rows are placed before they are tokenised: the sample that ranges are taken from would do that once more.
+        parts = [] if tables["forward"] else [int(changed.sparkSession.conf.get("spark.sql.shuffle.partitions"))]
+        placed = changed.select(id_col, *fields).repartitionByRange(*parts, id_col).sortWithinPartitions(id_col)
+        for name, part in self._segment(_forward(placed, id_col, fields), run).items():
             tables[name].append(part)
         self.manifest = self.store.commit(self.manifest, tables)
         return self._merged()
@@ -177,7 +188,7 @@ class SegmentIndex:
         """
         runs = {p.notes["run"] for p in segments}
         forward = reduce(DataFrame.unionByName, [self.store.rows([p]).withColumn("run", F.lit(p.notes["run"])) for p in segments])
-        made = self._segment(self.live(forward), max(runs))
+        made = self._segment(self.live(forward).repartitionByRange("id").sortWithinPartitions("id"), max(runs))
         tables = {name: [p for p in self._parts(name) if p.notes["run"] not in runs] for name in ("forward", "blocks")}
         tables["forward"].append(made["forward"])
         tables["blocks"].append(made["blocks"])
@@ -205,13 +216,16 @@ class SegmentIndex:
 
     # searching
 
-    def _scored(self, rows: DataFrame, terms: list[list[str]], df: list[float]) -> DataFrame:
-        """(id, bm25) of tokenised rows that hold a term, by the statistics of the whole index."""
+    def _counted(self, rows: DataFrame, terms: list[list[str]]) -> DataFrame:
+        """(id, dl, tf0, tf1, ...) of tokenised rows that hold a term."""
         toks = [F.col(c) for c in rows.columns if c not in ("id", "dl")]
         counted = _once(rows, F.col("id"), F.col("dl"), *[sum((occurrences(t, p) for t in toks), F.lit(0)).cast("double").alias(f"tf{k}") for k, p in enumerate(terms)])
+        return counted.where(sum((F.col(f"tf{k}") for k in range(len(terms))), F.lit(0)) > 0)
+
+    def _scored(self, counted: DataFrame, df: list[float]) -> DataFrame:
+        """(id, bm25) of counted rows, by the statistics of the whole index."""
         total = sum((idf(F.lit(float(self.n)), F.lit(float(d))) * weight(F.col(f"tf{k}"), F.col("dl"), F.lit(self.mean)) for k, d in enumerate(df)), F.lit(0.0))
-        held = sum((F.col(f"tf{k}") for k in range(len(terms))), F.lit(0)) > 0
-        return counted.where(held).select("id", F.round(-total, DIGITS).alias("bm25"))
+        return counted.select("id", F.round(-total, DIGITS).alias("bm25"))
 
     def _bounded(self, words: Counter[str], df: dict[str, int]) -> DataFrame:
         """The blocks of some words with ``bound``, the most that a posting of theirs adds to a score."""
@@ -235,18 +249,20 @@ class SegmentIndex:
         best = W.partitionBy("term").orderBy(F.desc("bound"), "run", "salt", "block")
         blocks = self._bounded(known, df).withColumn("first", (F.col("term") == rarest) | (F.row_number().over(best) <= FIRST_BLOCKS))
         first = blocks.where("first")
-        seen = self.rows_of(_ids(first))
+        # Texts are read once: a few numbers of a row are written, and the phrase's count, the mark and the scores come from them.
+        path = shared_folder(self.store.spark, "seen")
+        self._counted(self.rows_of(_ids(first)), terms).write.parquet(path)
+        seen = self.store.spark.read.parquet(path)
         phrase_df = 0
         if rarest:
-            toks = [F.col(c) for c in seen.columns if c not in ("id", "dl")]
-            phrase_df = seen.where(sum((occurrences(t, whole) for t in toks), F.lit(0)) > 0).count()
+            phrase_df = seen.where(F.col(f"tf{terms.index(whole)}") > 0).count()
         counts = [float(phrase_df if len(t) > 1 else df.get(t[0], 0)) for t in terms]
-        scores = self._scored(seen, terms, counts)
+        scores = self._scored(seen, counts)
         kth = scores.orderBy("bm25", "id").limit(limit).agg(F.count(F.lit(1)).alias("n"), F.max("bm25").alias("last")).first()
         rest = self._rest(blocks, rarest, -kth.last - _SLACK if kth.n == limit else -math.inf)
         if read is not None:
             read |= {"blocks": blocks.count(), "read": first.count() + rest.count()}
-        found = scores.unionByName(self._scored(self.rows_of(_ids(rest)), terms, counts)).distinct()
+        found = scores.unionByName(self._scored(self._counted(self.rows_of(_ids(rest)), terms), counts)).distinct()
         return found.orderBy("bm25", "id").limit(limit)
 
     def _rest(self, blocks: DataFrame, rarest: str, mark: float) -> DataFrame:

@@ -123,3 +123,20 @@ def test_intent_by_index_equals_intent_by_scan(spark, tmp_path):
     for query in ("the engine", "word1", "nowhere"):
         both = [[tuple(r) for r in find_by_intent(claims, links, symbols, query, 5, index=i).orderBy(F.col("rank")).collect()] for i in (None, index)]
         assert both[0] == both[1]
+
+
+def test_rows_are_tokenised_and_read_once(spark, tmp_path, monkeypatch):
+    """Rows are placed by range before they are tokenised; what is written for a query holds numbers only."""
+    rng = random.Random(9)
+    plans, write = {}, segments.SnapshotStore.write
+    monkeypatch.setattr(segments.SnapshotStore, "write", lambda self, name, rows, **notes: (plans.update({name: rows._jdf.queryExecution().optimizedPlan().toString()}), write(self, name, rows, **notes))[1])
+    rows = rows_of(rng, range(200))
+    index = build_segments(spark.createDataFrame(rows, SCHEMA), f"file://{tmp_path}/i", "id", FIELDS)
+    lines = plans["forward"].splitlines()
+    ranges = [i for i, line in enumerate(lines) if "RepartitionByExpression" in line]
+    assert ranges and all("regexp_replace" not in line for line in lines[ranges[0] :]) and "regexp_replace" in plans["forward"]
+    assert "postings" in plans and plans["blocks"].count("Repartition") == 1
+    path = f"{tmp_path}/seen"
+    monkeypatch.setattr(segments, "shared_folder", lambda *a: path)
+    assert [(r.id, r.bm25) for r in index.top("the engine", 9).collect()] == full(spark, rows, "the engine", 9)
+    assert all(kind in ("bigint", "double") for _, kind in spark.read.parquet(path).dtypes)
