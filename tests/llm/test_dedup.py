@@ -305,3 +305,51 @@ def test_equal_texts_are_one_passage_and_self_repeats_end():
     assert passages_of(words, words.copy(), [0, 7, -7], 5, 50, 80) == [(0, 140, 0, 140)]
     one = np.full(3000, 4, dtype=np.uint64)
     assert passages_of(one, one[:2000], [0], 5, 50, 80)[0][1] == 2000
+
+
+def beside(texts, labels, blocks):
+    """Rows of one head's pairs, each with the head's first words."""
+    from symloom.llm.substring_dedup import _beside
+
+    n = len(texts)
+    columns = [pa.array([0] * n), pa.array([None, *range(1, n)], pa.int64()), pa.array([None] + [[0]] * (n - 1), pa.list_(pa.int64())), pa.array([None, *labels], pa.int64()), pa.array(texts), pa.array([blocks] + [None] * (n - 1), pa.int64())]
+    batch = pa.RecordBatch.from_arrays(columns, names=["other", "id", "diagonals", "label", "body", "blocks"])
+    return [row for b in _beside(5, 50, 80, 16)(iter([batch])) for row in b.to_pylist()]
+
+
+def test_shingles_beside_a_phrase_of_one_class_end_in_the_task_of_all_their_head():
+    texts = [" ".join(f"{x}{i}" for x, n in (("p", 40), (own, 60)) for i in range(n)) for own in "haab"]
+    assert beside(texts, [1, 1, 2], 1) == [] and {r["id"] for r in beside(texts, [1, 1, 2], 2)} == {1, 3}
+    both = beside(texts, [1, 2, 3], 1)
+    assert {r["id"] for r in both} == {1, 2} and both == [r for r in beside(texts, [1, 2, 3], 2) if r["id"] != 3]
+
+
+def test_runs_of_intervals_keep_all_keys_and_meet_where_words_are_equal():
+    from symloom.llm.kernels import Runs
+    from symloom.llm.substring_dedup import _shared_runs
+
+    rng = np.random.default_rng(3)
+    one, two = (rng.integers(0, 1 << 60, 300).astype(np.uint64) for _ in range(2))
+    two[100:190] = one[20:110]
+    met = []
+    for words, at in ((one, np.arange(0, 200)), (two, np.append(np.arange(3, 30), np.arange(90, 250)))):
+        first, near, size, keys = _shared_runs(words, at, 50)
+        assert keys.tolist() == Runs(words).of(at, at + 50).tolist() and size.sum() == len(at) and len(first) < len(at) / 4
+        met.append(dict(zip(keys.tolist(), np.repeat(near, size).tolist(), strict=True)))
+    shared = met[0].keys() & met[1].keys()
+    assert len(shared) == 41 and all(met[0][k] == met[1][k] for k in shared)
+
+
+def test_nearest_smaller_and_order_equal_plain_ones():
+    from symloom.llm.substring_dedup import _nearest_smaller, _order
+
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 50, 400):
+        values, owner = rng.permutation(n).astype(np.uint64), np.sort(rng.integers(0, 4, n))
+        before, after = _nearest_smaller(values, owner)
+        for k in range(n):
+            smaller = [j for j in range(n) if owner[j] == owner[k] and values[j] < values[k]]
+            assert before[k] == max([j for j in smaller if j < k], default=-1) and after[k] == min([j for j in smaller if j > k], default=-1)
+        key, then, last = (rng.integers(0, 6, n) for _ in range(3))
+        order, want = _order(key, then, last), np.lexsort((last, then, key))
+        assert all(c[order].tolist() == c[want].tolist() for c in (key, then, last))
