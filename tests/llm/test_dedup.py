@@ -353,3 +353,34 @@ def test_nearest_smaller_and_order_equal_plain_ones():
         key, then, last = (rng.integers(0, 6, n) for _ in range(3))
         order, want = _order(key, then, last), np.lexsort((last, then, key))
         assert all(c[order].tolist() == c[want].tolist() for c in (key, then, last))
+
+
+@pytest.mark.parametrize("tile", [512, 3])
+def test_all_rows_of_a_shingle_beside_a_phrase_are_paired(spark, monkeypatch, tile):
+    """40 texts in 21 classes: none is linked with the first only."""
+    from symloom.llm import substring_dedup
+
+    monkeypatch.setattr(substring_dedup, "_TILE", tile)
+    rows = [(7, i, 100 * i, min(i, 20), i) for i in range(40)] + [(8, 1, 0, 1, 0), (8, 2, 0, 1, 1)]
+    keys = spark.createDataFrame(rows, "key long, id long, place long, label long, around long")
+    links = spark.createDataFrame([(3, 1, 200)], "id long, other long, diagonal long")
+    got = [tuple(r) for r in substring_dedup._beside_links(keys, links).collect()]
+    want = {(a, b, 100 * (a - b)) for a in range(40) for b in range(a) if b < 20} - {(3, 1, 200)}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_shingles_that_are_common_beside_a_phrase_come_last():
+    import numpy as np
+
+    from symloom.llm.substring_dedup import shingles_beyond
+
+    rng = np.random.default_rng(5)
+    b = rng.integers(0, 1 << 60, 90).astype(np.uint64)
+    a = rng.integers(0, 1 << 60, 90).astype(np.uint64)
+    a[25:65] = b[25:65]
+    every = shingles_beyond(a, b, [0], 16, 50, every=True)[2]
+    first = shingles_beyond(a, b, [0], 16, 50)[2]
+    assert set(first) < set(every)
+    last = shingles_beyond(a, b, [0], 16, 50, common=first)[2]
+    assert set(last) <= set(every) and set(first) - set(last) and set(last) - set(first)
+    assert set(shingles_beyond(a, b, [0], 16, 50, common=every[:0])[2]) == set(first)
