@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from symloom.functions.paths import is_test_file, module_key
 from symloom.operators.history import CO_CHANGE_LIMIT, RECENT, co_change_top, file_history
-from symloom.operators.intent import ranked_claims
+from symloom.operators.intent import ranked_claims, severity_histogram
 from symloom.schemas import SIGNALS
 
 _LOG = logging.getLogger(__name__)
@@ -146,18 +146,51 @@ def symbol_contexts(wanted: DataFrame, know: Knowledge, include: Collection[str]
     return out
 
 
+def _with_co_change(rows: DataFrame, know: Knowledge, limit: int) -> DataFrame:
+    """``rows`` (path, ...) with ``co_change``, the files that most often change with the path."""
+    if know.file_commits is None:
+        return rows.withColumn("co_change", F.array().cast("array<struct<other_path:string,commits:bigint>>"))
+    top = co_change_top(know.file_commits, rows.select(F.col("path").alias("file_path")).distinct(), limit)
+    listed = F.sort_array(F.collect_list(F.struct("place", "other_path", "commits")))
+    grouped = top.groupBy(F.col("file_path").alias("path")).agg(F.transform(listed, lambda c: c.dropFields("place")).alias("co_change"))
+    rows = rows.join(grouped, "path", "left")
+    return rows.withColumn("co_change", F.coalesce("co_change", F.array().cast(rows.schema["co_change"].dataType)))
+
+
+def impact_risks(wanted: DataFrame, know: Knowledge, include: Collection[str] = SIGNALS, recent: int = RECENT, limit: int = CO_CHANGE_LIMIT) -> DataFrame:
+    """``co_change`` and ``risk`` of ``impact_of_change`` for each row of ``wanted``, counted without the bundles' lists.
+
+    A symbol of many claims, notes or commits is a few numbers in every task.
+    """
+    if unknown := set(include) - set(SIGNALS):
+        raise ValueError(f"unknown signals: {', '.join(sorted(unknown))}")
+    out = wanted.join(know.symbols.select(F.col("id").alias("symbol_id"), "path"), "symbol_id")
+    ids, paths = wanted.select("symbol_id").distinct(), out.select("path").distinct()
+    counts = ("commit_count", "test_files", "diagnostics", "hard_claims", "soft_claims", "context_claims")
+    if "git" in include and know.commits is not None and know.file_commits is not None:
+        own = know.file_commits.join(paths.withColumnRenamed("path", "file_path"), "file_path", "left_semi").dropDuplicates()
+        own = own.join(know.commits.select(F.col("sha").alias("commit_sha")), "commit_sha")
+        out = out.join((own if recent > 0 else own.limit(0)).groupBy(F.col("file_path").alias("path")).agg(F.count(F.lit(1)).alias("commit_count")), "path", "left")
+    if "tests" in include and know.refs is not None:
+        own = know.refs.where(is_test_file("path")).join(ids, "symbol_id", "left_semi").select("symbol_id", "path").distinct()
+        out = out.join(own.groupBy("symbol_id").agg(F.count(F.lit(1)).alias("test_files")), "symbol_id", "left")
+    if know.diagnostics is not None:
+        own = know.diagnostics.join(paths, "path", "left_semi")
+        out = out.join(own.groupBy("path").agg(F.count(F.lit(1)).alias("diagnostics")), "path", "left")
+    if "intent" in include and know.claims is not None and know.claim_symbols is not None:
+        own = know.claim_symbols.join(ids, "symbol_id", "left_semi").distinct().join(know.claims.select("claim_id", "severity"), "claim_id")
+        out = out.join(severity_histogram(own, "symbol_id"), "symbol_id", "left")
+    told = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") if c in out.columns else F.lit(0).cast("long") for c in counts}
+    hot = (told["commit_count"] >= recent) if "commit_count" in out.columns else F.lit(False)
+    known = F.col("commit_count").isNotNull() if "commit_count" in out.columns else F.lit(False)
+    risk = F.struct((hot & known).alias("hot"), told["commit_count"].alias("commit_count"), F.lit(recent).alias("hot_threshold"), *[told[c].alias(c) for c in counts if c != "commit_count"])
+    return _with_co_change(out.select(*wanted.columns, "path", risk.alias("risk")), know, limit)
+
+
 def impact_of_change(wanted: DataFrame, know: Knowledge, include: Collection[str] = SIGNALS, recent: int = RECENT, limit: int = CO_CHANGE_LIMIT) -> DataFrame:
     """``symbol_contexts`` with ``co_change`` (path, commits) and the struct ``risk`` of eight scalars."""
     bundle = symbol_contexts(wanted, know, include, recent=recent)
-    if know.file_commits is not None:
-        paths = bundle.select(F.col("path").alias("file_path")).distinct()
-        top = co_change_top(know.file_commits, paths, limit)
-        listed = F.sort_array(F.collect_list(F.struct("place", "other_path", "commits")))
-        grouped = top.groupBy(F.col("file_path").alias("path")).agg(F.transform(listed, lambda c: c.dropFields("place")).alias("co_change"))
-        bundle = bundle.join(grouped, "path", "left")
-        bundle = bundle.withColumn("co_change", F.coalesce("co_change", F.array().cast(bundle.schema["co_change"].dataType)))
-    else:
-        bundle = bundle.withColumn("co_change", F.array().cast("array<struct<other_path:string,commits:bigint>>"))
+    bundle = _with_co_change(bundle, know, limit)
 
     def has(name: str) -> bool:
         return "struct" in bundle.schema[name].dataType.simpleString()

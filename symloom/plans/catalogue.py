@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from symloom.functions.paths import is_test_file, module_key, normalize_path
 from symloom.functions.text import ACCENTED, FOLDED, cost_usd, name_overlap, sanitize_query, severity_rank
 from symloom.operators.diff import budget_crossing, delete_by_path, merge_latest, merge_values, sha_diff
-from symloom.operators.fusion import Knowledge, impact_of_change, symbol_contexts
+from symloom.operators.fusion import Knowledge, impact_risks, symbol_contexts
 from symloom.operators.history import co_change_pairs, co_change_top, commit_files, file_activity, recent_commits
 from symloom.operators.intent import find_by_intent, ranked_claims, severity_histogram
 from symloom.operators.resolve import attribute_claims, resolve_candidates, resolve_symbols, unresolved_by_file
@@ -507,7 +507,7 @@ FROM wanted LEFT JOIN activity USING (symbol_id) LEFT JOIN intents USING (symbol
 def impact_summary(spark: SparkSession, d: str) -> DataFrame:
     wanted, know = _knowledge(spark, d)
     shared = F.array_join(F.transform("co_change", lambda c: F.concat(c["other_path"], F.lit(":"), c["commits"].cast("string"))), ",")
-    return impact_of_change(wanted, know).select("symbol_id", "risk.*", shared.alias("co_change")).drop("hot_threshold")
+    return impact_risks(wanted, know).select("symbol_id", "risk.*", shared.alias("co_change")).drop("hot_threshold")
 
 
 @_query(f"""WITH {_KNOWN}, firsts AS (SELECT symbol_id, string_agg(CAST(claim_id AS VARCHAR), ',' ORDER BY {SEVERITY_RANK}, source, claim_id) AS claim_ids FROM claim_symbols JOIN claims USING (claim_id) GROUP BY 1)

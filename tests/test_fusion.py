@@ -3,11 +3,12 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from symloom.operators.fusion import Knowledge, impact_of_change, reference_clusters, symbol_contexts
+from symloom.operators.fusion import Knowledge, impact_of_change, impact_risks, reference_clusters, symbol_contexts
 from symloom.operators.history import pivot_files
 from symloom.operators.intent import find_by_intent
 from symloom.operators.resolve import resolve_symbols
 from symloom.plans import render
+from symloom.schemas import SIGNALS
 
 QUEUE = "sym:ts:src/orders/queue.ts:Queue"
 
@@ -74,6 +75,17 @@ def test_impact(spark, know):
     assert text.startswith(f"IMPACT {QUEUE}\n  GIT_COCHANGE (top 2)\n    z.ts              2 commits\n    src/long/name.ts  1 commits\n  RISK_SIGNALS\n    hot: yes (2≥2 commits)\n    test_coverage: 1 test file(s) referenced\n    diagnostics: 1\n    intent_density: 1 hard / 1 soft / 0 context\nSYM Queue@")
 
 
+@pytest.mark.parametrize("recent", [0, 2, 5])
+def test_risks_are_those_of_the_bundles_without_their_lists(spark, know, recent):
+    every = know.symbols.select(F.col("id").alias("symbol_id"))
+    for tables, include in ((know, SIGNALS), (know, ["tests"]), (Knowledge(know.symbols), SIGNALS)):
+        told = impact_risks(every, tables, include, recent)
+        want = impact_of_change(every, tables, include, recent).select("symbol_id", "risk", "co_change")
+        assert sorted(told.select("symbol_id", "risk", "co_change").collect()) == sorted(want.collect())
+        plan = told.drop("co_change")._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_" not in plan and "Window" not in plan
+
+
 def test_missing_tables_are_missing_sections(spark, know):
     row = impact_of_change(wanted(spark, QUEUE), Knowledge(know.symbols)).first()
     assert row.co_change == [] and row.risk.commit_count == 0 and row.intent is None
