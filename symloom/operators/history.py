@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from symloom.sources.folders import shared_folder
+
 #: Threshold of a hot file and length of a list of recent commits: one setting.
 RECENT = 5
 CO_CHANGE_LIMIT = 5
@@ -15,6 +17,9 @@ LARGE = 256
 PAIRED = 200_000
 #: Classes of a large commit that all of its classes meet first.
 LEADERS = 8
+#: Classes up to which what each two of them share is broadcast, and large commits up to which their names are.
+FEW_CLASSES = 256
+FEW_COMMITS = 50_000
 
 
 def pivot_files(commits: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -128,22 +133,28 @@ def co_change_candidates(file_commits: DataFrame, file_path: DataFrame | None, l
     own = _fitting(file_commits.dropDuplicates(), max_files)
     sizes = own.groupBy("commit_sha").agg(F.count(F.lit(1)).alias("n"))
     huge = sizes.where(F.col("n") > large).select("commit_sha")
-    told = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    told = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.count_if(F.col("n") > large).alias("large")).first()
     tasks = _tasks(file_commits, told.rows)
     if told.most <= large:
         return co_change_pairs(own, file_path, tasks=tasks, by_file=True)
+    if told.large <= FEW_COMMITS:
+        huge = F.broadcast(huge)
     small, big = own.join(huge, "commit_sha", "left_anti"), own.join(huge, "commit_sha", "left_semi")
     signed = big.groupBy("file_path").agg(F.sort_array(F.collect_set("commit_sha")).alias("signature"))
-    signed = signed.withColumn("class", F.md5(F.to_json("signature")))
+    # One row a file, read many times below.
+    signed = _kept(signed.withColumn("class", F.md5(F.to_json("signature"))))
     classes = signed.groupBy("class").agg(F.first("signature").alias("signature"))
     first = W.partitionBy("class").orderBy("file_path")
     heads = signed.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= limit + 1).select("class", F.col("file_path").alias("other_path"))
-    offers = _offers(classes, heads, limit + 1)
+    offers = _kept(_offers(classes, heads, limit + 1))
     wanted = signed.select("file_path", "class")
     if file_path is not None:
         wanted = wanted.join(file_path.select("file_path").distinct(), "file_path", "left_semi")
     offered = wanted.join(offers, "class").where("file_path <> other_path").select("file_path", "other_path", "commits")
 
+    n = classes.count()
+    if n <= FEW_CLASSES:
+        return _best_of(small, file_path, signed, classes, tasks, limit).unionByName(offered).groupBy("file_path", "other_path").agg(F.max("commits").alias("commits"))
     pairs = co_change_pairs(small, file_path, tasks=tasks)
     classed = pairs.join(signed.select("file_path", "class"), "file_path", "left").join(signed.select(F.col("file_path").alias("other_path"), F.col("class").alias("other")), "other_path", "left")
     shared = _shared(classed.where("class IS NOT NULL AND other IS NOT NULL").select("class", "other").distinct(), classes)
@@ -152,6 +163,33 @@ def co_change_candidates(file_commits: DataFrame, file_path: DataFrame | None, l
     return whole.unionByName(offered).groupBy("file_path", "other_path").agg(F.max("commits").alias("commits"))
 
 
+def _kept(rows: DataFrame) -> DataFrame:
+    """``rows`` written to the shared folder and read back."""
+    path = shared_folder(rows.sparkSession, "history")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _best_of(small: DataFrame, file_path: DataFrame | None, signed: DataFrame, classes: DataFrame, tasks: int, limit: int) -> DataFrame:
+    """(file_path, other_path, commits): the best ``limit`` partners of each file among those of its small commits, where classes are few.
+
+    Files come into their pairs with their class, so that pairs are shuffled once; an offer
+    whose pair is not among the best here counts less there, and is not among the best at all.
+    """
+    numbered = classes.withColumn("own", F.row_number().over(W.orderBy("class")))  # few rows
+    every = numbered.select("class").crossJoin(numbered.select(F.col("class").alias("other")))
+    names = lambda c, n: F.broadcast(numbered.select(F.col("class").alias(c), F.col("own").alias(n)))
+    shared = _shared(every, classes).join(names("class", "own"), "class").join(names("other", "theirs"), "other").select("own", "theirs", "common")
+    rows = small.join(signed.join(names("class", "own"), "class").select("file_path", "own"), "file_path", "left").repartition(tasks, "commit_sha")
+    left = rows if file_path is None else rows.join(file_path.select("file_path").distinct(), "file_path", "left_semi")
+    both = left.join(rows.select("commit_sha", F.col("file_path").alias("other_path"), F.col("own").alias("theirs")), "commit_sha").where("file_path <> other_path")
+    dealt = both.select("file_path", "other_path", "own", "theirs").repartition(tasks, "file_path")
+    pairs = dealt.groupBy("file_path", "other_path").agg(F.count(F.lit(1)).alias("commits"), F.first("own").alias("own"), F.first("theirs").alias("theirs"))
+    whole = pairs.join(F.broadcast(shared), ["own", "theirs"], "left").select("file_path", "other_path", (F.col("commits") + F.coalesce("common", F.lit(0))).alias("commits"))
+    order = W.partitionBy("file_path").orderBy(F.desc("commits"), "other_path")
+    return whole.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= limit).drop("__n")
+
+
 def _shared(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """(class, other, common) for pairs of classes: how many large commits they share."""
     left, right = classes.withColumnRenamed("signature", "__a"), classes.select(F.col("class").alias("other"), F.col("signature").alias("__b"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
+from symloom.operators import history
 from symloom.operators.fusion import Knowledge, symbol_contexts
 from symloom.operators.history import co_change_candidates, co_change_pairs, co_change_top, file_activity, file_history, recent_commits
 from symloom.operators.resolve import dealt_ranges, enclosing_symbols
@@ -100,6 +101,20 @@ def test_a_commit_of_many_files_costs_rows_in_proportion(spark):
     assert [top[("f00004", p)][1] for p in range(1, 6)] == [2] * 5
 
 
+@pytest.mark.parametrize("few", [0, 256])
+def test_pairs_beside_large_commits_are_shuffled_once(spark, monkeypatch, few):
+    """Classes come into the pairs with the files; the same rows where classes are too many for that."""
+    monkeypatch.setattr(history, "FEW_CLASSES", few)
+    rng = random.Random(few)
+    rows = [(f"f{i:03}", f"all{c}") for c in range(3) for i in range(90) if rng.random() < 0.8] + [(f"f{rng.randint(0, 99):03}", f"s{rng.randint(0, 120)}") for _ in range(500)]
+    table = spark.createDataFrame(rows, "file_path string, commit_sha string")
+    top = co_change_top(table, None, 5, large=40)
+    assert top_of(top) == plain_top(co_change_pairs(table), 5)
+    plan = top._jdf.queryExecution().optimizedPlan().toString()
+    moved = [line for line in plan.splitlines() if "RepartitionByExpression [file_path" in line]
+    assert len(moved) == (1 if few else 0)
+
+
 def test_pairs_of_files_are_shuffled_once_for_their_tops(spark):
     """Windows over a file's pairs need no second shuffle of them."""
     files = spark.range(400).select((F.col("id") % 40).cast("string").alias("file_path"), (F.col("id") % 23).cast("string").alias("commit_sha"))
