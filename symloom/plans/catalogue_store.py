@@ -17,7 +17,7 @@ from symloom.plans.catalogue_knowledge import _CLAIMS, _SEARCHES, _SYMBOLS, _cla
 from symloom.plans.index_run import Inputs
 from symloom.plans.store_run import blank_tables, run_into_store
 from symloom.schemas import META
-from symloom.sources.artifact import empty_history, import_artifact, read_artifact, setting_of, write_artifact
+from symloom.sources.artifact import empty_history, import_elements, scan_artifact, section_of, setting_of, write_artifact
 from symloom.sources.config import read_configs
 from symloom.sources.files import scan_prose, scan_sources
 from symloom.sources.folders import shared_folder
@@ -203,10 +203,10 @@ def artifact_file(spark: SparkSession, d: str) -> DataFrame:
     root = shared_folder(spark, "artifact")
     make_folder(root)
     write_artifact(tables, f"{root}/a.json")
-    document = read_artifact(spark, f"{root}/a.json")
-    import_artifact(document)  # it is valid
-    n = F.size("symbols")
-    return document.select(n.alias("n"), F.posexplode("symbols").alias("at", "s")).select((F.col("n") - F.col("at")).cast("long").alias("place"), F.col("s.id").alias("path"), "s.name", "s.line", "s.signature")
+    elements = scan_artifact(spark, f"{root}/a.json")
+    import_elements(elements)  # it is valid
+    n = elements.where("section = 'symbols'").count()
+    return section_of(elements, "symbols").select((n - F.col("at")).cast("long").alias("place"), F.col("s.id").alias("path"), "s.name", "s.line", "s.signature")
 
 
 # ---- configurations, sources, batches as JSON

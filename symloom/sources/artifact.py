@@ -6,24 +6,32 @@ on import and collected again, in canonical order, on export.
 
 from __future__ import annotations
 
+import codecs
+import itertools
 import json
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from symloom.functions.paths import language_of_id
 from symloom.operators.history import commit_files, pivot_files
 from symloom.schemas import ARTIFACT, ARTIFACT_VERSIONS, CLAIM_SYMBOLS, COMMITS, META, dangling
+from symloom.sources.folders import shared_folder
 from symloom.sources.trees import located
 
 _OPTIONAL_SYMBOL = ("signature", "parent_id")
 _OPTIONAL_CLAIM = ("rationale", "excerpt")
 #: Bytes of a document that are written at a time.
 _BUFFER = 1 << 20
+_REQUIRED = ("symbols", "claims", "source_shas")
+_ARRAYS = ("symbols", "claims", "git_commits")
+_BLANK = re.compile(r"[ \t\r\n]*")
 
 
 class ArtifactError(ValueError):
@@ -41,36 +49,161 @@ def import_artifact(document: DataFrame) -> dict[str, DataFrame]:
     Fails on an unknown version, a missing generator version, missing arrays and
     links to symbols that do not exist.  Claims are numbered in document order.
     """
-    head = document.select("version", "generator", "extracted_at_sha", "generated_at", *[F.col(c).isNull().alias(f"no_{c}") for c in ("symbols", "claims", "source_shas")]).first()
-    if head is None or head.version not in ARTIFACT_VERSIONS:
-        raise ArtifactError(f"unsupported artifact version: {head and head.version}")
-    if not any(k.endswith("_version") and v for k, v in (head.generator or {}).items()):
+    head = document.select("version", "generator", "extracted_at_sha", "generated_at", *[F.col(c).isNull().alias(f"no_{c}") for c in _REQUIRED]).first()
+    told = {} if head is None else {c: head[c] for c in ("version", "generator", "extracted_at_sha", "generated_at")} | {c: None if head[f"no_{c}"] else () for c in _REQUIRED}
+    _checked(told)
+    claims = document.select(F.posexplode("claims").alias("at", "c"))
+    shas = document.select(F.explode("source_shas").alias("source_path", "source_sha"))
+    return _tables(told, document.select(F.explode("symbols").alias("s")).select("s.*"), claims, document.select(F.explode("git_commits").alias("g")).select("g.*"), shas)
+
+
+def _checked(head: dict) -> None:
+    """Fails on an unknown version, a missing generator version and missing arrays; ``head`` has the members of a document."""
+    if head.get("version") not in ARTIFACT_VERSIONS:
+        raise ArtifactError(f"unsupported artifact version: {head.get('version')}")
+    if not any(k.endswith("_version") and v for k, v in (head.get("generator") or {}).items()):
         raise ArtifactError("the generator names no version")
-    for name in ("symbols", "claims", "source_shas"):
-        if head[f"no_{name}"]:
+    for name in _REQUIRED:
+        if head.get(name) is None:
             raise ArtifactError(f"{name} is missing")
-    symbols = document.select(F.explode("symbols").alias("s")).select("s.*").withColumn("language", language_of_id("id"))
-    rows = document.select(F.posexplode("claims").alias("claim_id", "c")).select((F.col("claim_id") + 1).cast("long").alias("claim_id"), "c.*")
+
+
+def _tables(head: dict, symbols: DataFrame, claims: DataFrame, history: DataFrame, shas: DataFrame) -> dict[str, DataFrame]:
+    """The tables of a document's symbols, claims (at, c), commits with files and source shas; links are checked."""
+    symbols = symbols.withColumn("language", language_of_id("id"))
+    rows = claims.select((F.col("at") + 1).cast("long").alias("claim_id"), "c.*")
     links = rows.select("claim_id", F.explode(F.array_distinct("symbol_ids")).alias("symbol_id"))
     lost = dangling(links, "symbol_id", symbols, "id").limit(1).collect()
     if lost:
         raise ArtifactError(f"claim {lost[0].claim_id} links to unknown symbol {lost[0].symbol_id}")
-    history = document.select(F.explode("git_commits").alias("g")).select("g.*")
     commits, file_commits = pivot_files(history)
-    meta = {"version": head.version, "generated_at": head.generated_at, "extracted_at_sha": head.extracted_at_sha}
-    meta |= {f"generator.{k}": v for k, v in (head.generator or {}).items()}
-    pairs = [(k, v) for k, v in meta.items() if v]
+    meta = {c: head.get(c) for c in ("version", "generated_at", "extracted_at_sha")}
+    meta |= {f"generator.{k}": v for k, v in (head.get("generator") or {}).items()}
     return {
         "symbols": symbols,
         "claims": rows.drop("symbol_ids"),
         "claim_symbols": links,
         "commits": commits,
         "file_commits": file_commits,
-        "source_shas": document.select(F.explode("source_shas").alias("source_path", "source_sha")),
-        "meta": document.sparkSession.createDataFrame(pairs, META),
+        "source_shas": shas,
+        "meta": symbols.sparkSession.createDataFrame([(k, v) for k, v in meta.items() if v], META),
     }
 
 
+def _members(read: Callable[[int], bytes], size: int = _BUFFER) -> Iterator[tuple[str, int, str]]:
+    """(section, place, JSON text) of a document's elements, and its other members as objects of one member in section ''; one element at a time is held."""
+    decoder, decode = json.JSONDecoder(), codecs.getincrementaldecoder("utf-8-sig")().decode
+    text, at, ended, step = "", 0, False, size
+
+    def more() -> bool:
+        nonlocal text, at, ended
+        if ended:
+            return False
+        data = read(step)
+        ended = not data
+        text, at = text[at:] + decode(data, ended), 0
+        return True
+
+    def peek() -> str:
+        nonlocal at
+        while True:
+            at = _BLANK.match(text, at).end()
+            if at < len(text) or not more():
+                return text[at : at + 1]
+
+    def take(wanted: str) -> str:
+        nonlocal at
+        found = peek()
+        if not found or found not in wanted:
+            raise ArtifactError(f"{found or 'the end'!r} in place of {wanted!r}")
+        at += 1
+        return found
+
+    def value() -> tuple[object, str]:
+        nonlocal at, step
+        peek()
+        while True:
+            try:
+                found, end = decoder.raw_decode(text, at)
+            except json.JSONDecodeError as error:
+                if not more():
+                    raise ArtifactError(str(error)) from error
+                step *= 2  # a long element is not read again for each buffer
+                continue
+            if end == len(text) and more():  # a number may go on
+                continue
+            step, raw = size, text[at:end]
+            at = end
+            return found, raw
+
+    def listed(closing: str) -> Iterator[int]:
+        nonlocal at
+        if peek() == closing:
+            at += 1
+            return
+        n, found = 0, ","
+        while found == ",":
+            yield n
+            n, found = n + 1, take("," + closing)
+
+    def name() -> str:
+        if peek() != '"':
+            take('"')
+        key, _ = value()
+        take(":")
+        return key
+
+    seen = set()
+    take("{")
+    for n in listed("}"):
+        key = name()
+        if key in seen:
+            raise ArtifactError(f"{key} is told twice")
+        seen.add(key)
+        opening = peek()
+        if (key in _ARRAYS and opening == "[") or (key == "source_shas" and opening == "{"):
+            take(opening)
+            yield "", n, json.dumps({key: []})
+            for k in listed("]" if opening == "[" else "}"):
+                yield key, k, value()[1] if opening == "[" else json.dumps({"source_path": name(), "source_sha": value()[0]})
+        else:
+            yield "", n, json.dumps({key: value()[0]})
+    if peek():
+        raise ArtifactError("text behind the document")
+
+
+def scan_artifact(spark: SparkSession, path: str) -> DataFrame:
+    """(section, at, text): a document's elements with their places, written as it is read, so that no row has the document; fails on malformed JSON."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            system, inner = located(path)
+            with system.open_input_stream(inner) as stream:
+                found = _members(stream.read)
+                while rows := list(itertools.islice(found, 1000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["section", "at", "text"])
+
+    folder = shared_folder(spark, "elements")
+    spark.range(0, 1, 1, 1).mapInArrow(scan, "section string, at long, text string").write.option("parquet.block.size", 16 * _BUFFER).parquet(folder)
+    return spark.read.schema("section string, at long, text string").parquet(folder)
+
+
+def section_of(elements: DataFrame, name: str) -> DataFrame:
+    """(at, s): the elements of an array of a scanned document, parsed where they lie."""
+    kind = T.StructType.fromDDL(ARTIFACT)[name].dataType.elementType if name in _ARRAYS else T.StructType.fromDDL("source_path string, source_sha string")
+    return elements.where(F.col("section") == name).select("at", F.from_json("text", kind, {"mode": "FAILFAST"}).alias("s"))
+
+
+def import_elements(elements: DataFrame) -> dict[str, DataFrame]:
+    """The tables of a scanned document, as ``import_artifact`` has them."""
+    head: dict = {}
+    for row in elements.where("section = ''").collect():  # members that are no elements
+        head |= json.loads(row.text)
+    _checked(head)
+    head = head | {"generator": {k: v if v is None or isinstance(v, str) else json.dumps(v) for k, v in head["generator"].items()}}
+    return _tables(head, section_of(elements, "symbols").select("s.*"), section_of(elements, "claims").select("at", F.col("s").alias("c")), section_of(elements, "git_commits").select("s.*"), section_of(elements, "source_shas").select("s.*"))
+
+
 def empty_history(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame([], COMMITS), spark.createDataFrame([], "file_path string, commit_sha string")
 

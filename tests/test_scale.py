@@ -77,3 +77,32 @@ def test_tasks_that_pair_files_grow_with_the_rows(spark, monkeypatch):
     found = history.co_change_pairs(table)
     assert "40), REPARTITION_BY_NUM" in plan_of(found)
     assert found.agg(F.sum("commits").alias("n")).first().n == 2000 * 3
+
+
+@pytest.mark.parametrize("size", [1, 7, 1 << 20])
+def test_elements_of_a_document_are_read_in_pieces(size):
+    import io
+    import json
+
+    from symloom.sources.artifact import ArtifactError, _members
+
+    document = {"version": "1.3", "n": 12345, "source_shas": {"a\\": "é]}", 'b"': "2"}, "symbols": [{"id": 'x"}],[{', "line": 12}, None, {"l": [1, [2]]}], "claims": [], "generator": {"x_version": "1"}}
+    for text in (json.dumps(document), json.dumps(document, indent=2, ensure_ascii=False) + "\n"):
+        read = io.BytesIO(text.encode()).read
+        held = []
+        rows = list(_members(lambda n: held.append(n) or read(n), size))
+        head = {}
+        for section, _, part in rows:
+            head |= json.loads(part) if section == "" else {}
+        assert head == document | {"symbols": [], "source_shas": []}
+        assert [json.loads(t) for s, _, t in rows if s == "symbols"] == document["symbols"] and [a for s, a, _ in rows if s == "symbols"] == [0, 1, 2]
+        assert [json.loads(t) for s, _, t in rows if s == "source_shas"] == [{"source_path": k, "source_sha": v} for k, v in document["source_shas"].items()]
+    for text in ("", "{", "[]", '{"symbols": [1,]}', '{"symbols": [1 2]}', '{"a": 1,}', "{} x", '{"a": 1, "a": 2}', '{"symbols": [{]}', "{1: 2}"):
+        with pytest.raises(ArtifactError):
+            list(_members(io.BytesIO(text.encode()).read, size))
+
+
+def test_no_row_has_an_imported_document(spark, tmp_path):
+    spark.range(300).select(F.col("id").alias("p_partkey"), F.lit(1).alias("p_size"), F.lit("b").alias("p_brand")).write.parquet(f"{tmp_path}/part.parquet")
+    found = queries()["artifact_file"](spark, str(tmp_path))
+    assert "Generate" not in plan_of(found) and sorted(r.place for r in found.collect()) == list(range(1, 301))
